@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayweave.functions import vocab
@@ -41,32 +42,37 @@ def activity_from_description(description: Column) -> Column:
     word = F.element_at(F.split(text, r"[\s,.]+"), 1)
     label = F.when(description.isNull() | (description == ""), F.lit("other"))
     for name, needles in vocab.DESCRIPTION_LABELS:
-        label = label.when(_any_contains(text, needles), F.lit(name))
+        label = label.when(text.rlike("|".join(needles)), F.lit(name))
     for name, words in vocab.FIRST_WORD_LABELS:
         label = label.when(word.isin(words), F.lit(name))
     return label.otherwise(F.lit("other"))
 
 
+def _label_rules(pairs: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
+    """Neighbouring words of one label as one rule, in declared order."""
+    return [(label, [word for word, _ in group]) for label, group in groupby(pairs, key=lambda p: p[1])]
+
+
 def canonical_activity(activity: Column) -> Column:
     """Canonical activity label; unknown labels stay, with blanks turned into underscores."""
     lower = trim_blank(F.lower(activity))
-    by_label: dict[str, list[str]] = {}
-    for synonym, label in vocab.ACTIVITY_SYNONYMS:
-        by_label.setdefault(label, []).append(synonym)
-    chain = F
-    for label, synonyms in by_label.items():
-        chain = chain.when(lower.isin(synonyms), F.lit(label))
-    for synonym, label in vocab.ACTIVITY_SYNONYMS:
-        chain = chain.when(lower.contains(synonym), F.lit(label))
-    return F.when(lower.isNull(), F.lit(None).cast("string")).otherwise(
-        chain.otherwise(F.regexp_replace(lower, r"\s+", "_"))
-    )
+    rules = _label_rules(vocab.ACTIVITY_SYNONYMS)
+    label = F.when(lower.isNull(), F.lit(None).cast("string"))
+    for name, words in rules:
+        label = label.when(lower.isin(words), F.lit(name))
+    for name, words in rules:
+        label = label.when(lower.rlike("|".join(words)), F.lit(name))
+    return label.otherwise(F.regexp_replace(lower, r"\s+", "_"))
+
 
+def with_activity(df: DataFrame, alias: str = "activity") -> DataFrame:
+    """Add the canonical activity: the stored one if there is any, else the one read from the description.
 
-def observation_activity(activity: Column, description: Column) -> Column:
-    """Stored activity if there is one, else the one read from the description; canonical."""
-    stored = F.when(activity != "", activity)
-    return canonical_activity(F.coalesce(stored, activity_from_description(description)))
+    The label is named in two steps so that its many uses do not copy the whole expression.
+    """
+    stored = F.when(F.col("activity_type") != "", F.col("activity_type"))
+    raw = df.withColumn("_label", F.coalesce(stored, activity_from_description(F.col("vlm_description"))))
+    return raw.withColumn(alias, canonical_activity(F.col("_label"))).drop("_label")
 
 
 def clean_app(name: Column) -> Column:
@@ -86,14 +92,12 @@ def clean_topic(topic: Column) -> Column:
 def canonical_app(name: Column) -> Column:
     """Canonical application name through the alias list; unknown names are only trimmed."""
     key = trim_blank(F.regexp_replace(F.regexp_replace(F.lower(trim_blank(name)), r"[^a-z0-9\s]", ""), r"\s+", " "))
-    by_name: dict[str, list[str]] = {}
-    for alias, canonical in vocab.APP_ALIASES:
-        by_name.setdefault(canonical, []).append(alias)
+    rules = _label_rules(vocab.APP_ALIASES)
     chain = F
-    for canonical, aliases in by_name.items():
+    for canonical, aliases in rules:
         chain = chain.when(key.isin(aliases), F.lit(canonical))
-    for alias, canonical in vocab.APP_ALIASES:
-        chain = chain.when(key.contains(alias), F.lit(canonical))
+    for canonical, aliases in rules:
+        chain = chain.when(key.rlike("|".join(aliases)), F.lit(canonical))
     return chain.otherwise(trim_blank(name))
 
 

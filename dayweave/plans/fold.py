@@ -10,65 +10,97 @@ given exactly its predecessor's final state, which makes the result equal to the
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from dayweave.plans.ordered import CHUNK, CHUNK_SECONDS, with_chunk
 from dayweave.session import ensure_checkpoint_dir
 
-#: ``step(rows of one chunk in order, state) -> (output rows, final state)``
-Step = Callable[[pd.DataFrame, Any], tuple[pd.DataFrame, Any]]
+#: ``step(state, row) -> (state, output rows)``; the row is a tuple of the ``columns`` values.
+Step = Callable[[Any, tuple], tuple[Any, list[tuple]]]
+
+
+def _scan(batches: Iterator[pa.RecordBatch], columns: list[str], slot: list[str], step: Step) -> Iterator[tuple]:
+    """Fold the rows of a partition, sorted by slot; yields ``(slot, given, state, output rows, closed)``."""
+    here = given = state = None
+    for batch in batches:
+        at = {name: i for i, name in enumerate(batch.schema.names)}
+        values = lambda names: zip(*[batch.column(at[n]).to_pylist() for n in names])
+        for place, (number, start), row in zip(values(slot), values(["_n", "_given"]), values(columns)):
+            if number == 1:
+                if here is not None:
+                    yield here, given, state, (), True
+                here, given, state = place, start, json.loads(start)
+            state, out = step(state, row)
+            if out:
+                yield here, given, state, out, False
+    if here is not None:
+        yield here, given, state, (), True
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
 def ordered_fold(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
+    columns: Sequence[str],
     step: Step,
     initial: Any,
     schema: T.StructType,
     *,
     width: float = CHUNK_SECONDS,
 ) -> DataFrame:
-    """Fold ``step`` over each key in ``order``; ``schema`` describes the output of ``step``."""
+    """Fold ``step`` over each key in ``order``; ``schema`` describes its output rows.
+
+    The state must survive JSON. Chunks are read through a window, so all rows of one chunk reach one
+    task in order, batch by batch.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    keys = list(keys)
+    keys, columns = list(keys), list(columns)
     slot = [*keys, CHUNK]
-    rows = with_chunk(df, order[0], width)
+    # Written once: every round reads these narrow rows instead of the plan behind them.
+    rows = with_chunk(df, order[0], width).select(*dict.fromkeys([*slot, *order, *columns])).checkpoint()
     first = json.dumps(initial)
+    in_slot = Window.partitionBy(*slot).orderBy(*order)
     state_schema = T.StructType(
         [*[rows.schema[k] for k in slot], T.StructField("_given", T.StringType()), T.StructField("_left", T.StringType())]
     )
-    by = list(order)
+    state_arrow, out_arrow = to_arrow_schema(state_schema), to_arrow_schema(schema)
 
-    def final_state(pdf: pd.DataFrame) -> pd.DataFrame:
-        given = pdf["_given"].iloc[0]
-        _, state = step(pdf.sort_values(by, kind="stable"), json.loads(given))
-        return pdf[slot].head(1).assign(_given=given, _left=json.dumps(state))
+    def final_states(batches):
+        closed = ((*here, given, json.dumps(state)) for here, given, state, _, end in _scan(batches, columns, slot, step) if end)
+        return _batches(closed, state_arrow)
 
-    def output(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, _ = step(pdf.sort_values(by, kind="stable"), json.loads(pdf["_given"].iloc[0]))
-        return out
+    def outputs(batches):
+        return _batches((r for _, _, _, out, _ in _scan(batches, columns, slot, step) for r in out), out_arrow)
 
-    def settle(given: DataFrame) -> DataFrame:
-        return rows.join(given, slot).groupBy(*slot).applyInPandas(final_state, state_schema)
+    def placed(given: DataFrame) -> DataFrame:
+        return rows.join(given, slot).withColumn("_n", F.row_number().over(in_slot))
 
-    states = (
-        rows.withColumn("_given", F.lit(first))
-        .groupBy(*slot)
-        .applyInPandas(final_state, state_schema)
-        .checkpoint()
-    )
+    seeded = rows.withColumn("_given", F.lit(first)).withColumn("_n", F.row_number().over(in_slot))
+    states = seeded.mapInArrow(final_states, state_schema).checkpoint()
     across = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(CHUNK)
     while True:
-        expected = states.withColumn("_want", F.coalesce(F.lag("_left").over(across), F.lit(first)))
-        stale = expected.where("_want <> _given").select(*slot, F.col("_want").alias("_given")).checkpoint()
+        wanted = states.withColumn("_want", F.coalesce(F.lag("_left").over(across), F.lit(first)))
+        stale = wanted.where("_want <> _given").select(*slot, F.col("_want").alias("_given")).checkpoint()
         if stale.isEmpty():
             break
-        states = states.join(stale, slot, "left_anti").unionByName(settle(stale)).checkpoint()
-    return rows.join(states.select(*slot, "_given"), slot).groupBy(*slot).applyInPandas(output, schema)
+        again = placed(stale).mapInArrow(final_states, state_schema)
+        states = states.join(stale, slot, "left_anti").unionByName(again).checkpoint()
+    return placed(states.select(*slot, "_given")).mapInArrow(outputs, schema)

@@ -39,36 +39,36 @@ def carry(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    value: Column,
-    alias: str,
+    values: dict[str, Column],
     *,
     strict: bool = True,
     forward: bool = False,
     width: float = CHUNK_SECONDS,
 ) -> DataFrame:
-    """Last non-null ``value`` before each row in ``order`` (``order[0]`` is numeric seconds).
+    """Last non-null value before each row in ``order`` (``order[0]`` is numeric seconds).
 
-    ``strict`` leaves the row itself out, which makes it a lag; ``forward`` looks at following rows
-    instead, which makes it a lead or the right half of a nearest-neighbour lookup.
+    ``values`` maps new column names to expressions. ``strict`` leaves the row itself out, which makes
+    it a lag; ``forward`` looks at following rows instead, which makes it a lead or the right half of a
+    nearest-neighbour lookup.
     """
-    keys = list(keys)
+    keys, names = list(keys), list(values)
     direction = (lambda c: F.col(c).desc()) if forward else (lambda c: F.col(c).asc())
-    rows = with_chunk(df, order[0], width).withColumn("_v", value)
-    scan = _by(*keys, CHUNK).orderBy(*[direction(c) for c in order])
-    inside = scan.rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
-    rows = rows.withColumn("_local", F.last("_v", ignorenulls=True).over(inside))
     pick = F.min_by if forward else F.max_by
-    at = F.when(F.col("_v").isNotNull(), _pack(order))
-    edge = with_chunk(df, order[0], width).withColumn("_v", value).groupBy(*keys, CHUNK).agg(
-        pick("_v", at).alias("_edge")
+    rows = with_chunk(df, order[0], width).withColumns({f"_v_{n}": v for n, v in values.items()})
+    inside = _by(*keys, CHUNK).orderBy(*[direction(c) for c in order]).rowsBetween(
+        Window.unboundedPreceding, -1 if strict else 0
     )
     outside = _by(*keys).orderBy(direction(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("_in", F.last("_edge", ignorenulls=True).over(outside)).drop("_edge")
-    return (
-        _attach(rows, edge, keys)
-        .withColumn(alias, F.coalesce("_local", "_in"))
-        .drop("_local", "_in", "_v", CHUNK)
+    edges = rows.groupBy(*keys, CHUNK).agg(
+        *[pick(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), _pack(order))).alias(f"_edge_{n}") for n in names]
+    )
+    edges = edges.select(
+        *keys, CHUNK, *[F.last(f"_edge_{n}", ignorenulls=True).over(outside).alias(f"_in_{n}") for n in names]
     )
+    local = rows.withColumns({f"_at_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in names})
+    filled = {n: F.coalesce(f"_at_{n}", f"_in_{n}") for n in names}
+    spare = [f"{p}_{n}" for p in ("_v", "_at", "_in") for n in names]
+    return _attach(local, edges, keys).withColumns(filled).drop(*spare, CHUNK)
 
 
 def running_total(

@@ -40,8 +40,11 @@ def normal(columns: list[str], rows) -> list[tuple[str, ...]]:
 
 def check(spark, con, name: str, build, sql: str, sf_dir: str) -> str | None:
     """None when both sides agree, else what differs."""
+    began = time.time()
     df = build(spark, sf_dir)
     mine = normal(df.columns, df.collect())
+    if len(mine) and "-t" in sys.argv:
+        print(f"  spark {time.time() - began:.2f}s")
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
     theirs = normal(names, cursor.fetchall())
