@@ -193,7 +193,7 @@ def hash_delta(frames: DataFrame, keys: Sequence[str] = ("display_id",), *, widt
 def churn(frames: DataFrame, threshold: int = 4, window: float = 60.0, limit: int = 40, *, keys: Sequence[str] = ("display_id",)) -> DataFrame:
     """Number of large changes in the last ``window`` seconds and whether capture is throttled."""
     moved = F.coalesce(F.col("delta") > threshold, F.lit(False))
-    width = max(ordered.CHUNK_SECONDS, window)
+    width = max(ordered.CHUNK_SECONDS, window)  # at most one halo copy per row
     rows = ordered.trailing_count(hash_delta(frames, keys), keys, "timestamp", moved, window, "changes", width=width)
     return rows.withColumn("throttled", F.col("changes") > limit)
 

@@ -178,15 +178,15 @@ def trailing_count(
     """Rows with ``flag`` in ``[ts - seconds, ts]`` of the same key.
 
     Every row also joins the following chunk as a halo row when it can still be seen from there, so
-    the range window needs no rows from other partitions. Needs ``seconds <= width``.
+    the range window needs no rows from other partitions. ``seconds`` is a whole number.
     """
-    if seconds > width:
-        raise ValueError("the trailing range must fit into one chunk")
+    if seconds != int(seconds):
+        raise ValueError("the trailing range is a whole number of seconds")
     keys = list(keys)
     chunked = with_chunk(df.withColumn("_flag", flag), ts, width)
     reach = F.floor((F.col(ts) + F.lit(float(seconds))) / F.lit(float(width))).cast("long")
     spread = chunked.withColumn("_at", F.explode(F.sequence(F.col(CHUNK), reach)))
-    scan = _by(*keys, "_at").orderBy(ts).rangeBetween(-float(seconds), 0)
+    scan = _by(*keys, "_at").orderBy(ts).rangeBetween(-int(seconds), 0)
     return (
         spread.withColumn(alias, F.count_if("_flag").over(scan))
         .where(F.col("_at") == F.col(CHUNK))

@@ -51,8 +51,8 @@ def check(spark, con, name: str, build, sql: str, sf_dir: str) -> str | None:
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} <> {sorted(names)}"
     if mine != theirs:
-        only_mine = [r for r in mine if r not in set(theirs)][:3]
-        only_theirs = [r for r in theirs if r not in set(mine)][:3]
+        only_mine = sorted(set(mine) - set(theirs))[:3]
+        only_theirs = sorted(set(theirs) - set(mine))[:3]
         return f"rows {len(mine)} <> {len(theirs)}; {only_mine} | {only_theirs}"
     types = [str(d[1]) for d in cursor.description]
     plain = {"bigint": "BIGINT", "double": "DOUBLE", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}
