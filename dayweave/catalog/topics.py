@@ -33,7 +33,7 @@ def members(t: Tables):
 def subjects_sql(source: str, personal: str) -> str:
     return (
         f"SELECT p.recording_id, p.subject_id, p.label, round(sum(p.seconds), 3) AS duration, CAST(sum(p.n) AS BIGINT) AS blocks,"
-        f" string_agg(p.activity || '=' || CAST(floor(p.seconds) AS BIGINT), '|' ORDER BY p.activity) AS breakdown, any_value(a.apps) AS apps,"
+        f" string_agg(p.activity || '=' || CAST(floor(p.seconds + 0.05) AS BIGINT), '|' ORDER BY p.activity) AS breakdown, any_value(a.apps) AS apps,"
         f" any_value({personal}) AS is_personal FROM (SELECT recording_id, subject_id, label, coalesce(nullif(activity_type, ''), 'other') AS activity,"
         f" sum(duration) AS seconds, count(*) AS n FROM {source} GROUP BY 1, 2, 3, 4) p JOIN (SELECT recording_id, subject_id,"
         f" {JOINED('list_sort(list_distinct(flatten(list(apps))))')} AS apps, list_distinct(flatten(list(apps))) AS names FROM {source} GROUP BY 1, 2) a"
@@ -42,7 +42,7 @@ def subjects_sql(source: str, personal: str) -> str:
 
 
 def shown(df):
-    breakdown = F.transform(F.array_sort(F.map_entries("activity_breakdown")), lambda e: F.concat(e["key"], F.lit("="), F.floor(e["value"])))
+    breakdown = F.transform(F.array_sort(F.map_entries("activity_breakdown")), lambda e: F.concat(e["key"], F.lit("="), F.floor(e["value"] + 0.05)))
     return df.select(
         "recording_id", "subject_id", "label", F.round("duration", 3).alias("duration"), "blocks", joined(breakdown, "breakdown"), joined("apps"), "is_personal"
     )
