@@ -1,4 +1,4 @@
 """Registered queries over the given tables, with their oracle SQL side by side."""
 
 from dayweave.catalog.base import ORACLES, QUERIES
-from dayweave.catalog import relational, operations, sessions, capture, texts, topics, documents  # noqa: F401
+from dayweave.catalog import relational, operations, sessions, capture, texts, topics, documents, finding  # noqa: F401

@@ -189,9 +189,7 @@ def document_lines(recordings: DataFrame, blocks: DataFrame, summary: DataFrame)
     owners = blocks.select(*REC).distinct()
     title = _lines(owners, REC, 1, ["## Timeline", ""]).withColumn("k", F.lit(-1))
     rule = _lines(owners, REC, 2, ["", "---", ""])
-    times = timeline_lines(blocks).select(*REC, "part", F.col("block_id").alias("n"), "k", "at", "line")
-    # Inside the timeline the start decides, then the block.
-    times = times.select(*REC, "part", F.lit(1).cast("long").alias("n"), F.lit(0).alias("k"), "at", "line")
+    times = timeline_lines(blocks).select(*REC, "part", F.lit(1).cast("long").alias("n"), "k", "at", "line")
     text = summary.select(*REC, F.lit(4).alias("part"), F.col("n").cast("long").alias("n"), F.lit(0).alias("k"), F.lit(0.0).alias("at"), "line")
     head = _lines(summary.select(*REC).distinct(), REC, 3, ["# Session Summary", ""])
     return _union([header_lines(recordings, blocks), title, times, rule, head, text])
