@@ -93,12 +93,17 @@ def canonical_app(name: Column) -> Column:
     """Canonical application name through the alias list; unknown names are only trimmed."""
     key = trim_blank(F.regexp_replace(F.regexp_replace(F.lower(trim_blank(name)), r"[^a-z0-9\s]", ""), r"\s+", " "))
     rules = _label_rules(vocab.APP_ALIASES)
-    chain = F
-    for canonical, aliases in rules:
-        chain = chain.when(key.isin(aliases), F.lit(canonical))
-    for canonical, aliases in rules:
-        chain = chain.when(key.rlike("|".join(aliases)), F.lit(canonical))
-    return chain.otherwise(trim_blank(name))
+
+    def lookup(key: Column) -> Column:
+        chain = F
+        for canonical, aliases in rules:
+            chain = chain.when(key.isin(aliases), F.lit(canonical))
+        for canonical, aliases in rules:
+            chain = chain.when(key.rlike("|".join(aliases)), F.lit(canonical))
+        return chain.otherwise(trim_blank(name))
+
+    # Mapping over a one-element array evaluates the key once for all its uses.
+    return F.get(F.transform(F.array(key), lookup), 0)
 
 
 def is_noise_app(name: Column) -> Column:
