@@ -67,7 +67,7 @@ def _(t: Tables):
 @query(
     "stream_run_fold",
     """SELECT id AS run_id, started_at, CASE WHEN id % 3 > 0 THEN started_at + 3600 END AS completed_at, CASE WHEN id % 3 > 0 THEN status ELSE 'running' END AS status
-    FROM runs WHERE id % 3 > 0 OR started_at + 86400 < (SELECT max(started_at) + 3600 FROM runs WHERE id % 3 > 0) - 86400""",
+    FROM runs WHERE id % 3 > 0 OR started_at + 86400 < (SELECT least(max(started_at), max(started_at) FILTER (id % 3 > 0) + 3600) FROM runs) - 86400""",
 )
 def _(t: Tables):
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("running")
