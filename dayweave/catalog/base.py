@@ -59,6 +59,11 @@ def seconds(column: str):
     return F.unix_micros(F.col(column).cast("timestamp")) / F.lit(1e6)
 
 
+def prop_k():
+    """The only property of an event, ``{"k": number}``."""
+    return F.btrim(F.substring_index("props", ":", -1), F.lit(" }")).cast("long")
+
+
 # The application names observations of the test tables mention.
 APP_NAMES = ["VSCode", "Slack", "WhatsApp", "chrome", "Terminal", "Discord", "and more", "Figma"]
 SECOND_APPS = ["Zoom", "a", "Ghosty"]
@@ -147,7 +152,7 @@ class Tables:
             seconds("ts").alias("timestamp"),
             "event_type",
             "value",
-            F.get_json_object("props", "$.k").cast("long").alias("k"),
+            prop_k().alias("k"),
         )
 
     def obs(self) -> DataFrame:

@@ -45,13 +45,13 @@ def _(t: Tables):
     WHERE found = (SELECT count(*) FROM asked a WHERE a.query_no = s.query_no)) WHERE rank <= 20""",
 )
 def _(t: Tables):
-    found = search.search(search.build_index(docs(t), stems=False), QUERIES, stems=False)
+    found = search.search(search.stored(search.build_index(docs(t), stems=False)), QUERIES, stems=False)
     return found.withColumn("score", F.round("score", 6))
 
 
 @query("search_stemmed")
 def _(t: Tables):
-    return search.search(search.build_index(docs(t)), ["running", "nations", "the"])
+    return search.search(search.stored(search.build_index(docs(t))), ["running", "nations", "the"])
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dayweave.catalog.base import Tables, query
+from dayweave.catalog.base import Tables, prop_k, query
 from dayweave.catalog.capture import guard_sql
 from dayweave.catalog.finding import PATTERN
 from dayweave.catalog.sessions import canonical_sql
@@ -21,7 +21,7 @@ def stream(t: Tables, name: str, event_time: str, delay: str = f"{DELAY} seconds
 
 def events(t: Tables):
     rows = stream(t, "events", "ts")
-    k = F.get_json_object("props", "$.k").cast("long")
+    k = prop_k()
     kind = F.col("event_type")
     return rows.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("recording_id"), F.col("ts").alias("at"), (F.unix_micros("ts") / F.lit(1e6)).alias("timestamp"),
@@ -84,7 +84,7 @@ def _(t: Tables):
 @query("stream_unique", "SELECT DISTINCT recording_id, floor(timestamp / 86400) AS day, k % 5 AS part FROM obs0")
 def _(t: Tables):
     rows = stream(t, "events", "ts", "2 days").select(
-        F.col("user_id").alias("recording_id"), F.date_trunc("day", "ts").alias("day_at"), (F.get_json_object("props", "$.k").cast("long") % 5).alias("part"), "ts"
+        F.col("user_id").alias("recording_id"), F.date_trunc("day", "ts").alias("day_at"), (prop_k() % 5).alias("part"), "ts"
     )
     seen = live.flush(live.unique_observations(rows, ("recording_id", "day_at", "part")))
     return seen.select("recording_id", F.floor(F.unix_micros("day_at") / 86400e6).cast("double").alias("day"), "part")

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once for all its uses, inside lambdas as well."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def half_up(x: Column) -> Column:
     """Nearest integer, halves towards plus infinity."""
     return F.floor(x + F.lit(0.5)).cast("long")
@@ -39,12 +46,15 @@ def pack_bits(flags: Column) -> Column:
 
 def median_fingerprint(coefficients: Column) -> Column:
     """Bit ``i`` is set when coefficient ``i`` lies above the median (mean of the two middle values)."""
-    ordered = F.array_sort(coefficients)
     n = F.size(coefficients)
-    low = F.element_at(ordered, F.floor((n + 1) / 2).cast("int"))
-    high = F.element_at(ordered, (F.floor(n / 2) + 1).cast("int"))
-    median = (low.cast("double") + high.cast("double")) / 2
-    return pack_bits(F.transform(coefficients, lambda x: x.cast("double") > median))
+
+    def median(ordered: Column) -> Column:
+        low = F.element_at(ordered, F.floor((n + 1) / 2).cast("int"))
+        high = F.element_at(ordered, (F.floor(n / 2) + 1).cast("int"))
+        return (low.cast("double") + high.cast("double")) / 2
+
+    middle = bound(F.array_sort(coefficients), median)
+    return bound(middle, lambda m: pack_bits(F.transform(coefficients, lambda x: x.cast("double") > m)))
 
 
 def gradient_fingerprint(pixels: Column, width: int = 9, height: int = 8) -> Column:

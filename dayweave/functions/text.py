@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayweave.functions import vocab
+from dayweave.functions.numbers import bound
 
 
 def trim_blank(x: Column) -> Column:
@@ -102,8 +103,7 @@ def canonical_app(name: Column) -> Column:
             chain = chain.when(key.rlike("|".join(aliases)), F.lit(canonical))
         return chain.otherwise(trim_blank(name))
 
-    # Mapping over a one-element array evaluates the key once for all its uses.
-    return F.get(F.transform(F.array(key), lookup), 0)
+    return bound(key, lookup)
 
 
 def is_noise_app(name: Column) -> Column:
@@ -184,12 +184,31 @@ def media_indicators(text: Column) -> Column:
     )
 
 
+def _may_loop(text: Column) -> Column:
+    """False when a text cannot hold a unit of 20 characters repeated five times in a row.
+
+    Such a stretch has no blank and 100 characters, or its words repeat in step, so that some three
+    neighbouring words occur twice. The check is linear; the pattern itself is not.
+    """
+
+    def again(words: Column) -> Column:
+        triples = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " "))
+        return F.when(F.size(words) >= 4, F.size(F.array_distinct(triples)) < F.size(words) - 2).otherwise(F.lit(False))
+
+    return bound(F.split(text, " "), again) | text.rlike("[^ ]{100}")
+
+
 def without_hallucinations(text: Column) -> Column:
     """Remove the first hit of every phrase a speech model invents, and one repetition loop."""
-    for pattern in vocab.HALLUCINATIONS:
-        shifted = pattern.replace("\\1", "\\2")
-        text = F.regexp_replace(text, rf"^([\s\S]*?){shifted}", "$1")
-    return trim_blank(text)
+    *phrases, loop = vocab.HALLUCINATIONS
+    for pattern in phrases:
+        text = F.regexp_replace(text, rf"^([\s\S]*?){pattern}", "$1")
+    shifted = loop.replace("\\1", "\\2")
+
+    def unlooped(x: Column) -> Column:
+        return F.when(_may_loop(x), F.regexp_replace(x, rf"^([\s\S]*?){shifted}", "$1")).otherwise(x)
+
+    return trim_blank(bound(text, unlooped))
 
 
 def strip_thinking(text: Column, keep: str = "last") -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayweave.functions import words
+from dayweave.session import ensure_checkpoint_dir
 
 # Default ranking constants of BM25.
 K1, B = 1.2, 0.75
@@ -35,6 +36,12 @@ def build_index(docs: DataFrame, *, stems: bool = True) -> Index:
     return Index(counted.select("term", "doc_id", "tf"), listed.select("doc_id", F.size("terms").cast("long").alias("length")))
 
 
+def stored(index: Index) -> Index:
+    """The index written once to the shared checkpoint folder, for several reads."""
+    ensure_checkpoint_dir(index.postings.sparkSession)
+    return Index(index.postings.checkpoint(), index.documents.checkpoint())
+
+
 def query_terms(spark, queries: Sequence[str], *, stems: bool = True) -> DataFrame:
     """Distinct terms of the given query texts as ``(query_no, term, terms)``."""
     rows = spark.createDataFrame(list(enumerate(queries)), "query_no int, text string")
@@ -55,7 +62,7 @@ def search(index: Index, queries: Sequence[str], k: int = 20, *, stems: bool = T
     totals = index.documents.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
     n_docs, avg_length = totals.select("n_docs").scalar(), totals.select("avg_length").scalar()
     hits = index.postings.join(F.broadcast(asked), "term")
-    spread = hits.groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
+    spread = index.postings.join(F.broadcast(asked.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("df"))
     weight = F.greatest(F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     spread = spread.select("term", weight.alias("idf"))
     scored = hits.join(F.broadcast(spread), "term").join(index.documents, "doc_id")

@@ -5,14 +5,19 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dayweave.functions.numbers import cosine, dot
 from dayweave.plans.graphs import connected_components
 
 #: At most this many pivots are collected and broadcast, whatever the size of the data.
 MAX_PIVOTS = 256
+#: Vectors per side of one comparison task.
+BLOCK_ROWS = 1000
 
 
 def similar_vectors(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], min_cosine: float) -> DataFrame:
@@ -43,21 +48,49 @@ def _pivots(unit: DataFrame, share: int) -> list[list[float]]:
     return [list(r["u"]) for r in unit.orderBy(F.xxhash64("id"), "id").limit(n).select("u").collect()]
 
 
+def _blocked(rows: DataFrame, slot: Sequence[str], mine: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their block inside the slot, and the number of blocks of every slot."""
+    sizes = rows.groupBy(*slot).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(f"n_{mine}"))
+    placed = rows.join(sizes, list(slot)).withColumn(mine, F.pmod(F.xxhash64("id"), F.col(f"n_{mine}")).cast("int"))
+    return placed.drop(f"n_{mine}"), sizes
+
+
 def cosine_pairs(vectors: DataFrame, min_cosine: float, keys: Sequence[str] = (), *, share: int = 2000) -> DataFrame:
     """All pairs ``(id_a < id_b)`` of a key at least ``min_cosine`` similar, exactly.
 
     Every vector belongs to the cell of its nearest pivot and visits every cell whose pivot lies within
     its own distance plus twice the search angle; by the triangle inequality no similar pair is missed.
+    A cell is compared in blocks of about a thousand vectors, so a cell of any size is spread over many
+    tasks, each a small matrix product.
     """
     keys = list(keys)
     unit = _unit(vectors, keys)
     rows = _celled(unit, _pivots(unit, share))
     reach = 2 * math.acos(min_cosine) + 1e-9
     visits = F.filter(F.sequence(F.lit(0), F.size("angles") - 1), lambda i: F.get("angles", i) <= F.col("near") + reach)
-    a = rows.select(*keys, F.col("home").cast("int").alias("cell"), F.col("id").alias("id_a"), F.col("u").alias("u_a"))
-    b = rows.select(*keys, F.explode(visits).alias("cell"), F.col("id").alias("id_b"), F.col("u").alias("u_b"))
-    near = a.join(b, [*keys, "cell"]).where("id_a < id_b").withColumn("similarity", dot(F.col("u_a"), F.col("u_b")))
-    return near.where(F.col("similarity") >= min_cosine).select(*keys, "id_a", "id_b", "similarity")
+    slot = [*keys, "cell"]
+    a, n_a = _blocked(rows.select(*keys, F.col("home").cast("int").alias("cell"), "id", "u"), slot, "block_a")
+    b, n_b = _blocked(rows.select(*keys, F.explode(visits).alias("cell"), "id", "u"), slot, "block_b")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = a.join(n_b, slot).withColumn("block_b", every("n_block_b")).drop("n_block_b")
+    b = b.join(n_a, slot).withColumn("block_a", every("n_block_a")).drop("n_block_a")
+    tile = [*slot, "block_a", "block_b"]
+    b = b.select(*[F.col(c).alias(c) for c in b.columns])  # fresh names for the second side of the cogroup
+    kind = {f.name: f.dataType for f in vectors.schema}
+    schema = T.StructType(
+        [*[T.StructField(k, kind[k]) for k in keys], T.StructField("id_a", kind["id"]), T.StructField("id_b", kind["id"]), T.StructField("similarity", T.DoubleType())]
+    )
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=schema.names)
+        near = np.stack(left["u"].to_list()) @ np.stack(right["u"].to_list()).T
+        ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
+        i, j = np.nonzero((near >= min_cosine) & (ids_a[:, None] < ids_b[None, :]))
+        found = pd.DataFrame({"id_a": ids_a[i], "id_b": ids_b[j], "similarity": near[i, j]})
+        return found.assign(**{k: left[k].iloc[0] for k in keys})[schema.names]
+
+    return a.groupBy(*tile).cogroup(b.groupBy(*tile)).applyInPandas(compare, schema)
 
 
 def cluster_embeddings(vectors: DataFrame, max_distance: float = 0.15, *, share: int = 2000) -> DataFrame:

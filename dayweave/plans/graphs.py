@@ -23,7 +23,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = small.where("u <> v").distinct().checkpoint()
-        same = after.exceptAll(links).isEmpty() and links.exceptAll(after).isEmpty()
+        # Both are sets: equal sizes and no new link means nothing changed.
+        same = after.count() == links.count() and after.join(links, ["u", "v"], "left_anti").isEmpty()
         links = after
         if same:
             break

@@ -121,7 +121,7 @@ def parse_transcript_log(lines: DataFrame) -> DataFrame:
 
 def scan_transcript_log(spark: SparkSession, path: str) -> DataFrame:
     """Transcript logs below ``path``, one recording per file."""
-    files = spark.read.option("wholetext", True).text(path).select(_name().alias("recording_id"), "value")
+    files = spark.read.text(path, wholetext=True).select(_name().alias("recording_id"), "value")
     lines = files.select("recording_id", F.posexplode(F.split("value", "\n")).alias("n", "line"))
     return parse_transcript_log(lines.select("recording_id", F.col("n").cast("long").alias("line_no"), "line"))
 

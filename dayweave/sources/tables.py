@@ -38,5 +38,6 @@ def write_documents(lines: DataFrame, path: str, keys: Sequence[str] = ("recordi
     task.
     """
     place = [*keys, "part", "n", "k", "at"]
-    rows = lines.withColumn("format", F.lit(format_name)).repartitionByRange(*place).sortWithinPartitions("format", *place)
-    rows.select("format", *keys, F.col("line").alias("value")).write.mode("append").partitionBy("format", *keys).text(path)
+    rows = lines.repartitionByRange(*place).sortWithinPartitions(*place)
+    # The writer keeps this order because it starts with the folder columns.
+    rows.select(*keys, F.col("line").alias("value")).write.mode("append").partitionBy(*keys).text(f"{path}/format={format_name}")
