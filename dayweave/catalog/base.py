@@ -5,6 +5,7 @@ Every view is a projection of one given table, so the work of a query grows with
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +19,12 @@ VIEWS: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register a query and its oracle SQL; the views named in the SQL become its ``WITH`` clause."""
+    """Register a query and its oracle SQL, which may name any view."""
 
     def register(build: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = sql
         return build
 
     return register
@@ -31,18 +32,16 @@ def query(name: str, sql: str | None = None):
 
 def with_views(sql: str) -> str:
     """Prefix the SQL with the views it uses, directly or through other views."""
-    import re
-
-    def used(text: str) -> set[str]:
-        return {v for v in VIEWS if re.search(rf"\b{v}\b", text)}
-
-    wanted, stack = set(), list(used(sql))
-    while stack:
-        name = stack.pop()
-        if name not in wanted:
-            wanted.add(name)
-            stack.extend(used(VIEWS[name]) - {name})
-    order = [v for v in VIEWS if v in wanted]
+    order: list[str] = []
+
+    def add(text: str) -> None:
+        for name in re.findall(r"\w+", text):
+            if name in VIEWS and name not in order:
+                add(re.sub(rf"\b{name}\b", "", VIEWS[name]))
+                if name not in order:
+                    order.append(name)
+
+    add(sql)
     if not order:
         return sql
     clause = ", ".join(f"{v} AS ({VIEWS[v]})" for v in order)
@@ -54,6 +53,11 @@ def with_views(sql: str) -> str:
     return f"WITH {clause} {body}"
 
 
+def oracles() -> dict[str, str]:
+    """Oracle SQL of all registered queries, complete with their views."""
+    return {name: with_views(sql) for name, sql in ORACLES.items()}
+
+
 def seconds(column: str):
     """Epoch seconds of a timestamp column."""
     return F.unix_micros(F.col(column).cast("timestamp")) / F.lit(1e6)
