@@ -23,7 +23,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _value(x):
     if isinstance(x, float):
-        return "nan" if math.isnan(x) else f"{x:.9g}"
+        return "nan" if math.isnan(x) else repr(x + 0.0)
     if isinstance(x, bool) or x is None:
         return str(x)
     if hasattr(x, "as_tuple"):
