@@ -19,8 +19,13 @@ CHUNK = "_chunk"
 
 
 def with_chunk(df: DataFrame, ts: str, width: float = CHUNK_SECONDS) -> DataFrame:
-    """Add the chunk number ``floor(ts / width)``."""
-    return df.withColumn(CHUNK, F.floor(F.col(ts) / F.lit(float(width))).cast("long"))
+    """Add the chunk number ``floor(ts / width)``; rows without a time have no place and are left out.
+
+    The filter is written out so that the row side and the summary side of a scan read the same plan,
+    and Spark reuses one shuffle for both.
+    """
+    chunked = df.withColumn(CHUNK, F.floor(F.col(ts) / F.lit(float(width))).cast("long"))
+    return chunked.where(F.col(CHUNK).isNotNull())
 
 
 def _by(*keys: str) -> Window:
