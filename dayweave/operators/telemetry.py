@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from dayweave.functions.numbers import half_up, percent
 from dayweave.operators.joins import in_latest_runs, latest_completed_runs, latest_phase_rows
 
+# Fixed value: the phase whose items are described frames.
 MODEL_PHASE = "vlm-batch-inference"
 
 
