@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayweave.llm import simhash
-from dayweave.llm.common import table
+from dayweave.llm import language, simhash
+from dayweave.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +24,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("bits")).alias("fingerprint"), "component_id")
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    rest = remainder(F.col("doc_id"), 4)
+    model = language.learn(docs.where(rest != 2))
+    found = docs.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), language.predicted(F.col("text"), model, spark).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.bits").alias("code_bits"))
