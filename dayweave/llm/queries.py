@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayweave.llm import language, simhash
+from dayweave.llm import language, simhash, toxicity
 from dayweave.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.learn(docs.where(rest != 2))
     found = docs.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), language.predicted(F.col("text"), model, spark).alias("found"))
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.bits").alias("code_bits"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned from the labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    rest = remainder(F.col("doc_id"), 5)
+    model = toxicity.learn(docs.where(rest != 0), table(spark, sf_dir, "labels"))
+    found = docs.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), toxicity.scored(F.col("text"), model, spark).alias("found"))
+    return found.select("doc_id", "held_out", "found.score", "found.predicted", F.col("found.language").alias("text_language"), "found.chance", "found.threshold")
