@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayweave.llm import language, simhash, toxicity
+from dayweave.llm import bpe, language, packing, simhash, toxicity
 from dayweave.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +45,23 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs.where(rest != 0), table(spark, sf_dir, "labels"))
     found = docs.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), toxicity.scored(F.col("text"), model, spark).alias("found"))
     return found.select("doc_id", "held_out", "found.score", "found.predicted", F.col("found.language").alias("text_language"), "found.chance", "found.threshold")
+
+
+@query
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document to ids and back to bytes."""
+    ranks = path("byte_bpe_50k.tiktoken")
+    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encoded(F.col("text"), ranks, PATTERN).alias("ids"))
+    both = ids.withColumn("bytes", bpe.decoded(F.col("ids"), ranks, PATTERN))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), PATTERN)
