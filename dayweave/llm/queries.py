@@ -8,7 +8,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayweave.llm import bpe, language, packing, simhash, toxicity
+from dayweave.llm import bpe, language, packing, simhash, toxicity, unigram
 from dayweave.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), PATTERN)
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token count of every document, and the score of its best segmentation."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n_chars"), unigram.token_counts(F.col("text"), path("piece_bpe_32k.model")).alias("found"))
+    return found.select("doc_id", "n_chars", "found.n_tokens", "found.score")
