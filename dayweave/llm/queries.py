@@ -8,7 +8,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayweave.llm import bpe, language, packing, simhash, toxicity, unigram
+from dayweave.llm import bpe, language, packing, simhash, syncmers, toxicity, unigram
 from dayweave.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token count of every document, and the score of its best segmentation."""
     found = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n_chars"), unigram.token_counts(F.col("text"), path("piece_bpe_32k.model")).alias("found"))
     return found.select("doc_id", "n_chars", "found.n_tokens", "found.score")
+
+
+@query
+def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they and the next document's are."""
+    rows = syncmers.edited(table(spark, sf_dir, "documents"))
+    for text, out in (("text", "own"), ("edited", "other"), ("next_text", "next")):
+        rows = syncmers.with_fingerprint(rows, text, out)
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        syncmers.written(F.col("own")).alias("fingerprint"),
+        syncmers.written(F.col("other")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("own"), F.col("other")).alias("near_edited"),
+        syncmers.likeness(F.col("own"), F.col("next")).alias("near_next"),
+    )
