@@ -8,7 +8,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayweave.llm import bpe, language, packing, simhash, syncmers, toxicity, unigram
+from dayweave.llm import bpe, language, packing, simhash, syncmers, toxicity, unigram, warc
 from dayweave.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,9 @@ def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
         syncmers.likeness(F.col("own"), F.col("other")).alias("near_edited"),
         syncmers.likeness(F.col("own"), F.col("next")).alias("near_next"),
     )
+
+
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to Zstandard WARC archives and read back."""
+    return warc.archive(table(spark, sf_dir, "pages")).drop("url")
