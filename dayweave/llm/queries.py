@@ -8,7 +8,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayweave.llm import bpe, language, main_text, packing, simhash, syncmers, toxicity, unigram, warc
+from dayweave.llm import bpe, language, main_text, near_vectors, packing, simhash, syncmers, toxicity, unigram, warc
 from dayweave.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,9 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     found = table(spark, sf_dir, "pages").select("page_id", "url", main_text.extracted(F.col("html")).alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and group of every embedding."""
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
