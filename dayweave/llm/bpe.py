@@ -11,17 +11,22 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 #: Matches remembered with their ids before the memory is emptied.
 REMEMBERED = 400_000
+#: Longer words, and longer runs of blanks, are left to the library whose merges stay fast on them.
+LONG = 2048
+BLANKS = re.compile(rf"\s{{{LONG}}}")
 #: Characters that are cut and looked up at a time.
 CHUNK = 1 << 20
 
@@ -53,6 +58,7 @@ class Encoder:
         self.tokens = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.known: dict[str, bytes] = {}
+        self.second: tiktoken.Encoding | None = None
 
     @classmethod
     def from_ranks(cls, path: str, pattern: str) -> Encoder:
@@ -109,6 +115,17 @@ class Encoder:
         plain = iter(self._plain([p for parts in found for p in parts[::2]]))
         return [b"".join(self.special[p].to_bytes(4, "little") if i % 2 else next(plain) for i, p in enumerate(parts)) for parts in found]
 
+    @staticmethod
+    def _long(text: str) -> bool:
+        return len(text) >= LONG and (max(map(len, text.split()), default=0) >= LONG or BLANKS.search(text) is not None)
+
+    def encode_quick(self, texts: list[str]) -> list[bytes]:
+        """The ids of :meth:`encode`, by a second library over the same vocabulary that costs half the time."""
+        if self.second is None:
+            tokens = {t: i for i, t in enumerate(self.tokens) if t and i not in self.special.values()}
+            self.second = tiktoken.Encoding("own", pat_str=self.pattern.pattern, mergeable_ranks=tokens, special_tokens=self.special)
+        return [self.encode([t])[0] if self._long(t) else self.second.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes() for t in texts]
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of all tokens, joined; an id outside the vocabulary is an error."""
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))

@@ -25,8 +25,6 @@ from dayweave.llm.common import stored
 
 #: Pieces of one length that are ranked together.
 RANKED = 2000
-#: Characters that are tokenized at a time.
-BATCH = 1 << 22
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
@@ -50,20 +48,12 @@ def pieces(docs: DataFrame, path: str, pattern: str, *, end_id: int = 2, capacit
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(path, pattern)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            at = 0
-            while at < len(keys):
-                to, size = at, 0
-                while to < len(keys) and (to == at or size < BATCH):
-                    size += len(texts[to].as_py() or "")
-                    to += 1
-                rows: list[tuple] = []
-                for key, raw in zip(keys[at:to], encoder.encode([t or "" for t in texts[at:to].to_pylist()])):
-                    raw += end
-                    rows += [(key, n, a, k, zlib.crc32(raw[4 * a : 4 * (a + k)])) for n, (a, k) in enumerate(cut(len(raw) // 4, capacity))]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["id", "piece", "start", "length", "ids_crc32"])
-                at = to
+            rows: list[tuple] = []
+            for key, text in zip(batch.column(0), batch.column(1)):
+                raw = encoder.encode_quick([text.as_py() or ""])[0] + end
+                rows += [(key.as_py(), n, a, k, zlib.crc32(raw[4 * a : 4 * (a + k)])) for n, (a, k) in enumerate(cut(len(raw) // 4, capacity))]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(split, PIECES)
 
