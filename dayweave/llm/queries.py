@@ -108,3 +108,32 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and group of every embedding."""
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op1_near_vectors"] = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
+lows AS (SELECT node, min(seen) AS low FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, low AS component_id, e.vec_id = low AS kept
+FROM embeddings e LEFT JOIN lows ON node = e.vec_id LEFT JOIN counts ON a = e.vec_id
+"""
+
+ORACLES["op4_warc"] = """
+WITH sized AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages WHERE page_id IS NOT NULL),
+bits AS (
+  SELECT page_id, strlen(payload) AS size, hex, min(page_id) OVER (PARTITION BY payload) AS low,
+    array_to_string(list_transform(range(40), lambda i: lpad(bin(strpos('0123456789abcdef', substr(hex, i + 1, 1)) - 1), 4, '0')), '') AS digits FROM sized)
+SELECT page_id, size AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST(list_sum(list_transform(range(5), lambda j: CAST(substr(digits, 5 * i + j + 1, 1) AS INTEGER) * CAST(2 ** (4 - j) AS INTEGER))) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN low = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN low <> page_id THEN low END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+FROM bits
+"""
