@@ -53,7 +53,8 @@ def test_every_pair_within_the_distance_is_found(spark):
 
 def test_keep_first_leaves_one_of_each_group(spark):
     docs = documents(spark, [*AWKWARD, (20, "other text about a wholly different thing that nobody else has"), (21, "Other text about a wholly different thing that nobody else has")])
-    kept = simhash.keep_first(docs, size=5)
+    kept = simhash.keep_first(docs, simhash.near_duplicates(docs, size=5))
+    assert sorted(str(r.doc_id) for r in simhash.keep_first(docs, simhash.similar_documents(docs)).collect()) == sorted(str(r.doc_id) for r in kept.collect())
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     # 1, 2 and 3 have no words; 6 repeats 5; 21 differs from 20 in case only; rows without an id stay.
@@ -62,9 +63,32 @@ def test_keep_first_leaves_one_of_each_group(spark):
 
 def test_repeated_id_stays_once(spark):
     docs = documents(spark, [(1, "b text one two three four five"), (1, "a quite different text with other words inside")])
-    assert [r.text[0] for r in simhash.keep_first(docs).collect()] == ["a"]
+    for found in (simhash.near_duplicates(docs), simhash.similar_documents(docs)):
+        assert [r.text[0] for r in simhash.keep_first(docs, found).collect()] == ["a"]
 
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(documents(spark, [])).collect() == []
-    assert simhash.keep_first(documents(spark, [])).collect() == []
+    assert simhash.similar_documents(documents(spark, [])).collect() == []
+    assert simhash.keep_first(documents(spark, []), simhash.near_duplicates(documents(spark, []))).collect() == []
+
+
+def test_similar_documents_equal_brute_force(spark):
+    draw = random.Random(9)
+    texts = []
+    for _ in range(25):
+        words = [f"w{draw.randint(0, 10**6)}" for _ in range(draw.choice([30, 120, 220]))]
+        texts.append(" ".join(words))
+        for changes in (0, 1, 2, 3, 6):
+            other = list(words)
+            for k in draw.sample(range(len(words)), changes):
+                other[k] = "changed"
+            texts.append(" ".join(other))
+    rows = list(enumerate(texts))
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(spark, rows)).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    label = plain_groups(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    # Members of a group that shares a sample are compared with two of it only, so a few links may be missed.
+    together = [(a, b) for a in label for b in label if a < b and label[a] == label[b]]
+    assert sum(found[a] == found[b] for a, b in together) >= 0.98 * len(together) > 0
+    assert all(label[a] == label[b] for a in found for b in found if found[a] == found[b])
