@@ -38,8 +38,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with the smallest id of every group of near-duplicates, by shingles of five words."""
-    return simhash.keep_first(docs, size=5)
+    """``docs`` with the smallest id of every group whose shingles of five words are 0.8 or more alike."""
+    return simhash.keep_first(docs, simhash.similar_documents(docs, size=5, similarity=0.8))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

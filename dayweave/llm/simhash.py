@@ -29,18 +29,30 @@ from dayweave.plans.graphs import connected_components
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 SEED = 42
+#: Samples of shingles that are fingerprinted on their own, and how many shingles each draws.
+SAMPLES, DRAWN = 24, 4
+#: Smallest shingle hashes by which the similarity of two texts is verified.
+MARKS = 256
 #: Bits are cut into this many blocks more than may differ in the join key.
 KEPT_BLOCKS = 3
 
 
-def text_fingerprint(text: str | None, size: int = 3) -> int:
-    """Fingerprint of one text as an unsigned number; zero without a word."""
+def _packed_hashes(text: str | None, size: int) -> bytes:
+    """Hashes of all shingles of a text, repeats included, eight bytes each."""
     words = WORD.findall((text or "").translate(UPPER))
     if not words:
-        return 0
+        return b""
     shingles = [" ".join(words)] if len(words) < size else map(" ".join, zip(*(words[i:] for i in range(size))))
     digest = xxhash.xxh64_digest
-    packed = b"".join([digest(s, SEED) for s in shingles])
+    return b"".join([digest(s, SEED) for s in shingles])
+
+
+def text_fingerprint(text: str | None, size: int = 3) -> int:
+    """Fingerprint of one text as an unsigned number; zero without a word."""
+    return _majority(_packed_hashes(text, size))
+
+
+def _majority(packed: bytes) -> int:
     total = len(packed) // 8
     ones = np.zeros(64, np.int64)
     # In pieces, so that a very long text does not expand to one byte a bit at once.
@@ -116,13 +128,75 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(final, "bits").select(F.col("id").alias(id_col), "bits", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs``, all columns, with one row per group of near-duplicates: the one with the smallest id.
+def sample_fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """SimHashes of ``SAMPLES`` small samples of a set of shingle hashes.
+
+    The hashes are dealt into bins and the smallest of each bin is drawn, so two sets draw the same hash
+    from a bin as often as they are similar; an empty bin borrows from the next one that is not.
+    """
+    bins = SAMPLES * DRAWN
+    drawn = np.zeros(bins, np.uint64)
+    if len(hashes):
+        ordered = np.sort(hashes)
+        filled, first = np.unique(ordered % np.uint64(bins), return_index=True)
+        at = np.searchsorted(filled, np.arange(bins, dtype=np.uint64)) % len(filled)
+        away = (filled[at].astype(np.int64) - np.arange(bins)) % bins
+        # A borrowed hash is changed by the distance, so that one shingle does not fill a sample.
+        drawn = ordered[first[at]] ^ (away.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    a, b, c, d = drawn.reshape(SAMPLES, DRAWN).T
+    return (a & b & (c | d)) | (c & d & (a | b))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
+    """One row per row of ``docs``: ``(id_col, component_id)``, grouped by similarity of their shingles.
+
+    Two bits of a whole fingerprint are far fewer than similar texts differ in: about ten at a similarity of
+    0.8. Pairs are therefore also looked for by the SimHashes of small samples of their shingles, which are
+    equal where the samples are. All pairs found either way are verified by the Jaccard index of their
+    shingle sets, exact up to ``MARKS`` shingles and estimated from the smallest ``MARKS`` hashes above. In
+    a group that shares a sample, members are compared with its first and last one, not with each other.
+    Nulls, repeated ids, clashing names and empty tables are treated as in :func:`near_duplicates`.
+    """
+
+    @F.pandas_udf("bits long, samples array<long>, marks array<long>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            packed = _packed_hashes(text, size)
+            # The digests are big-endian numbers.
+            hashes = np.unique(np.frombuffer(packed, ">u8").astype(np.uint64))
+            rows.append((np.uint64(_majority(packed)).astype(np.int64), sample_fingerprints(hashes).astype(np.int64), hashes[:MARKS].astype(np.int64)))
+        return pd.DataFrame(rows, columns=["bits", "samples", "marks"])
+
+    rows = docs.select(F.col(id_col).alias("id"), sketch(F.col(text_col)).alias("s")).select("id", "s.*")
+    rows = stored(rows.withColumn("node", F.xxhash64("bits", "marks")), "sketches")
+    nodes = stored(rows.groupBy("node").agg(F.min("id").alias("low"), F.first("bits").alias("bits"), F.first("samples").alias("samples"), F.first("marks").alias("marks")), "nodes")
+    shown = nodes.select("node", F.posexplode("samples").alias("n", "sample")).unionByName(nodes.select("node", F.lit(-1).alias("n"), F.col("bits").alias("sample")))
+    ends = shown.groupBy("n", "sample").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
+    met = shown.join(ends, ["n", "sample"]).select("node", F.explode(F.array("first", "last")).alias("other"))
+    one = nodes.groupBy("bits").agg(F.min("node").alias("node"))
+    near = linked_pairs(one.select("bits"), distance)
+    near = near.join(one.select(F.col("bits").alias("a"), "node"), "a").join(one.select(F.col("bits").alias("b"), F.col("node").alias("other")), "b").select("node", "other")
+    pairs = met.unionByName(near).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    x, y = nodes.select(F.col("node").alias("a"), F.col("marks").alias("x")), nodes.select(F.col("node").alias("b"), F.col("marks").alias("y"))
+    # Hashes are compared as signed numbers on both sides, which is an order as good as any.
+    union = F.slice(F.array_sort(F.array_union("x", "y")), 1, MARKS)
+    alike = F.size(F.array_intersect(F.array_intersect("x", "y"), union)) / F.size(union)
+    links = stored(pairs.join(x, "a").join(y, "b").where(F.size(union) > 0).where(alike >= similarity).select("a", "b"), "links")
+    many = rows.where("id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    groups = connected_components(links.unionByName(rows.join(many, "id").where("node <> a").select("a", F.col("node").alias("b"))))
+    placed = nodes.select("node", "low").join(groups, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+    lows = placed.groupBy("component").agg(F.min("low").alias("component_id"))
+    return rows.select("id", "node").join(placed.join(lows, "component").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with one row per group of ``found``: the one with the smallest id.
 
     Of rows that repeat an id the one with the smallest text (null as empty) stays. Rows without an id
     cannot be named in a group, so they all stay.
     """
-    found = stored(near_duplicates(docs, id_col, text_col, **options), "groups")
+    found = stored(found.select(id_col, "component_id"), "groups")
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
     twice = found.groupBy(F.col(id_col).alias("_twice")).count().where("_twice is not null and count > 1").select("_twice")
