@@ -232,18 +232,21 @@ def _(t: Tables):
     return t.raw("embeddings").select("vec_id", numbers.gradient_fingerprint(F.col("embedding"), 8, 8).alias("phash"))
 
 
-VIEWS["hashes"] = "SELECT (k * 2654435761) % 4096 * 4 + CAST(floor(value) AS BIGINT) % 64 * 1048576 AS phash FROM obs0"
+# 63-bit hashes; three frames in a row share one but for two bits each.
+VIEWS["hashes"] = "SELECT xor((id - id % 3) * 2654435761 % 1099511627689 * 8388607, CAST(3 AS BIGINT) << CAST(id % 3 * 9 AS INTEGER)) AS phash FROM obs0"
 
 
 @query(
     "similarity_pairs",
     """WITH c AS (SELECT phash, count(*) AS frames FROM hashes GROUP BY 1) SELECT a.phash AS hash_a, b.phash AS hash_b, a.frames AS frames_a,
     b.frames AS frames_b, CAST(bit_count(xor(a.phash, b.phash)) AS INTEGER) AS distance FROM c a JOIN c b ON a.phash < b.phash
-    AND bit_count(xor(a.phash, b.phash)) <= 2""",
+    AND bit_count(xor(a.phash, b.phash)) <= 4""",
 )
 def _(t: Tables):
-    rows = t.obs0().select(((F.col("k") * F.lit(2654435761)) % 4096 * 4 + F.floor("value") % 64 * 1048576).alias("phash"))
-    return frames.similarity_pairs(rows, 2)
+    low = F.col("id") % 3
+    base = (F.col("id") - low) * F.lit(2654435761) % F.lit(1099511627689) * 8388607
+    rows = t.obs0().select(base.bitwiseXOR(F.call_function("shiftleft", F.lit(3).cast("long"), (low * 9).cast("int"))).alias("phash"))
+    return frames.similarity_pairs(rows, 4)
 
 
 @query(

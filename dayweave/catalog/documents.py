@@ -271,7 +271,7 @@ def _(t: Tables):
     return reports.classification_requests(spans, rows, names).select("segment_id", F.col("part").cast("int").alias("part"), "line")
 
 
-@query("assemble", f"SELECT recording_id, string_agg(line, chr(10) ORDER BY k) AS content FROM ({HEADER}) GROUP BY 1")
+@query("assemble", f"SELECT recording_id, CAST(0 AS BIGINT) AS part_no, string_agg(line, chr(10) ORDER BY k) AS content FROM ({HEADER}) GROUP BY 1")
 def _(t: Tables):
     return reports.assemble(reports.header_lines(sessions(t), plain(t)))
 

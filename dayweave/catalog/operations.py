@@ -187,32 +187,50 @@ def _(t: Tables):
     return maintenance.enforce_audio_unique(rows).select("id")
 
 
-VIEWS["old_links"] = "SELECT id AS key, 'old' AS origin, k FROM obs0 WHERE id % 3 > 0"
-VIEWS["new_links"] = "SELECT id AS key, 'new' AS origin, k + 1 AS k FROM obs0 WHERE id % 2 = 0"
+VIEWS["old_links"] = "SELECT id AS key, 'old' AS origin, k, 0 AS seen FROM obs0 WHERE id % 3 > 0"
+# New keys come twice, and some values are cleared.
+VIEWS["new_links"] = """SELECT id // 2 * 2 AS key, CASE WHEN id % 5 > 0 THEN 'new' END AS origin, k + 1 AS k, id AS seen FROM obs0"""
 
 
 def old_and_new(t: Tables):
-    base = t.obs0().where("id % 3 > 0").select(F.col("id").alias("key"), F.lit("old").alias("origin"), "k")
-    new = t.obs0().where("id % 2 = 0").select(F.col("id").alias("key"), F.lit("new").alias("origin"), (F.col("k") + 1).alias("k"))
+    base = t.obs0().where("id % 3 > 0").select(F.col("id").alias("key"), F.lit("old").alias("origin"), "k", F.lit(0).cast("long").alias("seen"))
+    new = t.obs0().select((F.col("id") - F.col("id") % 2).alias("key"), F.when(F.col("id") % 5 > 0, "new").alias("origin"), (F.col("k") + 1).alias("k"), F.col("id").alias("seen"))
     return base, new
 
 
-@query("insert_or_ignore", "SELECT * FROM old_links UNION ALL SELECT * FROM new_links WHERE key NOT IN (SELECT key FROM old_links)")
+def one_new(last: bool) -> str:
+    """SQL for the first or last new row of every key."""
+    pick = "arg_max" if last else "arg_min"
+    return f"(SELECT key, {pick}({{'o': origin, 'k': k, 'seen': seen}}, seen) AS r FROM new_links GROUP BY key)"
+
+
+NEW_COLUMNS = "key, r.o AS origin, r.k AS k, r.seen AS seen"
+
+
+@query("insert_or_ignore", f"SELECT * FROM old_links UNION ALL SELECT {NEW_COLUMNS} FROM {one_new(False)} WHERE key NOT IN (SELECT key FROM old_links)")
 def _(t: Tables):
-    return maintenance.insert_or_ignore(*old_and_new(t), ["key"])
+    return maintenance.insert_or_ignore(*old_and_new(t), ["key"], ["seen"])
 
 
-@query("insert_or_replace", "SELECT * FROM new_links UNION ALL SELECT * FROM old_links WHERE key NOT IN (SELECT key FROM new_links)")
+@query("insert_or_replace", f"SELECT {NEW_COLUMNS} FROM {one_new(True)} UNION ALL SELECT * FROM old_links WHERE key NOT IN (SELECT key FROM new_links)")
 def _(t: Tables):
-    return maintenance.insert_or_replace(*old_and_new(t), ["key"])
+    return maintenance.insert_or_replace(*old_and_new(t), ["key"], ["seen"])
 
 
 @query(
     "update_by_key",
-    "SELECT o.key, coalesce(n.origin, o.origin) AS origin, coalesce(n.k, o.k) AS k FROM old_links o LEFT JOIN new_links n USING (key)",
+    """SELECT o.key, CASE WHEN n.key IS NULL THEN o.origin ELSE n.origin END AS origin, coalesce(n.k, o.k) AS k
+    FROM old_links o LEFT JOIN (SELECT * FROM new_links WHERE seen = key) n USING (key)""",
 )
 def _(t: Tables):
-    return maintenance.update_by_key(*old_and_new(t), ["key"])
+    base, new = old_and_new(t)
+    return maintenance.update_by_key(base, new.where("seen = key").drop("seen"), ["key"]).drop("seen")
+
+
+@query("update_by_key_kept", "SELECT o.key, coalesce(n.origin, o.origin) AS origin FROM old_links o LEFT JOIN (SELECT * FROM new_links WHERE seen = key) n USING (key)")
+def _(t: Tables):
+    base, new = old_and_new(t)
+    return maintenance.update_by_key(base, new.where("seen = key").drop("seen"), ["key"], keep_on_null=True).select("key", "origin")
 
 
 VIEWS["gone"] = "SELECT DISTINCT recording_id FROM obs0 WHERE k = 42"

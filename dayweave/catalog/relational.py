@@ -195,13 +195,13 @@ def _(t: Tables):
 
 
 VIEWS["outer_blocks"] = (
-    "SELECT id, recording_id, from_ts - 30000 AS from_ts, to_ts + 60000 AS to_ts FROM blocks WHERE observation_count = 4"
+    "SELECT id, recording_id, CASE WHEN id % 2 = 0 THEN from_ts + 1 ELSE from_ts - 30000 END AS from_ts, to_ts + 60000 AS to_ts FROM blocks"
 )
 
 
 def outer_blocks(t: Tables):
-    return t.blocks().where("observation_count = 4").select(
-        "id", "recording_id", (F.col("from_ts") - 30000).alias("from_ts"), (F.col("to_ts") + 60000).alias("to_ts")
+    return t.blocks().select(
+        "id", "recording_id", F.when(F.col("id") % 2 == 0, F.col("from_ts") + 1).otherwise(F.col("from_ts") - 30000).alias("from_ts"), (F.col("to_ts") + 60000).alias("to_ts")
     )
 
 
@@ -231,7 +231,7 @@ def _(t: Tables):
 
 
 VIEWS["contexts"] = "SELECT DISTINCT k % 7 AS id, 'topic' AS type, 'topic ' || (k % 7) AS name FROM obs0"
-VIEWS["links"] = "SELECT id AS observation_id, k % 7 AS context_id, k / 100.0 AS confidence FROM obs0 WHERE k % 3 = 0"
+VIEWS["links"] = "SELECT id AS observation_id, k % 7 AS context_id, k / 100.0 AS confidence FROM obs0"
 
 
 def contexts(t: Tables):
@@ -239,7 +239,7 @@ def contexts(t: Tables):
 
 
 def links(t: Tables):
-    return t.obs0().where("k % 3 = 0").select(F.col("id").alias("observation_id"), (F.col("k") % 7).alias("context_id"), (F.col("k") / 100.0).alias("confidence"))
+    return t.obs0().select(F.col("id").alias("observation_id"), (F.col("k") % 7).alias("context_id"), (F.col("k") / 100.0).alias("confidence"))
 
 
 @query(

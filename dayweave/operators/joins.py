@@ -104,7 +104,7 @@ def frames_by_subject(frames: DataFrame, blocks: DataFrame, bridge: DataFrame) -
     return frame_to_block(frames, blocks).join(links, "block_id")
 
 
-def contained_blocks(inner: DataFrame, outer: DataFrame, keys: Sequence[str] = (), *, width: float = 900.0) -> DataFrame:
+def contained_blocks(inner: DataFrame, outer: DataFrame, keys: Sequence[str] = ("recording_id",), *, width: float = 900.0) -> DataFrame:
     """Pairs where the inner block lies completely inside the outer one, ends included."""
     a = inner.select(*keys, F.col("id").alias("inner_id"), F.col("from_ts").alias("inner_from"), F.col("to_ts").alias("inner_to"))
     b = outer.select(*keys, F.col("id").alias("outer_id"), F.col("from_ts").alias("outer_from"), F.col("to_ts").alias("outer_to"))
@@ -113,7 +113,7 @@ def contained_blocks(inner: DataFrame, outer: DataFrame, keys: Sequence[str] = (
     return binned_pairs(a, b, keys, ("inner_from", "inner_from"), ("outer_from", "outer_to"), inside, width=width)
 
 
-def orphan_blocks(inner: DataFrame, outer: DataFrame, keys: Sequence[str] = (), *, width: float = 900.0) -> DataFrame:
+def orphan_blocks(inner: DataFrame, outer: DataFrame, keys: Sequence[str] = ("recording_id",), *, width: float = 900.0) -> DataFrame:
     """Inner blocks that no outer block contains."""
     homes = contained_blocks(inner, outer, keys, width=width).select(*keys, F.col("inner_id").alias("id"))
     return inner.join(homes, [*keys, "id"], "left_anti")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,21 +29,40 @@ def enforce_audio_unique(obs: DataFrame) -> DataFrame:
     return audio.join(keep.select("id"), "id", "left_semi").unionByName(obs.where("type <> 'audio'"))
 
 
-def insert_or_ignore(base: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Existing keys win."""
-    return base.unionByName(new.join(base.select(*key), list(key), "left_anti").select(base.columns))
+def _one_of_each(new: DataFrame, key: Sequence[str], order: Sequence[str], last: bool) -> DataFrame:
+    """One row per key of ``new``: the first or last by ``order``, then by the other columns.
 
+    Picked by an aggregate that is combined before the shuffle. Keys that hold a null are all different, as
+    in a unique index.
+    """
+    rank = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in new.columns if c not in key and c not in order])
+    pick = F.max_by if last else F.min_by
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+    one = new.where(whole).groupBy(*key).agg(pick(F.struct(*new.columns), rank).alias("_row")).select("_row.*")
+    return one.unionByName(new.where(~whole))
+
+
+def insert_or_ignore(base: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Existing keys win; of new rows that repeat a key the first by ``order`` does."""
+    fresh = _one_of_each(new.select(base.columns), key, order, last=False)
+    return base.unionByName(fresh.join(base.select(*key), list(key), "left_anti").select(base.columns))
 
-def insert_or_replace(base: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """New keys win."""
-    return base.join(new.select(*key), list(key), "left_anti").select(base.columns).unionByName(new.select(base.columns))
 
+def insert_or_replace(base: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """New keys win; of new rows that repeat a key the last by ``order`` does."""
+    fresh = _one_of_each(new.select(base.columns), key, order, last=True)
+    return base.join(new.select(*key), list(key), "left_anti").select(base.columns).unionByName(fresh)
 
-def update_by_key(base: DataFrame, patch: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Values of ``patch`` replace those of ``base``; a null in the patch keeps the old value."""
+
+def update_by_key(base: DataFrame, patch: DataFrame, key: Sequence[str], *, keep_on_null: bool = False) -> DataFrame:
+    """Values of ``patch`` replace those of ``base``, nulls too; with ``keep_on_null`` a null keeps the old value.
+
+    ``patch`` has one row per key.
+    """
     changed = [c for c in patch.columns if c not in key]
-    renamed = patch.select(*key, *[F.col(c).alias(f"_new_{c}") for c in changed])
-    values = [F.coalesce(f"_new_{c}", c).alias(c) if c in changed else F.col(c) for c in base.columns]
+    renamed = patch.select(*key, F.lit(True).alias("_met"), *[F.col(c).alias(f"_new_{c}") for c in changed])
+    new = lambda c: F.coalesce(f"_new_{c}", c) if keep_on_null else F.when(F.col("_met"), F.col(f"_new_{c}")).otherwise(F.col(c))
+    values = [new(c).alias(c) if c in changed else F.col(c) for c in base.columns]
     return base.join(renamed, list(key), "left").select(*values)
 
 

@@ -2,8 +2,8 @@
 
 Every report is a table ``(keys, part, n, k, at, line)``; sorting a document by the four place columns
 gives its text. Lines are produced where their row lives, so a recording with very many blocks never
-has to fit into one task; :func:`assemble` puts short documents into one string, and
-``sources.tables.write_documents`` writes documents of any size.
+has to fit into one task; :func:`assemble` joins lines to texts, a long document to several,
+and ``sources.tables.write_documents`` writes documents of any size.
 """
 
 from __future__ import annotations
@@ -52,16 +52,28 @@ def line_sizes(lines: DataFrame, keys: Sequence[str] = REC) -> DataFrame:
     )
 
 
-def assemble(lines: DataFrame, keys: Sequence[str] = REC, *, max_chars: int = 4 * 131072) -> DataFrame:
-    """Documents of at most ``max_chars`` as one string; longer ones stay line tables (see :func:`line_sizes`).
+def assemble(lines: DataFrame, keys: Sequence[str] = REC, *, part_chars: int = 4 * 131072, together: int = 1000) -> DataFrame:
+    """Every document as text: ``(keys, part_no, content)``.
 
-    The default is what the largest request can hold.
+    A document of up to ``part_chars`` characters (what the largest request can hold) is one part, a longer
+    one several; its parts in order, joined by line feeds, are the whole document. Lines are counted in
+    groups of ``together`` places first, so the lines of a long document are not ordered in one task.
     """
-    short = line_sizes(lines, keys).where(F.col("chars") <= max_chars).select(*keys)
+    keys = list(keys)
+    rows = lines.withColumn("_group", F.floor(F.col("n") / together)).withColumn("_size", F.length("line") + 1)
+    group = [*keys, "part", "_group"]
+    sizes = rows.groupBy(*group).agg(F.sum("_size").alias("_chars"))
+    before = Window.partitionBy(*keys).orderBy("part", "_group").rowsBetween(Window.unboundedPreceding, -1)
+    heads = sizes.select(*group, F.coalesce(F.sum("_chars").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*group).orderBy(*PLACE, "line").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("_end", F.sum("_size").over(inside)).join(heads, group)
+    # The part a line belongs to is the one its first character lies in.
+    number = F.floor((F.col("_before") + F.col("_end") - F.col("_size")) / part_chars).cast("long")
     entries = F.array_sort(F.collect_list(F.struct(*PLACE, "line")))
-    return lines.join(short, list(keys)).groupBy(*keys).agg(
-        F.array_join(F.transform(entries, lambda e: e["line"]), "\n").alias("content")
-    )
+    parts = placed.groupBy(*keys, number.alias("_part")).agg(F.array_join(F.transform(entries, lambda e: e["line"]), "\n").alias("content"))
+    # A line longer than a part leaves numbers out.
+    in_order = Window.partitionBy(*keys).orderBy("_part")
+    return parts.select(*keys, (F.row_number().over(in_order) - 1).cast("long").alias("part_no"), "content")
 
 
 def long_date(seconds: Column) -> Column:
@@ -257,9 +269,14 @@ def session_document_lines(sessions: DataFrame, artifacts: DataFrame, speakers:
     return _union([head, kinds, meta, people, times])
 
 
+def _started(blocks: DataFrame) -> DataFrame:
+    """Blocks with 0 for a missing start, end or duration."""
+    return blocks.withColumns({c: F.coalesce(c, F.lit(0).cast(blocks.schema[c].dataType)) for c in ("from_ts", "to_ts", "duration")})
+
+
 def summary_sections(blocks: DataFrame, *, width: float = ordered.CHUNK_SECONDS) -> DataFrame:
-    """Blocks numbered by start, with the values every section of a summary shows."""
-    return ordered.row_index(blocks, REC, ["from_ts", "id"], "section_no", width=width)
+    """Blocks numbered by start, with the values every section of a summary shows; no start counts as 0."""
+    return ordered.row_index(_started(blocks), REC, ["from_ts", "id"], "section_no", width=width)
 
 
 def session_summary_lines(
@@ -340,7 +357,7 @@ def request_lines(
 
 def grouping_request_items(blocks: DataFrame, *, width: float = ordered.CHUNK_SECONDS) -> DataFrame:
     """Numbered block descriptions of a grouping request."""
-    placed = ordered.row_index(blocks, REC, ["from_ts", "id"], "_n", width=width)
+    placed = ordered.row_index(_started(blocks), REC, ["from_ts", "id"], "_n", width=width)
     listed = lambda c: F.coalesce(F.nullif(F.array_join(c, ", "), F.lit("")), F.lit("none"))
     return _lines(
         placed, REC, 1,
@@ -384,7 +401,7 @@ def artifact_requests(
         n=F.col("subject_no"),
     )
     owned = members.join(subjects.select(*REC, "subject_id", "subject_no"), [*REC, "subject_id"])
-    parts = owned.join(blocks.select(*REC, F.col("id").alias("block_id"), "from_ts", F.col("duration").alias("_d"), "key_description"), [*REC, "block_id"])
+    parts = owned.join(_started(blocks).select(*REC, F.col("id").alias("block_id"), "from_ts", F.col("duration").alias("_d"), "key_description"), [*REC, "block_id"])
     placed = ordered.row_index(parts, [*REC, "subject_id"], ["from_ts", "block_id"], "_n", width=width)
     length = F.when(F.col("_d") != 0, clock.duration_floor(F.col("_d"))).otherwise(F.lit("unknown"))
     line = _text("- Block ", (F.col("_n") + 1).cast("string"), " (", length, "): ", F.coalesce("key_description", F.lit("")))

@@ -122,7 +122,9 @@ def parse_groups_by_number(responses: DataFrame, blocks: DataFrame) -> DataFrame
     """Group members named by the position of the block in the request (from one)."""
     number = F.regexp_extract(tx.trim_blank(F.col("_member")), r"^([+-]?\d+)", 1).try_cast("long")
     named = _group_lines(responses, "blocks").select("recording_id", "line_no", "label", "position", number.alias("block_no"))
-    order = ordered.row_index(blocks.select("recording_id", "id", "from_ts"), ["recording_id"], ["from_ts", "id"], "_n")
+    # A block without a start counts from 0.
+    placed = blocks.select("recording_id", "id", F.coalesce("from_ts", F.lit(0)).alias("from_ts"))
+    order = ordered.row_index(placed, ["recording_id"], ["from_ts", "id"], "_n")
     numbered = order.select("recording_id", F.col("id").alias("block_id"), (F.col("_n") + 1).alias("block_no"))
     return named.join(numbered, ["recording_id", "block_no"])
 

@@ -288,7 +288,7 @@ def compact_blocks(blocks: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def fragmentation(inner: DataFrame, outer: DataFrame, keys: Sequence[str] = (), *, width: float = 900.0) -> DataFrame:
+def fragmentation(inner: DataFrame, outer: DataFrame, keys: Sequence[str] = ("recording_id",), *, width: float = 900.0) -> DataFrame:
     """Inner blocks per outer block, only outer blocks that contain any."""
     return contained_blocks(inner, outer, keys, width=width).groupBy(*keys, "outer_id").agg(F.count("*").alias("inner_blocks"))
 
@@ -302,7 +302,7 @@ def orphan_breakdown(orphans: DataFrame) -> DataFrame:
     )
 
 
-def block_diff(inner: DataFrame, outer: DataFrame, keys: Sequence[str] = (), *, width: float = 900.0) -> DataFrame:
+def block_diff(inner: DataFrame, outer: DataFrame, keys: Sequence[str] = ("recording_id",), *, width: float = 900.0) -> DataFrame:
     """What replacing the inner blocks by the outer ones would lose, and a verdict."""
     length = F.col("to_ts") - F.col("from_ts")
     few = F.col("observation_count") < 3

@@ -57,10 +57,10 @@ def grouped_members(groups: DataFrame) -> DataFrame:
 def fallback_members(blocks: DataFrame, *, width: float = ordered.CHUNK_SECONDS) -> DataFrame:
     """Consecutive personal or work blocks as subjects, for recordings without a usable answer.
 
-    A block is personal when any of its applications is a personal one.
+    A block is personal when any of its applications is a personal one. One without a start counts from 0.
     """
     personal = F.exists("apps", lambda a: a.isin(vocab.PERSONAL_APPS))
-    rows = blocks.select("recording_id", "id", "from_ts", F.coalesce(personal, F.lit(False)).alias("is_personal"))
+    rows = blocks.select("recording_id", "id", F.coalesce("from_ts", F.lit(0)).alias("from_ts"), F.coalesce(personal, F.lit(False)).alias("is_personal"))
     marked = ordered.islands(
         rows, ["recording_id"], ["from_ts", "id"], lambda a, b: a["is_personal"] != b["is_personal"], ["is_personal"], alias="first", width=width
     )

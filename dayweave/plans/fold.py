@@ -75,7 +75,8 @@ def ordered_fold(
     keys, columns = list(keys), list(columns)
     slot = [*keys, CHUNK]
     # Written once: every round reads these narrow rows instead of the plan behind them.
-    rows = with_chunk(df, order[0], width).select(*dict.fromkeys([*slot, *order, *columns])).checkpoint()
+    # A row without a time has no place in a sequence of times.
+    rows = with_chunk(df.where(F.col(order[0]).isNotNull()), order[0], width).select(*dict.fromkeys([*slot, *order, *columns])).checkpoint()
     first = json.dumps(initial)
     in_slot = Window.partitionBy(*slot).orderBy(*order)
     state_schema = T.StructType(

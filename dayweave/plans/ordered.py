@@ -15,17 +15,34 @@ from pyspark.sql import functions as F
 
 #: One hour of one key per chunk: at most 8,760 summary rows per key and year.
 CHUNK_SECONDS = 3600.0
+#: Rows of a scan without keys that one chunk should hold.
+CHUNK_ROWS = 100_000
 CHUNK = "_chunk"
+#: The chunk of rows without a time; it comes before all others.
+NO_TIME = -(1 << 62)
 
 
 def with_chunk(df: DataFrame, ts: str, width: float = CHUNK_SECONDS) -> DataFrame:
-    """Add the chunk number ``floor(ts / width)``; rows without a time have no place and are left out.
+    """Add the chunk number ``floor(ts / width)``; rows without a time come first, as in SQL.
 
-    The filter is written out so that the row side and the summary side of a scan read the same plan,
-    and Spark reuses one shuffle for both.
+    The number is never null, so the row side and the summary side of a scan read the same plan and Spark
+    reuses one shuffle for both.
     """
-    chunked = df.withColumn(CHUNK, F.floor(F.col(ts) / F.lit(float(width))).cast("long"))
-    return chunked.where(F.col(CHUNK).isNotNull())
+    return df.withColumn(CHUNK, F.coalesce(F.floor(F.col(ts) / F.lit(float(width))).cast("long"), F.lit(NO_TIME)))
+
+
+def fitting_width(df: DataFrame, keys: Sequence[str], ts: str, width: float) -> float:
+    """``width``, or for a scan without keys the width at which a chunk holds about ``CHUNK_ROWS`` rows.
+
+    Without keys a fixed width would put all rows of that time into one task, however many there are.
+    One aggregate runs when the plan is built.
+    """
+    if keys:
+        return width
+    span = df.agg(F.min(ts).alias("low"), F.max(ts).alias("high"), F.count(ts).alias("n")).first()
+    if not span.n or span.high == span.low:
+        return width
+    return min(width, float(span.high - span.low) * CHUNK_ROWS / span.n)
 
 
 def _by(*keys: str) -> Window:
@@ -57,6 +74,7 @@ def carry(
     nearest-neighbour lookup.
     """
     keys, names = list(keys), list(values)
+    width = fitting_width(df, keys, order[0], width)
     direction = (lambda c: F.col(c).desc()) if forward else (lambda c: F.col(c).asc())
     pick = F.min_by if forward else F.max_by
     rows = with_chunk(df, order[0], width).withColumns({f"_v_{n}": v for n, v in values.items()})
@@ -88,6 +106,7 @@ def running_total(
 ) -> DataFrame:
     """Inclusive running sum of ``value`` in ``order``; ``value=lit(1)`` numbers the rows from one."""
     keys = list(keys)
+    width = fitting_width(df, keys, order[0], width)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     rows = with_chunk(df, order[0], width)
     inside = _by(*keys, CHUNK).orderBy(*[direction(c) for c in order]).rowsBetween(
@@ -134,6 +153,7 @@ def islands(
     of its first row, so no per-key counter is needed.
     """
     keys = list(keys)
+    width = fitting_width(df, keys, order[0], width)
     start = F.struct(F.col(order[0]).alias("ts"), F.col(order[1]).alias("id"))
     rows = with_chunk(df, order[0], width).withColumn("_cur", _pack(compare))
     scan = _by(*keys, CHUNK).orderBy(*order)
@@ -152,7 +172,7 @@ def islands(
     )
     across = _by(*keys).orderBy(CHUNK)
     heads = heads.withColumn("_before", F.lag("_last").over(across))
-    fresh = F.col("_before").isNull() | breaks(F.col("_before"), F.col("_first"))
+    fresh = F.coalesce(F.col("_before").isNull() | breaks(F.col("_before"), F.col("_first")), F.lit(False))
     heads = heads.withColumn("_head", F.when(fresh, F.col("_first_at")))
     heads = heads.withColumn(
         "_in",
@@ -190,7 +210,7 @@ def trailing_count(
     keys = list(keys)
     chunked = with_chunk(df.withColumn("_flag", flag), ts, width)
     reach = F.floor((F.col(ts) + F.lit(float(seconds))) / F.lit(float(width))).cast("long")
-    spread = chunked.withColumn("_at", F.explode(F.sequence(F.col(CHUNK), reach)))
+    spread = chunked.withColumn("_at", F.explode(F.sequence(F.col(CHUNK), F.coalesce(reach, F.col(CHUNK)))))
     scan = _by(*keys, "_at").orderBy(ts).rangeBetween(-int(seconds), 0)
     return (
         spread.withColumn(alias, F.count_if("_flag").over(scan))

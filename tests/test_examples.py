@@ -315,3 +315,59 @@ def test_metadata_backfill(spark):
 def test_recent_cutoff(spark):
     obs = observations(spark, [(0, 1, "Debugging"), (100, 1, "Debugging")]).withColumn("activity_type", F.lit("Debugging"))
     assert filters.activity_since(obs, 50.0).first()["observations"] == 1
+
+
+def test_assemble_keeps_every_document(spark):
+    from dayweave.operators.reports import assemble
+
+    rows = [(1, 0, n, 0, 0.0, "x" * 100) for n in range(6000)] + [(1, 1, 0, k, float(k), f"end {k}") for k in range(3)] + [(2, 0, 0, 0, 0.0, "short")]
+    lines = spark.createDataFrame(rows, "recording_id long, part int, n long, k int, at double, line string")
+    found = assemble(lines, part_chars=200_000, together=700).collect()
+    whole = {key: "\n".join(r.content for r in sorted(found, key=lambda r: r.part_no) if r.recording_id == key) for key in (1, 2)}
+    assert whole == {1: "\n".join(["x" * 100] * 6000 + ["end 0", "end 1", "end 2"]), 2: "short"}
+    assert sorted(r.part_no for r in found if r.recording_id == 1) == [0, 1, 2, 3]
+    assert all(len(r.content) <= 200_100 for r in found)
+
+
+def test_rows_without_a_time_come_first(spark):
+    from dayweave.operators.maintenance import retention
+    from dayweave.plans import ordered
+
+    rows = spark.createDataFrame([(1, None, 5), (2, 7200.0, 5), (3, 10.0, 5), (4, None, 5)], "id long, timestamp double, bytes long")
+    assert {r.id: r.n for r in ordered.row_index(rows, [], ["timestamp", "id"], "n").collect()} == {1: 0, 4: 1, 3: 2, 2: 3}
+    assert sorted(r.id for r in retention(rows, 15, 10).collect()) == [1, 4]
+    runs = ordered.islands(rows, [], ["timestamp", "id"], lambda a, b: b["timestamp"] - a["timestamp"] > 60, ["timestamp"])
+    assert {r.id: r.run_id for r in runs.collect()} == {1: 1, 4: 1, 3: 1, 2: 2}
+
+
+def test_scans_without_keys_spread_over_chunks(spark, monkeypatch):
+    from dayweave.plans import ordered
+
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 50)
+    rows = spark.range(1000).selectExpr("id", "cast(id as double) / 10 as timestamp")
+    width = ordered.fitting_width(rows, [], "timestamp", ordered.CHUNK_SECONDS)
+    assert ordered.with_chunk(rows, "timestamp", width).select(ordered.CHUNK).distinct().count() >= 20
+    assert ordered.fitting_width(rows, ["id"], "timestamp", 3600.0) == 3600.0
+    found = ordered.row_index(rows, [], ["timestamp", "id"], "n").collect()
+    assert all(r.n == r.id for r in found)
+
+
+def test_blocks_without_a_start_count_from_zero(spark):
+    from dayweave.operators.subjects import fallback_members
+
+    blocks = spark.createDataFrame([(1, 1, None, ["WhatsApp"]), (1, 2, 50.0, ["VSCode"]), (1, 3, 60.0, ["VSCode"])], "recording_id long, id long, from_ts double, apps array<string>")
+    found = {r.block_id: (r.subject_id, r.label) for r in fallback_members(blocks).collect()}
+    assert found == {1: ("subject-1-0", "Personal"), 2: ("subject-1-1", "Work Session"), 3: ("subject-1-1", "Work Session")}
+
+
+def test_repeated_new_keys_and_cleared_values(spark):
+    from dayweave.operators import maintenance
+
+    base = spark.createDataFrame([(1, "old", 0), (None, "old", 0)], "key long, v string, at long")
+    new = spark.createDataFrame([(2, "a", 1), (2, "b", 2), (1, "c", 1), (None, "d", 1), (None, "e", 2)], "key long, v string, at long")
+    rows = lambda df: sorted(((r.key or 0), r.v) for r in df.collect())
+    assert rows(maintenance.insert_or_ignore(base, new, ["key"], ["at"])) == [(0, "d"), (0, "e"), (0, "old"), (1, "old"), (2, "a")]
+    assert rows(maintenance.insert_or_replace(base, new, ["key"], ["at"])) == [(0, "d"), (0, "e"), (0, "old"), (1, "c"), (2, "b")]
+    patch = spark.createDataFrame([(1, None)], "key long, v string")
+    assert rows(maintenance.update_by_key(base, patch, ["key"])) == [(0, "old"), (1, None)]
+    assert rows(maintenance.update_by_key(base, patch, ["key"], keep_on_null=True)) == [(0, "old"), (1, "old")]
