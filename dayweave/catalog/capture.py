@@ -10,7 +10,6 @@ from dayweave.operators import frames
 
 #: Events of one user lie hours apart, so the sampling steps are hours as well.
 BASE, THRESHOLD, FILL = 50000.0, 80000.0, 7000.0
-WIDE = 7 * 86400.0
 
 VIEWS["scenes"] = (
     "SELECT id * 4 + n AS id, recording_id, timestamp + 1234 + n * 3000 AS timestamp FROM obs0,"
@@ -49,14 +48,14 @@ def fill_sql(threshold: str, fill: str) -> str:
 
 @query("sample_base", f"{BASE_SAMPLES} SELECT recording_id, id, reason FROM samples")
 def _(t: Tables):
-    return frames.sample_base(t.frames(), BASE, width=WIDE).select("recording_id", "id", "reason")
+    return frames.sample_base(t.frames(), BASE).select("recording_id", "id", "reason")
 
 
 @query("gap_fill", f"{BASE_SAMPLES}, {fill_sql(str(THRESHOLD), str(FILL))} SELECT recording_id, id FROM filled")
 def _(t: Tables):
     distinct = frames.one_per_timestamp(t.frames())
-    samples = frames.sample_base(t.frames(), BASE, width=WIDE)
-    return frames.gap_fill(distinct, samples, F.lit(THRESHOLD), F.lit(FILL), width=WIDE).select("recording_id", "id")
+    samples = frames.sample_base(t.frames(), BASE)
+    return frames.gap_fill(distinct, samples, F.lit(THRESHOLD), F.lit(FILL)).select("recording_id", "id")
 
 
 @query(
@@ -65,7 +64,7 @@ def _(t: Tables):
     UNION ALL SELECT recording_id, id, reason FROM filled""",
 )
 def _(t: Tables):
-    return frames.adaptive_sample(t.frames(), BASE, THRESHOLD, FILL, width=WIDE).select("recording_id", "id", "reason")
+    return frames.adaptive_sample(t.frames(), BASE, THRESHOLD, FILL).select("recording_id", "id", "reason")
 
 
 VIEWS["scene_frames"] = (
@@ -79,7 +78,7 @@ VIEWS["scene_frames"] = (
     arg_min(f.id, {'d': abs(f.timestamp - s.timestamp), 't': f.timestamp}) AS id FROM scenes s
     JOIN frames f ON f.recording_id = s.recording_id GROUP BY 1, 2""")
 def _(t: Tables):
-    return frames.nearest_frames(t.frames(), scenes(t), width=WIDE).select("recording_id", "target", "id").distinct()
+    return frames.nearest_frames(t.frames(), scenes(t)).select("recording_id", "target", "id").distinct()
 
 
 SCENE_SAMPLES = f"""WITH RECURSIVE walk AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY timestamp, id) AS i,
@@ -98,7 +97,7 @@ SCENE_SAMPLES = f"""WITH RECURSIVE walk AS (SELECT *, row_number() OVER (PARTITI
     f"{SCENE_SAMPLES} SELECT recording_id, id, reason FROM samples UNION ALL SELECT recording_id, id, reason FROM filled",
 )
 def _(t: Tables):
-    found = frames.sample_with_scenes(t.frames(), scenes(t), BASE, THRESHOLD, FILL, width=WIDE)
+    found = frames.sample_with_scenes(t.frames(), scenes(t), BASE, THRESHOLD, FILL)
     return found.select("recording_id", "id", "reason")
 
 
@@ -112,7 +111,7 @@ def _(t: Tables):
     count(*) FILTER (reason = 'scene_change') AS scene_change FROM taken GROUP BY 1) s USING (recording_id)""",
 )
 def _(t: Tables):
-    return frames.sampling_stats(t.frames(), frames.adaptive_sample(t.frames(), BASE, THRESHOLD, FILL, width=WIDE))
+    return frames.sampling_stats(t.frames(), frames.adaptive_sample(t.frames(), BASE, THRESHOLD, FILL))
 
 
 @query(
@@ -122,7 +121,7 @@ def _(t: Tables):
     AND f.timestamp - p.ts >= 8000 GROUP BY 1) SELECT recording_id, ts FROM picked""",
 )
 def _(t: Tables):
-    return frames.scene_dedup(scenes(t), 8000.0, width=WIDE).select("recording_id", F.col("timestamp").alias("ts"))
+    return frames.scene_dedup(scenes(t), 8000.0).select("recording_id", F.col("timestamp").alias("ts"))
 
 
 @query(
@@ -206,12 +205,12 @@ def guard_sql(throttled: str, bits: int, interval: float) -> str:
 
 @query("drop_near_duplicates", guard_sql("false", 12, 0.0))
 def _(t: Tables):
-    return frames.drop_near_duplicates(t.frames(), 12, width=WIDE).select("id")
+    return frames.drop_near_duplicates(t.frames(), 12).select("id")
 
 
 @query("throttle", guard_sql("changes > 30", 12, 9000.0))
 def _(t: Tables):
-    return frames.throttle(t.frames(), 9000.0, 12, 200000.0, 30, width=WIDE).select("id")
+    return frames.throttle(t.frames(), 9000.0, 12, 200000.0, 30).select("id")
 
 
 @query(

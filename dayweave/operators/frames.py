@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from dayweave.functions.numbers import half_up, hamming, hash_from_hex
 from dayweave.plans import ordered
 from dayweave.plans.fold import ordered_fold
+from dayweave.session import ensure_checkpoint_dir
 
 REC = ["recording_id"]
 ORDER = ["timestamp", "id"]
@@ -46,6 +47,10 @@ def _greedy_step(keys: int):
     return step
 
 
+#: Intervals a chunk of a greedy scan spans at least; shorter chunks would hardly hold a kept row.
+SPANNED = 20
+
+
 def _greedy(df: DataFrame, keys: Sequence[str], interval: Column, scene: Column, first_counts: bool, width: float) -> DataFrame:
     rows = df.select(
         *keys, *ORDER, interval.cast("double").alias("_interval"), scene.alias("_scene"), F.lit(first_counts).alias("_first")
@@ -56,13 +61,13 @@ def _greedy(df: DataFrame, keys: Sequence[str], interval: Column, scene: Column,
 
 def sample_base(frames: DataFrame, base: float = 10.0, *, width: float = ordered.CHUNK_SECONDS) -> DataFrame:
     """First frame of each recording, then every frame at least ``base`` seconds after the last kept one."""
-    kept = _greedy(one_per_timestamp(frames), REC, F.lit(base), F.lit(False), True, width)
+    kept = _greedy(one_per_timestamp(frames), REC, F.lit(base), F.lit(False), True, max(width, SPANNED * base))
     return kept.withColumn("reason", F.lit("base"))
 
 
 def scene_dedup(scenes: DataFrame, min_interval: float = 2.0, *, width: float = ordered.CHUNK_SECONDS) -> DataFrame:
     """Scene times at least ``min_interval`` after the last kept one."""
-    return _greedy(scenes, REC, F.lit(min_interval), F.lit(False), True, width)
+    return _greedy(scenes, REC, F.lit(min_interval), F.lit(False), True, max(width, SPANNED * min_interval))
 
 
 def gap_fill(
@@ -92,7 +97,8 @@ def adaptive_sample(
 ) -> DataFrame:
     """Base samples and the frames that fill their gaps."""
     distinct = one_per_timestamp(frames)
-    samples = sample_base(frames, base, width=width)
+    # Read by both parts of the result.
+    samples = sample_base(frames, base, width=width).checkpoint()
     return samples.unionByName(gap_fill(distinct, samples, F.lit(threshold), F.lit(fill), width=width))
 
 
@@ -141,9 +147,11 @@ def sample_with_scenes(
     tuned = distinct.join(counts, REC, "left").na.fill(0, ["_scenes"])
     n = F.col("_scenes")
     at_scene = nearest_frames(distinct, scenes, width=width).select(*REC, *ORDER).distinct().withColumn("reason", F.lit("scene_change"))
+    ensure_checkpoint_dir(frames.sparkSession)
+    at_scene = at_scene.checkpoint()
     flagged = tuned.join(at_scene, [*REC, *ORDER], "left")
-    between = _greedy(flagged, REC, adaptive_interval(n, F.lit(base)), F.col("reason").isNotNull(), False, width)
-    samples = at_scene.unionByName(between.withColumn("reason", F.lit("base")))
+    between = _greedy(flagged, REC, adaptive_interval(n, F.lit(base)), F.col("reason").isNotNull(), False, max(width, SPANNED * base))
+    samples = at_scene.unionByName(between.withColumn("reason", F.lit("base"))).checkpoint()
     filled = gap_fill(tuned, samples, adaptive_threshold(n, F.lit(threshold)), adaptive_fill(n, F.lit(fill)), width=width)
     return samples.unionByName(filled)
 
@@ -236,7 +244,7 @@ def throttle(
 ) -> DataFrame:
     """Near-duplicate drop, and while the picture churns at most one kept frame per ``interval``."""
     watched = churn(frames, threshold, window, limit, keys=keys)
-    return _guard(watched, F.col("throttled"), list(keys), threshold, interval, width)
+    return _guard(watched, F.col("throttled"), list(keys), threshold, interval, max(width, SPANNED * interval))
 
 
 def similarity_pairs(hashes: DataFrame, max_dist: int = 4) -> DataFrame:

@@ -1,10 +1,13 @@
 """Exact ordered folds that do not put a whole key into one task.
 
 Some operators carry a small state from row to row (the last kept time, the last kept hash). The key
-is cut into time chunks; all chunks are folded at once from the initial state, then only the chunks
-whose predecessor ended in a different state than they were given are folded again. Greedy states
-forget their start quickly, so few chunks need a further round; the loop ends when every chunk was
-given exactly its predecessor's final state, which makes the result equal to the sequential fold.
+is cut into time chunks, and a chunk is treated as a map from the state before it to the state after it.
+Every chunk is folded from the initial state at once; then each from the states its predecessor was seen
+to end in, and so on until no chunk meets a state it was not folded from. The maps are remembered, so the
+number of rounds follows from how many states a chunk can be entered with (the phases of a sampler, one
+or two where the fold forgets its start), not from how many chunks there are. One walk over the maps, a
+few rows per chunk, then picks the state every chunk is really entered with, which makes the result equal
+to the sequential fold.
 """
 
 from __future__ import annotations
@@ -13,13 +16,14 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from dayweave.plans.ordered import CHUNK, CHUNK_SECONDS, with_chunk
+from dayweave.plans.ordered import CHUNK, CHUNK_SECONDS, fitting_width, with_chunk
 from dayweave.session import ensure_checkpoint_dir
 
 #: ``step(state, row) -> (state, output rows)``; the row is a tuple of the ``columns`` values.
@@ -74,14 +78,17 @@ def ordered_fold(
     ensure_checkpoint_dir(df.sparkSession)
     keys, columns = list(keys), list(columns)
     slot = [*keys, CHUNK]
-    # Written once: every round reads these narrow rows instead of the plan behind them.
-    # A row without a time has no place in a sequence of times.
-    rows = with_chunk(df.where(F.col(order[0]).isNotNull()), order[0], width).select(*dict.fromkeys([*slot, *order, *columns])).checkpoint()
+    # Written once: every round reads these narrow rows instead of the plan behind them. A row without a
+    # time has no place in a sequence of times.
+    timed = df.where(F.col(order[0]).isNotNull())
+    rows = with_chunk(timed, order[0], fitting_width(timed, keys, order[0], width))
+    rows = rows.select(*dict.fromkeys([*slot, *order, *columns])).checkpoint()
     first = json.dumps(initial)
-    in_slot = Window.partitionBy(*slot).orderBy(*order)
+    in_slot = Window.partitionBy(*slot, "_given").orderBy(*order)
     state_schema = T.StructType(
         [*[rows.schema[k] for k in slot], T.StructField("_given", T.StringType()), T.StructField("_left", T.StringType())]
     )
+    given_schema = T.StructType(state_schema.fields[:-1])
     state_arrow, out_arrow = to_arrow_schema(state_schema), to_arrow_schema(schema)
 
     def final_states(batches):
@@ -94,14 +101,25 @@ def ordered_fold(
     def placed(given: DataFrame) -> DataFrame:
         return rows.join(given, slot).withColumn("_n", F.row_number().over(in_slot))
 
-    seeded = rows.withColumn("_given", F.lit(first)).withColumn("_n", F.row_number().over(in_slot))
-    states = seeded.mapInArrow(final_states, state_schema).checkpoint()
+    def walk(group: tuple, maps: pd.DataFrame) -> pd.DataFrame:
+        state, out = first, []
+        for chunk, some in maps.sort_values(CHUNK, kind="stable").groupby(CHUNK, sort=True):
+            out.append((*group[: len(keys)], chunk, state))
+            state = some.loc[some["_given"] == state, "_left"].iloc[0]
+        return pd.DataFrame(out, columns=[*slot, "_given"])
+
     across = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(CHUNK)
+    after = rows.select(*slot).distinct().withColumn("_after", F.lead(CHUNK).over(across)).where("_after is not null").checkpoint()
+    seeded = rows.withColumn("_given", F.lit(first)).withColumn("_n", F.row_number().over(in_slot))
+    fresh = seeded.mapInArrow(final_states, state_schema).checkpoint()
+    maps = fresh
     while True:
-        wanted = states.withColumn("_want", F.coalesce(F.lag("_left").over(across), F.lit(first)))
-        stale = wanted.where("_want <> _given").select(*slot, F.col("_want").alias("_given")).checkpoint()
-        if stale.isEmpty():
+        met = fresh.join(after, slot).select(*keys, F.col("_after").alias(CHUNK), F.col("_left").alias("_given")).distinct()
+        new = met.join(maps, [*slot, "_given"], "left_anti").checkpoint()
+        if new.isEmpty():
             break
-        again = placed(stale).mapInArrow(final_states, state_schema)
-        states = states.join(stale, slot, "left_anti").unionByName(again).checkpoint()
-    return placed(states.select(*slot, "_given")).mapInArrow(outputs, schema)
+        fresh = placed(new).mapInArrow(final_states, state_schema).checkpoint()
+        maps = maps.unionByName(fresh)
+    by = [F.col(k) for k in keys] or [F.lit(0)]
+    chosen = maps.groupBy(*by).applyInPandas(walk, given_schema)
+    return placed(chosen).mapInArrow(outputs, schema)

@@ -204,3 +204,25 @@ def test_components_and_independent_set(spark):
     nodes = spark.range(130).select(F.col("id").cast("int").alias("node"), F.col("id").alias("rank"))
     found = first_independent(nodes, spark.createDataFrame(sorted(edges), "earlier int, later int"))
     assert {r["node"] for r in found.collect()} == accepted
+
+
+@pytest.mark.parametrize("step", [7.0, 2.1, 0.97])
+def test_fold_rounds_do_not_grow_with_the_chunks(spark, step, monkeypatch):
+    """A steady frame rate keeps its phase for ever; rounds follow from the phases, not from the chunks."""
+    from dayweave.operators.frames import sample_base
+    from dayweave.plans import fold
+
+    hours, rounds, plain = 240, [], []
+    found_empty = fold.DataFrame.isEmpty
+    monkeypatch.setattr(fold.DataFrame, "isEmpty", lambda self: rounds.append(1) or found_empty(self))
+    n = int(hours * 3600 / step)
+    frames = spark.range(n).selectExpr("1L as recording_id", "id", f"round(id * {step}D, 2) as timestamp")
+    found = [r.id for r in sample_base(frames, 10.0).select("id").orderBy("id").collect()]
+    last = None
+    for i in range(n):
+        at = round(i * step, 2)
+        if last is None or at - last >= 10.0:
+            plain.append(i)
+            last = at
+    assert found == plain
+    assert len(rounds) <= 14
