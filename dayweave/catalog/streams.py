@@ -50,8 +50,8 @@ def _(t: Tables):
 
     live.flush_updates(live.open_blocks(events(t), 21600.0), merge)
     changes = t.spark.read.parquet(target)
-    latest = F.max_by(F.struct("to_ts", "observation_count", "is_open"), F.struct("version", "observation_count", ~F.col("is_open")))
-    blocks = changes.groupBy("recording_id", "from_ts").agg(latest.alias("b"))
+    latest = F.max_by(F.struct("to_ts", "observation_count", "is_open"), "version")
+    blocks = changes.groupBy("recording_id", "from_ts").agg(latest.alias("b")).where("b.observation_count > 0")
     return blocks.select("recording_id", "from_ts", "b.to_ts", "b.observation_count", "b.is_open")
 
 

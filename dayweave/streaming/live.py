@@ -1,19 +1,20 @@
 """Structured Streaming forms of the operators.
 
 Event time and a watermark decide what is late. Rows inside the watermark are merged into the right
-block; older ones are dropped by the stateful operator and counted (:func:`late_rows`).
+block; older ones are dropped by the stateful operator and counted (:class:`LateRows`).
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from dayweave.functions.text import canonical_activity
 from dayweave.session import ensure_checkpoint_dir
@@ -55,9 +56,38 @@ def flush_updates(stream: DataFrame, merge: Callable[[DataFrame, int], None], *,
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def late_rows(query) -> int:
-    """Rows a running or finished query dropped because they were older than the watermark."""
-    return sum(int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators)
+class LateRows(StreamingQueryListener):
+    """Counts the rows every query dropped because they were older than the watermark, from its first batch on.
+
+    A query itself keeps only its newest progress reports, so the count is added up as they arrive.
+    """
+
+    def __init__(self) -> None:
+        self.by_query: Counter[str] = Counter()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.by_query[str(event.progress.id)] += sum(int(op.numRowsDroppedByWatermark) for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def watch_late_rows(spark: SparkSession) -> LateRows:
+    """Start counting late rows of all queries of the session."""
+    watch = LateRows()
+    spark.streams.addListener(watch)
+    return watch
+
+
+def late_rows(query, watch: LateRows) -> int:
+    """Rows a query dropped since ``watch`` began, its restarts included."""
+    return watch.by_query[str(query.id)]
 
 
 def closed_blocks(obs: DataFrame, gap: str = "60 seconds", keys: tuple[str, ...] = ("recording_id",), event_time: str = "at") -> DataFrame:
@@ -70,47 +100,61 @@ def closed_blocks(obs: DataFrame, gap: str = "60 seconds", keys: tuple[str, ...]
 
 
 class _OpenBlock(StatefulProcessor):
-    """Latest block of a key: extended while rows follow within the gap, replaced otherwise."""
+    """The blocks of a key that rows inside the watermark can still change, and its latest block."""
 
-    def __init__(self, gap: float):
-        self.gap = gap
+    def __init__(self, gap: float, idle: float):
+        self.gap, self.idle = gap, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.block = handle.getValueState("block", "from_ts double, to_ts double, n bigint")
+        self.handle = handle
+        self.blocks = handle.getValueState("blocks", "from_ts array<double>, to_ts array<double>, n array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.block.get() if self.block.exists() else None
-        start, end, n = state if state else (None, None, 0)
-        out = []
-        times = sorted(x for pdf in rows for x in pdf["timestamp"].tolist())
-        for ts in times:
-            if start is not None and ts - end <= self.gap:
-                # A late row belongs to this block only when it lies within the gap before it.
-                if ts < start - self.gap:
-                    continue
-                start, end, n = min(start, ts), max(end, ts), n + 1
-            else:
-                if start is not None:
-                    out.append((key[0], start, end, n, False))
-                start, end, n = ts, ts, 1
-        if start is not None:
-            self.block.update((start, end, n))
-            out.append((key[0], start, end, n, True))
+        known = list(zip(*self.blocks.get())) if self.blocks.exists() else []
+        before = dict((b[0], b) for b in known)
+        blocks = list(known)
+        for ts in sorted(x for pdf in rows for x in pdf["timestamp"].tolist()):
+            near = [b for b in blocks if b[0] - self.gap <= ts <= b[1] + self.gap]
+            whole = (min([ts, *(b[0] for b in near)]), max([ts, *(b[1] for b in near)]), 1 + sum(b[2] for b in near))
+            blocks = [b for b in blocks if b not in near] + [whole]
+        blocks.sort()
+        now = dict((b[0], b) for b in blocks)
+        latest = blocks[-1][0]
+        out = [(key[0], start, None, 0, False) for start in before if start not in now]
+        was_latest = known[-1][0] if known else None
+        for start, end, n in blocks:
+            if before.get(start) != (start, end, n) or (start == was_latest) != (start == latest):
+                out.append((key[0], start, end, n, start == latest))
+        # Blocks that no row inside the watermark can reach any more are done, but for the latest.
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
+        kept = [b for b in blocks if b[1] + self.gap >= passed or b[0] == latest]
+        self.blocks.update(tuple(list(x) for x in zip(*kept)))
+        self.handle.registerTimer(int((blocks[-1][1] + self.idle) * 1000))
         yield pd.DataFrame(out, columns=["recording_id", "from_ts", "to_ts", "observation_count", "is_open"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
+        if self.blocks.exists() and max(self.blocks.get()[1]) + self.idle <= passed:
+            self.blocks.clear()
+        yield pd.DataFrame([], columns=["recording_id", "from_ts", "to_ts", "observation_count", "is_open"])
+
     def close(self) -> None:
         pass
 
 
-def open_blocks(obs: DataFrame, gap: float = 60.0) -> DataFrame:
-    """Every change of the latest block per recording; a block is named by recording and start.
+def open_blocks(obs: DataFrame, gap: float = 60.0, *, event_time: str = "at", idle: float = 30 * 86400.0) -> DataFrame:
+    """Every change of the blocks per recording; a block is named by recording and start.
 
-    Needs the RocksDB state store (see :func:`use_keyed_state`).
+    A row inside the watermark of ``event_time`` reaches the block it belongs to, also one that is no longer
+    the latest; where it moves a start or joins two blocks, the former name is reported once more with a
+    count of zero. Older rows are dropped and counted (:class:`LateRows`). ``is_open`` marks the latest
+    block. A recording without rows for ``idle`` seconds of event time leaves the state. Needs the RocksDB
+    state store (see :func:`use_keyed_state`).
     """
     kind = obs.schema["recording_id"].dataType.simpleString()
     schema = f"recording_id {kind}, from_ts double, to_ts double, observation_count bigint, is_open boolean"
-    return obs.select("recording_id", "timestamp").groupBy("recording_id").transformWithStateInPandas(
-        _OpenBlock(gap), schema, outputMode="Update", timeMode="None"
+    return obs.select("recording_id", "timestamp", event_time).groupBy("recording_id").transformWithStateInPandas(
+        _OpenBlock(gap, idle), schema, outputMode="Update", timeMode="EventTime"
     )
 
 

@@ -117,3 +117,39 @@ def test_stream_continues_where_it_stopped(spark, tmp_path, batches):
         add(n * 1000, n * 1000 + 10)
         out = run()
     assert sorted(r["observation_count"] for r in out.collect()) == [10] * (batches - 1)
+
+
+def test_open_blocks_take_late_rows_and_count_later_ones(spark, tmp_path):
+    """Four micro-batches: an open block, its late row that joins two blocks, and a row behind the watermark."""
+    import time
+
+    from pyspark.sql import types as T
+
+    live.use_keyed_state(spark)
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    watch = live.watch_late_rows(spark)
+    ids = set()
+
+    def run(n, times):
+        rows = spark.createDataFrame([(1, float(x)) for x in times], "recording_id int, timestamp double").coalesce(1)
+        rows.select("recording_id", F.timestamp_seconds("timestamp").alias("at"), "timestamp").write.mode("append").parquet(source)
+        stream = live.stream_rows(spark, source, T.StructType.fromDDL("recording_id int, at timestamp, timestamp double"), "at", "500 seconds")
+        writer = live.open_blocks(stream, 60.0).writeStream.outputMode("update").option("checkpointLocation", f"{target}/state")
+        query = writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{target}/data/version={n * 100 + i}")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        ids.add(query)
+        changes = spark.read.parquet(f"{target}/data").groupBy("from_ts").agg(F.max_by(F.struct("to_ts", "observation_count", "is_open"), "version").alias("b"))
+        return sorted(tuple(r) for r in changes.where("b.observation_count > 0").select("from_ts", "b.to_ts", "b.observation_count", "b.is_open").collect())
+
+    assert run(0, [1000, 1030]) == [(1000.0, 1030.0, 2, True)]
+    assert run(1, [1130, 1150]) == [(1000.0, 1030.0, 2, False), (1130.0, 1150.0, 2, True)]
+    # Within the gap of both: they are one block.
+    assert run(2, [1080, 1300]) == [(1000.0, 1150.0, 5, False), (1300.0, 1300.0, 1, True)]
+    assert run(3, [5000]) == [(1000.0, 1150.0, 5, False), (1300.0, 1300.0, 1, False), (5000.0, 5000.0, 1, True)]
+    assert run(4, [1310, 5010])[-1] == (5000.0, 5010.0, 2, True)
+    for _ in range(100):
+        if sum(live.late_rows(q, watch) for q in {q.id: q for q in ids}.values()):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(watch)
+    assert sum(live.late_rows(q, watch) for q in {q.id: q for q in ids}.values()) == 1

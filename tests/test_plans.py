@@ -212,7 +212,7 @@ def test_fold_rounds_do_not_grow_with_the_chunks(spark, step, monkeypatch):
     from dayweave.operators.frames import sample_base
     from dayweave.plans import fold
 
-    hours, rounds, plain = 240, [], []
+    hours, rounds, plain = 120, [], []
     found_empty = fold.DataFrame.isEmpty
     monkeypatch.setattr(fold.DataFrame, "isEmpty", lambda self: rounds.append(1) or found_empty(self))
     n = int(hours * 3600 / step)
