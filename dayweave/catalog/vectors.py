@@ -43,12 +43,12 @@ def _(t: Tables):
 
 @query(
     "cluster_embeddings",
-    """WITH RECURSIVE near AS (SELECT a.id AS a, b.id AS b FROM vecs a JOIN vecs b ON a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= 0.44),
+    """WITH RECURSIVE near AS (SELECT a.id AS a, b.id AS b FROM vecs a JOIN vecs b ON a.label = b.label AND a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= 0.44),
     reach AS (SELECT id, id AS c FROM vecs UNION SELECT n.b, r.c FROM reach r JOIN near n ON n.a = r.id)
-    SELECT id, min(c) AS cluster_id FROM reach GROUP BY 1""",
+    SELECT label, id, min(c) AS cluster_id FROM reach JOIN vecs USING (id) GROUP BY 1, 2""",
 )
 def _(t: Tables):
-    return vectors.cluster_embeddings(table(t).select("id", "vector"), 0.56)
+    return vectors.cluster_embeddings(table(t), 0.56, ["label"])
 
 
 @query(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,8 +13,6 @@ from pyspark.sql import types as T
 from dayweave.functions.numbers import cosine, dot
 from dayweave.plans.graphs import connected_components
 
-#: At most this many pivots are collected and broadcast, whatever the size of the data.
-MAX_PIVOTS = 256
 #: Vectors per side of one comparison task.
 BLOCK_ROWS = 1000
 
@@ -34,47 +31,21 @@ def _unit(vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _celled(unit: DataFrame, pivots: list[list[float]]) -> DataFrame:
-    """Angles to all pivots, the nearest pivot and its angle."""
-    table = F.array(*[F.array(*[F.lit(x) for x in p]) for p in pivots])
-    angles = F.transform(table, lambda p: F.acos(F.least(F.greatest(dot(F.col("u"), p), F.lit(-1.0)), F.lit(1.0))))
-    rows = unit.withColumn("angles", angles).withColumn("near", F.array_min("angles"))
-    return rows.withColumn("home", F.array_position("angles", F.col("near")) - 1)
-
-
-def _pivots(unit: DataFrame, share: int) -> list[list[float]]:
-    """A bounded sample of vectors, chosen by a hash of the id."""
-    n = min(MAX_PIVOTS, max(1, math.ceil(unit.count() / share)))
-    return [list(r["u"]) for r in unit.orderBy(F.xxhash64("id"), "id").limit(n).select("u").collect()]
-
-
-def _blocked(rows: DataFrame, slot: Sequence[str], mine: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with their block inside the slot, and the number of blocks of every slot."""
-    sizes = rows.groupBy(*slot).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(f"n_{mine}"))
-    placed = rows.join(sizes, list(slot)).withColumn(mine, F.pmod(F.xxhash64("id"), F.col(f"n_{mine}")).cast("int"))
-    return placed.drop(f"n_{mine}"), sizes
-
-
-def cosine_pairs(vectors: DataFrame, min_cosine: float, keys: Sequence[str] = (), *, share: int = 2000) -> DataFrame:
+def cosine_pairs(vectors: DataFrame, min_cosine: float, keys: Sequence[str] = ("recording_id",)) -> DataFrame:
     """All pairs ``(id_a < id_b)`` of a key at least ``min_cosine`` similar, exactly.
 
-    Every vector belongs to the cell of its nearest pivot and visits every cell whose pivot lies within
-    its own distance plus twice the search angle; by the triangle inequality no similar pair is missed.
-    A cell is compared in blocks of about a thousand vectors, so a cell of any size is spread over many
-    tasks, each a small matrix product.
+    The vectors of a key are cut into blocks of about a thousand; every two blocks of a key are one task, a
+    small matrix product, so a key of any size is spread. No pair across keys is computed. The cost is all
+    pairs of a key; without keys it is all pairs of the table, so count copies as one vector first (see
+    :func:`cluster_embeddings`).
     """
     keys = list(keys)
     unit = _unit(vectors, keys)
-    rows = _celled(unit, _pivots(unit, share))
-    reach = 2 * math.acos(min_cosine) + 1e-9
-    visits = F.filter(F.sequence(F.lit(0), F.size("angles") - 1), lambda i: F.get("angles", i) <= F.col("near") + reach)
-    slot = [*keys, "cell"]
-    a, n_a = _blocked(rows.select(*keys, F.col("home").cast("int").alias("cell"), "id", "u"), slot, "block_a")
-    b, n_b = _blocked(rows.select(*keys, F.explode(visits).alias("cell"), "id", "u"), slot, "block_b")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = a.join(n_b, slot).withColumn("block_b", every("n_block_b")).drop("n_block_b")
-    b = b.join(n_a, slot).withColumn("block_a", every("n_block_a")).drop("n_block_a")
-    tile = [*slot, "block_a", "block_b"]
+    counts = unit.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    placed = unit.withColumn("_all", F.lit(0)).join(counts.withColumn("_all", F.lit(0)), ["_all", *keys]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    a = placed.select(*keys, "id", "u", F.col("mine").alias("x"), F.explode(F.sequence(F.col("mine"), F.col("blocks") - 1)).alias("y"))
+    b = placed.select(*keys, "id", "u", F.explode(F.sequence(F.lit(0), F.col("mine"))).alias("x"), F.col("mine").alias("y"))
+    tile = [*keys, "x", "y"]
     b = b.select(*[F.col(c).alias(c) for c in b.columns])  # fresh names for the second side of the cogroup
     kind = {f.name: f.dataType for f in vectors.schema}
     schema = T.StructType(
@@ -86,22 +57,25 @@ def cosine_pairs(vectors: DataFrame, min_cosine: float, keys: Sequence[str] = ()
             return pd.DataFrame(columns=schema.names)
         near = np.stack(left["u"].to_list()) @ np.stack(right["u"].to_list()).T
         ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
-        i, j = np.nonzero((near >= min_cosine) & (ids_a[:, None] < ids_b[None, :]))
-        found = pd.DataFrame({"id_a": ids_a[i], "id_b": ids_b[j], "similarity": near[i, j]})
+        # A block meets itself with every pair twice, another block with every pair once.
+        wanted = ids_a[:, None] < ids_b[None, :] if left["x"].iloc[0] == left["y"].iloc[0] else ids_a[:, None] != ids_b[None, :]
+        i, j = np.nonzero((near >= min_cosine) & wanted)
+        found = pd.DataFrame({"id_a": np.minimum(ids_a[i], ids_b[j]), "id_b": np.maximum(ids_a[i], ids_b[j]), "similarity": near[i, j]})
         return found.assign(**{k: left[k].iloc[0] for k in keys})[schema.names]
 
     return a.groupBy(*tile).cogroup(b.groupBy(*tile)).applyInPandas(compare, schema)
 
 
-def cluster_embeddings(vectors: DataFrame, max_distance: float = 0.15, *, share: int = 2000) -> DataFrame:
-    """Groups of vectors connected by pairs within the cosine distance; ids are unique over all keys.
+def cluster_embeddings(vectors: DataFrame, max_distance: float = 0.15, keys: Sequence[str] = ("recording_id",)) -> DataFrame:
+    """Groups of vectors of a key connected by pairs within the cosine distance; ids are unique over all keys.
 
     Copies of one vector are linked to their smallest id first, so only distinct vectors are compared.
-    Connected groups replace average linkage, which needs all distances of a key in one place.
+    These are connected groups: a chain of near pairs is one group, where average linkage may cut it.
     """
-    copies = vectors.groupBy("vector").agg(F.min("id").alias("rep"))
-    same = vectors.join(copies, "vector").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    distinct = copies.select(F.col("rep").alias("id"), "vector")
-    pairs = cosine_pairs(distinct, 1 - max_distance, share=share)
+    keys = list(keys)
+    copies = vectors.groupBy(*keys, "vector").agg(F.min("id").alias("rep"))
+    same = vectors.join(copies, [*keys, "vector"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    distinct = copies.select(*keys, F.col("rep").alias("id"), "vector")
+    pairs = cosine_pairs(distinct, 1 - max_distance, keys)
     found = connected_components(same.unionByName(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
-    return vectors.join(found, vectors.id == found.node, "left").select("id", F.coalesce("component", "id").alias("cluster_id"))
+    return vectors.join(found, vectors.id == found.node, "left").select(*keys, "id", F.coalesce("component", "id").alias("cluster_id"))

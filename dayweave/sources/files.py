@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from dayweave.functions.clock import timestamp_text_seconds
 from dayweave.functions.text import trim_blank
+from dayweave.session import ensure_checkpoint_dir
 
 CAPTURE = (
     "platform string, pretty_name string, sharing struct<id string, link string>, segments array<struct<display struct<path string>,"
@@ -70,19 +71,21 @@ def scan_frame_listing(spark: SparkSession, path: str) -> DataFrame:
 def scan_frame_dir(spark: SparkSession, path: str, interval: float = 2.0) -> DataFrame:
     """Frames of one folder per recording, timed by their place in name order.
 
-    Names are counted per eight-character prefix first, so a folder of any size is numbered in parallel.
+    Names are dealt into ranges of nearby names first and counted there, so a folder of any size is
+    numbered in parallel, however its files are named.
     """
     shots = _listing(spark, path).where(F.col("path").endswith(".jpg")).select(
-        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("recording_id"),
-        F.col("path").alias("image_path"),
-        F.substring(F.regexp_extract("path", r"([^/]+)$", 1), 1, 8).alias("_prefix"),
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("recording_id"), F.col("path").alias("image_path")
     )
-    group = ["recording_id", "_prefix"]
-    before = Window.partitionBy("recording_id").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    counts = shots.groupBy(*group).agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    # The range a row falls in is stored with it: the counts and the rows must see the same ranges.
+    ensure_checkpoint_dir(spark)
+    ranged = shots.repartitionByRange("recording_id", "image_path").withColumn("_range", F.spark_partition_id()).checkpoint()
+    group = ["recording_id", "_range"]
+    before = Window.partitionBy("recording_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*group).agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy(*group).orderBy("image_path")) - 1
     place = (F.col("_base") + F.col("_in")).cast("long")
-    numbered = shots.withColumn("_in", inside).join(counts.drop("_n"), group)
+    numbered = ranged.withColumn("_in", inside).join(counts.drop("_n"), group)
     return numbered.select("recording_id", "image_path", place.alias("frame_index"), (place * F.lit(interval)).alias("timestamp"))
 
 

@@ -248,17 +248,19 @@ def test_cosine(spark):
         value(spark, numbers.cosine(F.lit([1.0]), F.lit([0.0, 0.0])))
 
 
-def test_cosine_pairs_with_many_pivots(spark):
+def test_cosine_pairs_in_many_blocks(spark, monkeypatch):
     import numpy as np
 
-    rng = np.random.default_rng(2)
-    centre = rng.normal(size=(6, 8))
-    data = np.vstack([c + rng.normal(scale=0.25, size=(25, 8)) for c in centre])
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, vector array<double>")
-    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
-    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if unit[i] @ unit[j] >= 0.9}
-    got = vectors.cosine_pairs(df, 0.9, share=10).collect()
-    assert len(got) == len(want) and {(r["id_a"], r["id_b"]) for r in got} == want
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((60, 16))
+    rows = [(n % 2, n, [float(x) for x in base[n % 60] + 0.2 * rng.standard_normal(16)]) for n in range(180)]
+    df = spark.createDataFrame(rows, "recording_id int, id long, vector array<double>")
+    unit = {n: np.array(v) / np.linalg.norm(v) for _, n, v in rows}
+    for keys in (["recording_id"], []):
+        want = {(a, b) for a in unit for b in unit if a < b and unit[a] @ unit[b] >= 0.85 and (not keys or a % 2 == b % 2)}
+        got = [(r.id_a, r.id_b) for r in vectors.cosine_pairs(df, 0.85, keys).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
 
 
 def test_vector_bytes(spark):

@@ -92,11 +92,21 @@ def test_documents_keep_their_order(spark, tmp_path):
     lines = spark.range(500).select(
         (F.col("id") % 2).alias("recording_id"), F.lit(1).alias("part"), (500 - F.col("id")).alias("n"), F.lit(0).alias("k"), F.lit(0.0).alias("at"), F.concat(F.lit("line "), 500 - F.col("id")).alias("line")
     )
-    tables.write_documents(lines, str(tmp_path), format_name="card")
+    for _ in range(2):  # the second time replaces the first
+        tables.write_documents(lines, str(tmp_path), format_name="card", buckets=3)
+    text = [x.split("\t") for b in range(3) for p in sorted((tmp_path / "format=card" / f"bucket={b}").glob("part-*")) for x in p.read_text().splitlines()]
     for rec in (0, 1):
-        parts = sorted((tmp_path / "format=card" / f"recording_id={rec}").glob("part-*"))
-        text = [x for p in parts for x in p.read_text().splitlines()]
-        assert text == [f"line {i}" for i in range(1, 501) if (500 - i) % 2 == rec]
+        assert [x for r, x in text if r == str(rec)] == [f"line {i}" for i in range(1, 501) if (500 - i) % 2 == rec]
+    rows = tables.artifact_rows(lines, 1700000000, format_name="card").collect()
+    assert sorted((r.recording_id, r.file_name, r.lines) for r in rows) == [(0, "0-card-1700000000.md", 250), (1, "1-card-1700000000.md", 250)]
+
+
+def test_frames_of_one_folder_with_long_common_names(spark, tmp_path):
+    for n in range(120):
+        (tmp_path / f"rec{n % 2}").mkdir(exist_ok=True)
+        (tmp_path / f"rec{n % 2}" / f"screenshot_{n:04d}.jpg").write_bytes(b"x")
+    rows = files.scan_frame_dir(spark, str(tmp_path)).collect()
+    assert sorted((r.recording_id, r.frame_index, r.image_path.rsplit("_", 1)[1]) for r in rows) == sorted((f"rec{n % 2}", n // 2, f"{n:04d}.jpg") for n in range(120))
 
 
 @pytest.mark.parametrize("batches", [1, 3])
