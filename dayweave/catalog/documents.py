@@ -283,3 +283,91 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return reports.line_sizes(reports.timeline_lines(plain(t)))
+
+
+@query(
+    "timeline_requests",
+    f"""WITH placed_blocks AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY from_ts, id) - 1 AS pos FROM plain),
+    said_lines AS (SELECT recording_id, id, text AS line FROM obs WHERE text IS NOT NULL AND trim(text) <> '' AND id IN (SELECT id FROM plain)),
+    body_lines AS (SELECT p.recording_id, unnest([CASE WHEN pos > 0 THEN '---' END, CASE WHEN pos > 0 THEN '' END, '### Segment ' || (pos + 1) || ': ' || coalesce(nullif(activity_type, ''), 'unknown') || ' ('
+      || {CLOCK('from_ts')} || ' - ' || {CLOCK('to_ts')} || ', ' || CAST(floor(duration / 60 + 0.5) AS BIGINT) || ' minutes)', '', '**Description:**', coalesce(nullif(key_description, ''), 'No description available'), '',
+      '**Apps:** ' || coalesce(nullif({LIST('apps')}, ''), 'None detected'), '**Topics:** ' || coalesce(nullif({LIST('topics')}, ''), 'None detected'), '',
+      CASE WHEN s.id IS NULL THEN '*No audio transcript*' ELSE '**Audio Transcript:**' END, s.line, '']) AS line FROM placed_blocks p LEFT JOIN said_lines s ON s.id = p.id AND s.recording_id = p.recording_id),
+    all_texts AS (SELECT recording_id, coalesce(key_description, '') AS x FROM plain UNION ALL SELECT recording_id, line FROM said_lines),
+    page_lines AS (SELECT DISTINCT recording_id, '- ' || regexp_replace(unnest(regexp_extract_all(x, 'https?://[^\\s,)"]+')), '[.,;:!?)\\]]+$', '') AS line FROM all_texts),
+    head_lines AS (SELECT s.id AS recording_id, s.duration, strftime(make_timestamp(CAST(s.captured_at * 1000000 AS BIGINT)), '%A, %B %-d, %Y') AS day, c FROM sessions s
+      JOIN (SELECT recording_id, count(*) AS c FROM plain GROUP BY 1) n ON n.recording_id = s.id),
+    app_lines AS (SELECT DISTINCT recording_id, '- ' || unnest(apps) AS line FROM plain)
+    SELECT recording_id, CAST(part AS INTEGER) AS part, line FROM (
+    SELECT recording_id, 0 AS part, unnest(['A work session of ' || CAST(floor(duration / 60 + 0.5) AS BIGINT) || ' minutes on ' || day || ' with ' || c || ' activities.', '']) AS line FROM head_lines
+    UNION ALL SELECT recording_id, 1, line FROM body_lines WHERE line IS NOT NULL
+    UNION ALL SELECT recording_id, 2, unnest(['', 'Applications:']) FROM head_lines
+    UNION ALL SELECT recording_id, 3, line FROM app_lines
+    UNION ALL SELECT recording_id, 3, 'None detected' FROM head_lines WHERE recording_id NOT IN (SELECT recording_id FROM app_lines)
+    UNION ALL SELECT recording_id, 4, unnest(['', 'Pages:']) FROM head_lines
+    UNION ALL SELECT recording_id, 5, line FROM page_lines
+    UNION ALL SELECT recording_id, 5, 'None detected' FROM head_lines WHERE recording_id NOT IN (SELECT recording_id FROM page_lines)
+    UNION ALL SELECT recording_id, 6, unnest(['', 'Summarise the session from the facts above.']) FROM head_lines)""",
+)
+def _(t: Tables):
+    spoken = t.obs().where("text is not null").select("recording_id", F.col("id").alias("block_id"), F.lit(1.0).alias("transcript_start"), F.col("text").alias("line"))
+    return reports.timeline_requests(plain(t), sessions(t), spoken).select("recording_id", F.col("part").cast("int").alias("part"), "line")
+
+
+# One session per recording, scored from its number.
+VIEWS["scored"] = (
+    "SELECT DISTINCT recording_id AS session_id, recording_id % 100 AS meeting, recording_id * 7 % 100 AS debugging, 10 AS tutorial, 30 AS learning, 0 AS working,"
+    " CASE WHEN recording_id % 2 = 0 THEN 'de' END AS language, CASE WHEN recording_id % 3 = 0 THEN '{\"speakers\":[]}' END AS metadata FROM obs0"
+)
+SCORED = "concat_ws(', ', CASE WHEN meeting >= 25 THEN 'meeting: ' || meeting || '%' END, CASE WHEN debugging >= 25 THEN 'debugging: ' || debugging || '%' END, 'learning: 30%')"
+SEGMENT_LINES = "SELECT recording_id AS session_id, 1 AS part, '[' || id || 's - ' || (id + 5) || 's] ' || coalesce(activity_type, '') AS line FROM obs WHERE k % 2 = 0"
+
+
+def scored(t: Tables):
+    r = F.col("recording_id")
+    return t.obs0().select("recording_id").distinct().select(
+        r.alias("session_id"), (r % 100).alias("meeting"), (r * 7 % 100).alias("debugging"), F.lit(10).alias("tutorial"), F.lit(30).alias("learning"), F.lit(0).alias("working"),
+        F.when(r % 2 == 0, "de").alias("language"), F.when(r % 3 == 0, '{"speakers":[]}').alias("metadata"),
+    )
+
+
+def session_rows(t: Tables):
+    rows = t.obs().withColumn("session_id", F.col("recording_id"))
+    said = rows.where("k % 2 = 0").select("session_id", F.col("id").alias("n"), F.col("id").cast("double").alias("start"), (F.col("id") + 5).cast("double").alias("end"), F.col("activity_type").alias("text"))
+    seen = rows.where("k % 2 = 1").select(
+        "session_id", F.col("id").alias("n"), F.col("id").cast("double").alias("timestamp"), F.when(F.col("k") % 3 == 0, "screen").alias("label"),
+        F.col("activity_type").alias("description"), F.when(F.col("k") % 5 == 0, F.repeat(F.lit("ab "), 50)).alias("ocr"),
+    )
+    return said, seen
+
+
+def lists_sql(shown: str, head: str, tail: str) -> str:
+    """A session request as (session_id, part, line)."""
+    seen = f"SELECT recording_id, 3, '[' || id || 's] ' || {shown} FROM obs WHERE k % 2 = 1"
+    return f"""SELECT session_id, CAST(part AS INTEGER) AS part, line FROM (SELECT session_id, 0 AS part, unnest([{head}, '', 'Transcript:']) AS line FROM scored
+    UNION ALL {SEGMENT_LINES} UNION ALL SELECT session_id, 1, 'N/A' FROM scored WHERE session_id NOT IN (SELECT recording_id FROM obs WHERE k % 2 = 0)
+    UNION ALL SELECT session_id, 2, unnest(['', 'On screen:']) FROM scored
+    UNION ALL {seen} UNION ALL SELECT session_id, 3, 'N/A' FROM scored WHERE session_id NOT IN (SELECT recording_id FROM obs WHERE k % 2 = 1)
+    UNION ALL SELECT session_id, 4, unnest(['', {tail}]) FROM scored)"""
+
+
+@query(
+    "metadata_requests",
+    lists_sql(
+        "CASE WHEN k % 3 = 0 THEN '[screen]' ELSE '' END || CASE WHEN activity_type <> '' THEN ': ' || activity_type ELSE '' END || CASE WHEN k % 5 = 0 THEN ' (OCR: ' || substr(repeat('ab ', 50), 1, 100) || ')' ELSE '' END",
+        f"'A session classified as ' || {SCORED} || '.'", "'Name its speakers, key moments, action items and technical terms.'",
+    ),
+)
+def _(t: Tables):
+    return reports.metadata_requests(scored(t), *session_rows(t)).select("session_id", F.col("part").cast("int").alias("part"), "line")
+
+
+@query(
+    "document_requests",
+    lists_sql(
+        "coalesce(nullif(activity_type, ''), 'Action on screen')", f"'Write the card of a session classified as ' || {SCORED} || ' in ' || coalesce(language, 'en') || '.'",
+        "'Metadata: ' || coalesce(metadata, 'N/A')",
+    ),
+)
+def _(t: Tables):
+    return reports.document_requests(scored(t), *session_rows(t), "card").select("session_id", F.col("part").cast("int").alias("part"), "line")

@@ -330,3 +330,13 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return filters.activity_since(t.obs(), 1704672000.0)
+
+
+@query(
+    "digest_since",
+    f"""SELECT 'activity' AS kind, {canonical_sql('activity_type')} AS name, count(*) AS n FROM obs WHERE timestamp >= 1704672000.0 GROUP BY 2
+    UNION ALL SELECT 'app', name, count(*) FROM (SELECT unnest(list_distinct(apps)) AS name FROM obs WHERE timestamp >= 1704672000.0) GROUP BY 2
+    UNION ALL SELECT 'blocks', 'all', count(*) FROM blocks WHERE to_ts >= 1704672000.0""",
+)
+def _(t: Tables):
+    return filters.digest_since(t.obs(), t.blocks(), filters.since_seconds("2d", 1704672000.0 + 2 * 86400))

@@ -146,3 +146,24 @@ def activity_since(obs: DataFrame, since: float) -> DataFrame:
         F.min("timestamp").alias("first_ts"),
         F.max("timestamp").alias("last_ts"),
     )
+
+
+def since_seconds(text: str, now: float) -> float:
+    """Epoch seconds a digest starts at: ``today`` (UTC) or an interval such as ``90m``, ``12h``, ``1d``, ``2w``."""
+    if text == "today":
+        return now - now % 86400
+    unit = {"m": 60, "h": 3600, "d": 86400, "w": 7 * 86400}.get(text[-1:])
+    if unit is None or not text[:-1].isdigit():
+        raise ValueError(f"neither today nor an interval: {text}")
+    return now - int(text[:-1]) * unit
+
+
+def digest_since(obs: DataFrame, blocks: DataFrame, since: float) -> DataFrame:
+    """Counts from ``since`` on as ``(kind, name, n)``: observations by activity and by application, and blocks."""
+    from dayweave.functions.text import canonical_activity
+
+    recent = obs.where(F.col("timestamp") >= since)
+    activities = recent.select(F.lit("activity").alias("kind"), canonical_activity(F.col("activity_type")).alias("name"))
+    apps = recent.select(F.lit("app").alias("kind"), F.explode(F.array_distinct("apps")).alias("name"))
+    whole = blocks.where(F.col("to_ts") >= since).select(F.lit("blocks").alias("kind"), F.lit("all").alias("name"))
+    return activities.unionByName(apps).unionByName(whole).groupBy("kind", "name").agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ and ``sources.tables.write_documents`` writes documents of any size.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -330,6 +331,15 @@ def session_summary_lines(
     return _union([head, links, missing, gap, top, speech, close, rule, foot])
 
 
+def _filled(raw: str, names: dict[str, str]) -> Column:
+    """A line of a template with its placeholders replaced by columns."""
+    line = F.lit(raw)
+    for name, column in names.items():
+        if "{{" + name + "}}" in raw:
+            line = F.replace(line, F.lit("{{" + name + "}}"), F.col(column).cast("string"))
+    return line
+
+
 def request_lines(
     template: str, keys: Sequence[str], values: DataFrame, names: dict[str, str], items: DataFrame, items_name: str
 ) -> DataFrame:
@@ -340,14 +350,7 @@ def request_lines(
     """
 
     def filled(text: str) -> list[Column]:
-        out = []
-        for raw in text.split("\n"):
-            line = F.lit(raw)
-            for name, column in names.items():
-                if "{{" + name + "}}" in raw:
-                    line = F.replace(line, F.lit("{{" + name + "}}"), F.col(column).cast("string"))
-            out.append(line)
-        return out
+        return [_filled(raw, names) for raw in text.split("\n")]
 
     before, _, after = template.partition("{{" + items_name + "}}")
     head = _lines(values, keys, 0, filled(before.rstrip("\n")))
@@ -435,3 +438,129 @@ def classification_requests(segments: DataFrame, obs: DataFrame, contexts: DataF
     said = _text("[", clock.minutes_seconds(F.col("timestamp")), "] ", F.coalesce("text", F.lit("")))
     items = _lines(obs, key, 1, [F.when(F.col("type") == "visual", seen).otherwise(said)], at=F.col("timestamp"))
     return request_lines(template, key, heads, {"TIME_RANGE": "range", "CONTEXTS": "contexts"}, items, "FRAMES")
+
+
+def request_document(template: str, keys: Sequence[str], values: DataFrame, names: dict[str, str], items: dict[str, DataFrame], absent: str) -> DataFrame:
+    """Fill a template that holds several lists of items.
+
+    ``{{NAME}}`` placeholders are filled from the columns of ``values`` as in :func:`request_lines`; those
+    named in ``items`` stand alone in their line and become the lines of a table with keys, place and line.
+    A key without items shows ``absent`` there. Text and lists take turns in the parts 0, 1, 2 and so on.
+    """
+    keys = list(keys)
+    pieces = re.split(r"\n?\{\{(" + "|".join(items) + r")\}\}\n?", template)
+    out = []
+    for part, piece in enumerate(pieces):
+        if part % 2 == 0:
+            out.append(_lines(values, keys, part, [_filled(raw, names) for raw in piece.split("\n")]))
+        else:
+            rows = items[piece].select(*keys, F.lit(part).alias("part"), "n", "k", "at", "line")
+            missing = values.join(rows.select(*keys).distinct(), keys, "left_anti")
+            out += [rows, _lines(missing, keys, part, [absent])]
+    return _union(out)
+
+
+TIMELINE_TEMPLATE = """A work session of {{SESSION_DURATION}} minutes on {{SESSION_DATE}} with {{ACTIVITY_COUNT}} activities.
+
+{{ACTIVITY_TIMELINE}}
+
+Applications:
+{{APPS_LIST}}
+
+Pages:
+{{URLS_LIST}}
+
+Summarise the session from the facts above."""
+
+
+def timeline_requests(
+    blocks: DataFrame, recordings: DataFrame, transcripts: DataFrame, template: str = TIMELINE_TEMPLATE, *, width: float = ordered.CHUNK_SECONDS
+) -> DataFrame:
+    """One summary request per recording: its blocks in order with their transcripts, its applications and pages.
+
+    ``transcripts`` holds ``(recording_id, block_id, transcript_start, line)``.
+    """
+    sections = summary_sections(blocks, width=width)
+    spoken = transcripts.where(F.length(F.trim("line")) > 0)
+    heard = spoken.select(*REC, F.col("block_id").alias("id")).distinct().withColumn("heard", F.lit(True))
+    sections = sections.join(heard, [*REC, "id"], "left")
+    listed = lambda c: F.coalesce(F.nullif(F.array_join(c, ", "), F.lit("")), F.lit("None detected"))
+    place, later = F.col("section_no"), F.col("section_no") > 0
+    activity = F.coalesce(F.nullif(F.col("activity_type"), F.lit("")), F.lit("unknown"))
+    span = _text(clock.minutes_seconds(F.col("from_ts")), " - ", clock.minutes_seconds(F.col("to_ts")), ", ", half_up(F.col("duration") / 60).cast("string"), " minutes")
+    body = _lines(
+        sections, REC, 0,
+        [F.when(later, F.lit("---")), F.when(later, F.lit("")), _text("### Segment ", (place + 1).cast("string"), ": ", activity, " (", span, ")"), "", "**Description:**",
+         F.coalesce(F.nullif(F.col("key_description"), F.lit("")), F.lit("No description available")), "", _text("**Apps:** ", listed("apps")), _text("**Topics:** ", listed("topics")), "",
+         F.when(F.col("heard"), F.lit("**Audio Transcript:**")).otherwise(F.lit("*No audio transcript*"))],
+        n=place,
+    )
+    said = spoken.join(sections.select(*REC, F.col("id").alias("block_id"), "section_no"), [*REC, "block_id"])
+    speech = _lines(said, REC, 0, [F.col("line")], n=place, at=F.col("transcript_start"), k=100)
+    close = _lines(sections, REC, 0, [""], n=place, k=1000)
+    single = lambda rows: rows.select(*REC, F.lit(0).cast("long").alias("n"), F.lit(0).alias("k"), F.lit(0.0).alias("at"), _text("- ", F.col("name")).alias("line"))
+    apps = single(blocks.select(*REC, F.explode("apps").alias("name")).distinct())
+    texts = blocks.select(*REC, F.coalesce("key_description", F.lit("")).alias("x")).unionByName(spoken.select(*REC, F.col("line").alias("x")))
+    pages = single(texts.select(*REC, F.explode(urls(F.col("x"))).alias("name")).distinct())
+    counts = blocks.groupBy(*REC).agg(F.count("*").alias("activities"))
+    heads = recordings.select(F.col("id").alias("recording_id"), half_up(F.col("duration") / 60).cast("string").alias("minutes"), long_date(F.col("captured_at")).alias("on")).join(counts, REC)
+    items = {"ACTIVITY_TIMELINE": _union([body, speech, close]), "APPS_LIST": apps, "URLS_LIST": pages}
+    return request_document(template, REC, heads, {"SESSION_DURATION": "minutes", "SESSION_DATE": "on", "ACTIVITY_COUNT": "activities"}, items, "None detected")
+
+
+METADATA_TEMPLATE = """A session classified as {{CLASSIFICATION_SUMMARY}}.
+
+Transcript:
+{{TRANSCRIPT_SEGMENTS}}
+
+On screen:
+{{VISUAL_LOG}}
+
+Name its speakers, key moments, action items and technical terms."""
+
+DOCUMENT_TEMPLATE = """Write the {{TYPE}} of a session classified as {{CLASSIFICATION_SUMMARY}} in {{LANGUAGE}}.
+
+Transcript:
+{{TRANSCRIPT_SEGMENTS}}
+
+On screen:
+{{VISUAL_LOG}}
+
+Metadata: {{METADATA}}"""
+
+
+def _session_items(segments: DataFrame, visual: DataFrame, shown: Column) -> dict[str, DataFrame]:
+    number = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
+    said = _lines(segments, ["session_id"], 0, [_text("[", number("start"), "s - ", number("end"), "s] ", F.coalesce("text", F.lit("")))], at=F.col("start"), n=F.col("n"))
+    seen = _lines(visual, ["session_id"], 0, [_text("[", number("timestamp"), "s] ", shown)], at=F.col("timestamp"), n=F.col("n"))
+    return {"TRANSCRIPT_SEGMENTS": said, "VISUAL_LOG": seen}
+
+
+def _classified(sessions: DataFrame) -> DataFrame:
+    """Types of at least 25 % with their scores, in the order of the score columns."""
+    types = ("meeting", "debugging", "tutorial", "learning", "working")
+    shown = F.array_compact(F.array(*[F.when(F.col(t) >= 25, _text(f"{t}: ", F.col(t).cast("string"), "%")) for t in types]))
+    return sessions.withColumn("summary", F.array_join(shown, ", "))
+
+
+def metadata_requests(sessions: DataFrame, segments: DataFrame, visual: DataFrame, template: str = METADATA_TEMPLATE) -> DataFrame:
+    """One request per session for its metadata: classification, transcript and what was on screen.
+
+    ``segments`` is ``(session_id, n, start, end, text)``, ``visual`` ``(session_id, n, timestamp, label,
+    description, ocr)``; recognised text is shown up to 100 characters, as the original does.
+    """
+    label = F.when(F.col("label") != "", _text("[", F.col("label"), "]")).otherwise(F.lit(""))
+    described = F.when(F.col("description") != "", _text(": ", F.col("description"))).otherwise(F.lit(""))
+    ocr = F.when(F.col("ocr") != "", _text(" (OCR: ", F.substring("ocr", 1, 100), ")")).otherwise(F.lit(""))
+    items = _session_items(segments, visual, F.concat(label, described, ocr))
+    return request_document(template, ["session_id"], _classified(sessions), {"CLASSIFICATION_SUMMARY": "summary"}, items, "N/A")
+
+
+def document_requests(sessions: DataFrame, segments: DataFrame, visual: DataFrame, kind: str, template: str = DOCUMENT_TEMPLATE) -> DataFrame:
+    """One request per session for a document of ``kind``; ``sessions`` also has ``language`` and ``metadata`` (JSON)."""
+    heads = _classified(sessions).select(
+        "session_id", "summary", F.lit(kind).alias("kind"), F.coalesce("language", F.lit("en")).alias("language"), F.coalesce("metadata", F.lit("N/A")).alias("metadata")
+    )
+    items = _session_items(segments, visual, F.coalesce(F.nullif(F.col("description"), F.lit("")), F.lit("Action on screen")))
+    names = {"TYPE": "kind", "CLASSIFICATION_SUMMARY": "summary", "LANGUAGE": "language", "METADATA": "metadata"}
+    return request_document(template, ["session_id"], heads, names, items, "N/A")
