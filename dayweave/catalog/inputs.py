@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dayweave.catalog.base import VIEWS, Tables, query
 from dayweave.functions.numbers import hash_from_hex
 from dayweave.model import apply_model, describe_by_rules
 from dayweave.operators.responses import parse_frame_single
-from dayweave.schemas import parse_lists
+from dayweave.schemas import TABLES, parse_lists
 from dayweave.session import ensure_checkpoint_dir
-from dayweave.sources import files
+from dayweave.sources import files, tables
 
 VIEWS["spoken"] = (
     "SELECT conv_id AS recording_id, turn, turn * 10 AS s, CAST(turn * 10 + 7 AS DOUBLE) AS e, replace(replace(text, chr(10), ' '), chr(13), ' ') AS body FROM conversations"
@@ -37,21 +40,107 @@ def _(t: Tables):
     return files.parse_transcript_log(lines)
 
 
+def fresh_folder(t: Tables, name: str) -> str:
+    """A folder of this run in the shared folder."""
+    return f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def one_file_each(rows, folder: str) -> str:
+    """Write every text of ``rows(value)`` to a file of its own, as foreign tools do."""
+    rows.write.option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
+def gathered(rows, key: str, place: str, entry):
+    """``(key, r)``: the entries of every key in the order of ``place``, as one document holds them."""
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(place, entry.alias("e")))).alias("r"))
+    return listed.select(key, F.transform("r", lambda x: x["e"]).alias("r"))
+
+
 @query(
     "scan_transcript_json",
-    """SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY turn) - 1 AS INTEGER) AS n, CAST(s AS DOUBLE) AS start, e AS "end", trim(body) AS text FROM spoken""",
+    """SELECT CAST(row_number() OVER (PARTITION BY recording_id ORDER BY turn) - 1 AS INTEGER) AS n, CAST(s AS DOUBLE) AS start, e AS "end", trim(body) AS text FROM spoken""",
 )
 def _(t: Tables):
-    folder = f"{ensure_checkpoint_dir(t.spark)}/transcripts-{t.spark.sparkContext.applicationId}-{t.sf_dir.rsplit('/', 1)[-1]}"
     entry = F.struct(F.struct((F.col("s") * 1000).alias("from"), (F.col("s") * 1000 + 7000).alias("to")).alias("offsets"), F.concat(F.lit(" "), "body").alias("text"))
-    docs = spoken(t).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", entry.alias("e")))).alias("r"))
-    body = F.to_json(F.struct(F.transform("r", lambda x: x["e"]).alias("transcription"), F.col("conv_id").alias("id")))
-    docs.select(body.alias("value")).write.mode("overwrite").text(folder)
-    rows = t.spark.read.schema("id bigint, " + files.TRANSCRIPT).json(folder)
-    segs = rows.select(F.col("id").alias("recording_id"), F.posexplode("transcription").alias("n", "x"))
-    return segs.select(
-        "recording_id", "n", (F.col("x.offsets.from") / 1000).alias("start"), (F.col("x.offsets.to") / 1000).alias("end"), F.btrim("x.text").alias("text")
+    docs = gathered(spoken(t), "conv_id", "turn", entry).select(F.to_json(F.struct(F.col("r").alias("transcription"))).alias("value"))
+    segs = files.scan_transcript_json(t.spark, one_file_each(docs, fresh_folder(t, "transcripts")))
+    return segs.select("n", "start", "end", "text")
+
+
+@query("scan_vad_manifest", """SELECT CAST(id AS DOUBLE) AS start, CAST(id + 2 AS DOUBLE) AS "end", recording_id || '.wav' AS audio_path FROM obs0""")
+def _(t: Tables):
+    span = F.struct(F.col("id").cast("double").alias("start"), (F.col("id") + 2).cast("double").alias("end"), F.concat(F.col("recording_id").cast("string"), F.lit(".wav")).alias("audioPath"))
+    docs = gathered(t.obs0(), "recording_id", "id", span).select(F.to_json("r").alias("value"))
+    return files.scan_vad_manifest(t.spark, one_file_each(docs, fresh_folder(t, "speech"))).select("start", "end", "audio_path")
+
+
+def visual_folder(t: Tables) -> str:
+    frame = F.struct(
+        F.col("id").cast("int").alias("index"), F.col("id").cast("double").alias("timestamp"), F.concat(F.lit("f"), "id").alias("imagePath"),
+        F.col("event_type").alias("ocrText"), (F.col("k") % 5).cast("int").alias("clusterId"), (F.col("k") / 100).alias("changeScore"),
+    )
+    shots = gathered(t.obs0(), "recording_id", "id", frame).withColumnRenamed("r", "frames")
+    sums = t.obs0().groupBy("recording_id", (F.col("k") % 5).cast("int").alias("c")).agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
+    group = F.struct(
+        F.col("c").alias("id"), F.lit("code").alias("heuristicLabel"), F.array(F.col("a").cast("double"), F.col("b").cast("double")).alias("timeRange"), F.col("n").cast("int").alias("frameCount"),
+        F.col("a").cast("int").alias("representativeIdx"), F.lit(1.5).alias("avgOcrCharacters"), F.array(F.lit("play")).alias("mediaIndicators"),
     )
+    groups = gathered(sums, "recording_id", "c", group).withColumnRenamed("r", "clusters")
+    docs = shots.join(groups, "recording_id").select(F.to_json(F.struct("frames", "clusters")).alias("value"))
+    return one_file_each(docs, fresh_folder(t, "visual"))
+
+
+@query("scan_visual_frames", "SELECT CAST(id AS INTEGER) AS id, CAST(id AS DOUBLE) AS timestamp, 'f' || id AS image_path, event_type AS ocr_text, CAST(k % 5 AS INTEGER) AS cluster_id, k / 100 AS change_score FROM obs0")
+def _(t: Tables):
+    return files.scan_visual_index(t.spark, visual_folder(t))[0].drop("recording_id")
+
+
+@query(
+    "scan_visual_clusters",
+    """SELECT CAST(k % 5 AS INTEGER) AS cluster_id, 'code' AS label, CAST(min(id) AS DOUBLE) AS from_ts, CAST(max(id) AS DOUBLE) AS to_ts, CAST(count(*) AS INTEGER) AS frame_count,
+    CAST(min(id) AS INTEGER) AS representative_id, CAST(1.5 AS DOUBLE) AS avg_ocr_characters, 'play' AS media FROM obs0 GROUP BY recording_id, k % 5""",
+)
+def _(t: Tables):
+    found = files.scan_visual_index(t.spark, visual_folder(t))[1]
+    return found.withColumn("media", F.array_join("media_indicators", ",")).drop("recording_id", "media_indicators")
+
+
+@query(
+    "scan_hash_csv",
+    """SELECT event_type AS scenario, CAST(id AS INTEGER) AS frame_num, CASE WHEN k % 3 > 0 THEN 'complete' END AS sc_status, substr(md5(CAST(id AS VARCHAR)), 1, 16) AS phash_hex,
+    CASE WHEN k % 4 > 0 THEN CAST(k AS INTEGER) END AS phash_hamming FROM obs0""",
+)
+def _(t: Tables):
+    k, empty = F.col("k"), F.lit("")
+    log = t.obs0().select(
+        F.col("event_type").alias("scenario"), F.col("id").alias("frame_num"), F.lit(0.5).alias("elapsed_s"), F.when(k % 3 > 0, "complete").otherwise("").alias("sc_status"),
+        F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 16).alias("phash_hex"), F.when(k % 4 > 0, k.cast("string")).otherwise("").alias("phash_hamming"),
+        *[empty.alias(c) for c in ("dhash_hex", "dhash_hamming", "vn_distance", "vn_latency_ms", "jpeg_path")],
+    )
+    folder = fresh_folder(t, "hashes")
+    log.write.option("header", True).option("emptyValue", "").csv(folder)
+    return files.scan_hash_csv(t.spark, folder).select("scenario", "frame_num", "sc_status", "phash_hex", "phash_hamming")
+
+
+@query("stored_table", "SELECT CAST(id AS VARCHAR) AS id, CAST(recording_id AS VARCHAR) AS recording_id, timestamp FROM obs WHERE timestamp >= 1704672000.0")
+def _(t: Tables):
+    kept = T.StructType.fromDDL(TABLES["observations"])
+    rows = t.obs().select("id", "recording_id", "timestamp", "activity_type")
+    whole = rows.select(*[(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in kept.fields])
+    folder = fresh_folder(t, "tables")
+    tables.write_table(whole, folder, "observations", mode="overwrite")
+    return tables.read_table(t.spark, folder, "observations").where("timestamp >= 1704672000.0").select("id", "recording_id", "timestamp")
+
+
+@query("written_documents", "SELECT CAST(recording_id AS VARCHAR) AS recording_id, 'line ' || id AS line FROM obs0")
+def _(t: Tables):
+    lines = t.obs0().select("recording_id", F.lit(0).alias("part"), F.col("id").alias("n"), F.lit(0).alias("k"), F.lit(0.0).alias("at"), F.concat(F.lit("line "), "id").alias("line"))
+    folder = fresh_folder(t, "documents")
+    for _ in range(2):  # writing again replaces
+        tables.write_documents(lines, folder, format_name="card")
+    read = F.split("value", "\t", 2)
+    return t.spark.read.text(f"{folder}/format=card").select(read[0].alias("recording_id"), read[1].alias("line"))
 
 
 @query("scan_scene_log", "SELECT recording_id, CAST(round(value * 100) AS BIGINT) / 100 AS ts FROM obs0 UNION ALL SELECT recording_id, CAST(k AS DOUBLE) FROM obs0 WHERE k > 0")
