@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import cache
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -76,7 +76,7 @@ def _longest(word: str, suffixes):
     return max(found, key=len) if found else None
 
 
-@cache
+@lru_cache(maxsize=1 << 17)
 def stem_word(word: str) -> str:
     """Porter stem of a folded word; words of other scripts and short words stay."""
     if len(word) < 3 or not word.isascii() or not word.isalpha():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -31,15 +32,30 @@ def build_index(docs: DataFrame, *, stems: bool = True) -> Index:
     listed = docs.select("doc_id", words.tokens(F.coalesce("text", F.lit(""))).alias("terms"))
     counted = listed.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     if stems:
-        stemmed = counted.withColumn("term", words.stem("term"))
+        # Stems are worked out once per distinct word and joined back.
+        vocabulary = counted.select("term").distinct().withColumn("_stem", words.stem("term"))
+        stemmed = counted.join(vocabulary, "term").select("doc_id", F.col("_stem").alias("term"), "tf")
         counted = stemmed.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
     return Index(counted.select("term", "doc_id", "tf"), listed.select("doc_id", F.size("terms").cast("long").alias("length")))
 
 
+def write_index(index: Index, path: str) -> None:
+    """Write an index with its postings sorted by term, so that a search skips the row groups of other terms."""
+    index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    index.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/documents")
+
+
+def load_index(spark, path: str) -> Index:
+    """An index written by :func:`write_index`."""
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents"))
+
+
 def stored(index: Index) -> Index:
-    """The index written once to the shared checkpoint folder, for several reads."""
-    ensure_checkpoint_dir(index.postings.sparkSession)
-    return Index(index.postings.checkpoint(), index.documents.checkpoint())
+    """The index written once to a new folder of the shared checkpoint folder, for several reads."""
+    spark = index.postings.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    write_index(index, path)
+    return load_index(spark, path)
 
 
 def query_terms(spark, queries: Sequence[str], *, stems: bool = True) -> DataFrame:
@@ -55,17 +71,20 @@ def query_terms(spark, queries: Sequence[str], *, stems: bool = True) -> DataFra
 def search(index: Index, queries: Sequence[str], k: int = 20, *, stems: bool = True) -> DataFrame:
     """The ``k`` best documents per query that hold all its terms, by BM25, smallest id first on a tie.
 
-    Only the postings of the query terms are read on; the list of queries comes from the caller and is
-    small, so it is broadcast. The top-k filter also runs before the last shuffle.
+    The terms of the caller's queries become a filter that reaches the scan of the postings; on an index of
+    :func:`write_index` it skips the row groups of other terms. Document lengths are read for the documents
+    found only. The top-k filter also runs before the last shuffle.
     """
     asked = query_terms(index.postings.sparkSession, queries, stems=stems)
+    names = [r.term for r in asked.select("term").distinct().collect()]
     totals = index.documents.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
     n_docs, avg_length = totals.select("n_docs").scalar(), totals.select("avg_length").scalar()
-    hits = index.postings.join(F.broadcast(asked), "term")
-    spread = index.postings.join(F.broadcast(asked.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("df"))
+    found = index.postings.where(F.col("term").isin(names))
+    hits = found.join(asked, "term")
+    spread = found.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.greatest(F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     spread = spread.select("term", weight.alias("idf"))
-    scored = hits.join(F.broadcast(spread), "term").join(index.documents, "doc_id")
+    scored = hits.join(spread, "term").join(index.documents, "doc_id")
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / avg_length))
     ranked = scored.groupBy("query_no", "doc_id", "terms").agg(F.sum(part).alias("score"), F.count("*").alias("found"))
