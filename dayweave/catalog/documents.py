@@ -200,7 +200,35 @@ def _(t: Tables):
     return lines(reports.month_index_lines(rows, plain(t), "Sessions", links), "month_no")
 
 
-@query("session_document")
+GRADES = ", ".join(f"{{'n': -{c}, 'i': {i}, 't': '{c}'}}" for i, c in enumerate(vocab.SCORES))
+PEOPLE = "(SELECT DISTINCT l_orderkey AS session_id FROM lineitem)"
+
+
+def placed_sql(source: str, part: int, shown: list[str], n: str = "0", at: str = "0") -> str:
+    """Lines of a session page with all their place columns."""
+    entries = ", ".join(f"{{'k': {i}, 'line': {x}}}" for i, x in enumerate(shown))
+    return f"SELECT session_id, {part} AS part, {n} AS n, k, {at} AS place, line FROM (SELECT *, unnest([{entries}], recursive := true) FROM {source})"
+
+
+@query(
+    "session_document",
+    "SELECT session_id, CAST(part AS INTEGER) AS part, CAST(n AS BIGINT) AS n, CAST(k AS INTEGER) AS k, CAST(place AS DOUBLE) AS place, line FROM (" + " UNION ALL ".join([
+        placed_sql(
+            f"(SELECT *, array_to_string([x.t || ' (' || (-x.n) || '%)' FOR x IN list_sort([{GRADES}]) IF x.n <= -25], ' | ') AS shown FROM averaged)", 0,
+            ["'# Session: ' || session_id", "''", "'**Date:** ' || strftime(make_timestamp((1704067200 + session_id) * 1000000), '%Y-%m-%d %H:%M:%S')", "'**Classification:** ' || shown", "''"],
+        ),
+        placed_sql("(SELECT DISTINCT id AS session_id FROM arts)", 1, ["'## Artifacts'", "''"], "-1", "-1e18"),
+        placed_sql("(SELECT id AS session_id, type FROM arts)", 1, ["'- Meeting ' || upper(substr(type, 1, 1)) || substr(type, 2)"]),
+        placed_sql("(SELECT DISTINCT id AS session_id FROM arts)", 2, ["''"]),
+        placed_sql(PEOPLE, 3, ["'## Metadata'", "''"]),
+        placed_sql(PEOPLE, 4, ["'### Speakers'"], "-1", "-1e18"),
+        placed_sql("(SELECT *, l_orderkey AS session_id FROM lineitem)", 4, ["'- Speaker ' || l_linenumber || CASE WHEN l_linenumber > 3 THEN ' (host)' ELSE '' END"], "l_linenumber"),
+        placed_sql(PEOPLE, 5, ["''"]),
+        placed_sql(PEOPLE, 6, ["'### Key Moments'"], "-1", "-1e18"),
+        placed_sql("(SELECT *, l_orderkey AS session_id FROM lineitem)", 6, [f"'- [' || {CLOCK('(l_quantity * 60)')} || '] moment'"], "l_linenumber", "l_quantity * 60"),
+        placed_sql(PEOPLE, 7, ["''"]),
+    ]) + ")",
+)
 def _(t: Tables):
     from dayweave.catalog.topics import scored
 
@@ -209,10 +237,49 @@ def _(t: Tables):
     arts = t.arts().select(F.col("id").alias("session_id"), F.concat(F.lit("meeting-"), "type").alias("type"), F.lit(0).alias("n"))
     people = t.raw("lineitem").select(F.col("l_orderkey").alias("session_id"), F.concat(F.lit("Speaker "), "l_linenumber").alias("name"), F.when(F.col("l_linenumber") > 3, F.lit("host")).otherwise(F.lit("")).alias("role"), F.col("l_linenumber").alias("n"))
     moments = t.raw("lineitem").select(F.col("l_orderkey").alias("session_id"), (F.col("l_quantity") * 60).alias("timestamp"), F.lit("moment").alias("description"), F.col("l_linenumber").alias("n"))
-    return reports.session_document_lines(head, arts, people, moments).select("session_id", "part", "n", "k", "at", "line")
+    return reports.session_document_lines(head, arts, people, moments).select("session_id", "part", "n", "k", F.col("at").alias("place"), "line")
+
+
+VIEWS["heard_blocks"] = "SELECT recording_id, id, text AS said FROM obs WHERE text IS NOT NULL AND trim(text) <> ''"
+VIEWS["summary_blocks"] = (
+    "SELECT p.*, h.said, row_number() OVER (PARTITION BY p.recording_id ORDER BY p.from_ts, p.id) - 1 AS pos FROM plain p"
+    " LEFT JOIN heard_blocks h ON h.recording_id = p.recording_id AND h.id = p.id"
+)
+VIEWS["summary_heads"] = (
+    "SELECT recording_id, CAST(floor(s.duration / 60 + 0.5) AS BIGINT) AS minutes, c, audio, names FROM sessions s JOIN (SELECT recording_id, count(*) AS c, count(said) AS audio,"
+    " array_to_string(list_sort(list_distinct(flatten(list(apps)))), ', ') AS names FROM summary_blocks GROUP BY 1) n ON n.recording_id = s.id"
+)
+VIEWS["summary_pages"] = (
+    "SELECT DISTINCT recording_id, regexp_replace(u, '[.,;:!?)]+$', '') AS url FROM (SELECT recording_id, unnest(regexp_extract_all(x, 'https?://[^ ]+')) AS u FROM"
+    " (SELECT recording_id, key_description AS x FROM plain UNION ALL SELECT recording_id, said FROM heard_blocks))"
+)
+NONE = "'None detected'"
 
 
-@query("session_summary")
+@query(
+    "session_summary",
+    typed(
+        rows_sql(
+            "summary_heads", "recording_id", 0,
+            ["'# Work Session Summary'", "''", "'**Recording ID:** ' || recording_id || '  '", "'**Session Duration:** ' || minutes || ' minutes  '", "'**Activities Identified:** ' || c", "''", "'## Overview'", "''",
+             "'This work session consisted of ' || c || ' distinct activities over ' || minutes || ' minutes.'", "''", "'## Apps & Pages Used'", "''", "'### Applications'", f"coalesce(nullif(names, ''), {NONE})", "''", "'### Websites Visited'"],
+        ),
+        rows_sql("summary_pages", "recording_id", 1, ["'- ' || url"]),
+        rows_sql("(SELECT * FROM summary_heads WHERE recording_id NOT IN (SELECT recording_id FROM summary_pages))", "recording_id", 1, [NONE]),
+        rows_sql("summary_heads", "recording_id", 2, ["''", "'## Activities'", "''"]),
+        # A line that is left out takes no number.
+        f"""SELECT recording_id, 3, pos, i - 1, ls[i] FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT recording_id, pos, list_filter([
+        '### ' || (pos + 1) || '. ' || upper(substr(coalesce(nullif(activity_type, ''), 'unknown'), 1, 1)) || substr(coalesce(nullif(activity_type, ''), 'unknown'), 2), '',
+        '- **Time:** ' || CAST(floor(from_ts / 60 + 0.5) AS BIGINT) || ' minutes into session', '- **Duration:** ' || CAST(floor(duration / 60 + 0.5) AS BIGINT) || ' minutes',
+        '- **Apps:** ' || coalesce(nullif({LIST('apps')}, ''), {NONE}), '- **Topics:** ' || coalesce(nullif({LIST('topics')}, ''), {NONE}), '', '**What was happening:**',
+        coalesce(nullif(key_description, ''), '*No visual description available*'), '', CASE WHEN said IS NOT NULL THEN '**Audio transcript:**' END, CASE WHEN said IS NOT NULL THEN '```' END],
+        lambda x: x IS NOT NULL) AS ls FROM summary_blocks))""",
+        rows_sql("(SELECT * FROM summary_blocks WHERE said IS NOT NULL)", "recording_id", 3, ["said"], "pos", 20),
+        rows_sql("(SELECT * FROM summary_blocks WHERE said IS NOT NULL)", "recording_id", 3, ["'```'", "''"], "pos", 30),
+        rows_sql("summary_blocks", "recording_id", 3, ["'---'", "''"], "pos", 40),
+        rows_sql("summary_heads", "recording_id", 4, ["'## Summary Statistics'", "''", "'- Total activities: ' || c", "'- Total duration: ' || minutes || ' minutes'", "'- Activities with audio: ' || audio"]),
+    ),
+)
 def _(t: Tables):
     spoken = t.obs().where("text is not null").select("recording_id", F.col("id").alias("block_id"), F.lit(1.0).alias("transcript_start"), F.col("text").alias("line"))
     return lines(reports.session_summary_lines(plain(t), sessions(t), spoken, width=7 * 86400.0))
@@ -314,8 +381,8 @@ def _(t: Tables):
     return reports.timeline_requests(plain(t), sessions(t), spoken).select("recording_id", F.col("part").cast("int").alias("part"), "line")
 
 
-# One session per recording, scored from its number.
-VIEWS["scored"] = (
+# One session per recording, graded by its number.
+VIEWS["graded"] = (
     "SELECT DISTINCT recording_id AS session_id, recording_id % 100 AS meeting, recording_id * 7 % 100 AS debugging, 10 AS tutorial, 30 AS learning, 0 AS working,"
     " CASE WHEN recording_id % 2 = 0 THEN 'de' END AS language, CASE WHEN recording_id % 3 = 0 THEN '{\"speakers\":[]}' END AS metadata FROM obs0"
 )
@@ -323,7 +390,7 @@ SCORED = "concat_ws(', ', CASE WHEN meeting >= 25 THEN 'meeting: ' || meeting ||
 SEGMENT_LINES = "SELECT recording_id AS session_id, 1 AS part, '[' || id || 's - ' || (id + 5) || 's] ' || coalesce(activity_type, '') AS line FROM obs WHERE k % 2 = 0"
 
 
-def scored(t: Tables):
+def graded(t: Tables):
     r = F.col("recording_id")
     return t.obs0().select("recording_id").distinct().select(
         r.alias("session_id"), (r % 100).alias("meeting"), (r * 7 % 100).alias("debugging"), F.lit(10).alias("tutorial"), F.lit(30).alias("learning"), F.lit(0).alias("working"),
@@ -344,11 +411,11 @@ def session_rows(t: Tables):
 def lists_sql(shown: str, head: str, tail: str) -> str:
     """A session request as (session_id, part, line)."""
     seen = f"SELECT recording_id, 3, '[' || id || 's] ' || {shown} FROM obs WHERE k % 2 = 1"
-    return f"""SELECT session_id, CAST(part AS INTEGER) AS part, line FROM (SELECT session_id, 0 AS part, unnest([{head}, '', 'Transcript:']) AS line FROM scored
-    UNION ALL {SEGMENT_LINES} UNION ALL SELECT session_id, 1, 'N/A' FROM scored WHERE session_id NOT IN (SELECT recording_id FROM obs WHERE k % 2 = 0)
-    UNION ALL SELECT session_id, 2, unnest(['', 'On screen:']) FROM scored
-    UNION ALL {seen} UNION ALL SELECT session_id, 3, 'N/A' FROM scored WHERE session_id NOT IN (SELECT recording_id FROM obs WHERE k % 2 = 1)
-    UNION ALL SELECT session_id, 4, unnest(['', {tail}]) FROM scored)"""
+    return f"""SELECT session_id, CAST(part AS INTEGER) AS part, line FROM (SELECT session_id, 0 AS part, unnest([{head}, '', 'Transcript:']) AS line FROM graded
+    UNION ALL {SEGMENT_LINES} UNION ALL SELECT session_id, 1, 'N/A' FROM graded WHERE session_id NOT IN (SELECT recording_id FROM obs WHERE k % 2 = 0)
+    UNION ALL SELECT session_id, 2, unnest(['', 'On screen:']) FROM graded
+    UNION ALL {seen} UNION ALL SELECT session_id, 3, 'N/A' FROM graded WHERE session_id NOT IN (SELECT recording_id FROM obs WHERE k % 2 = 1)
+    UNION ALL SELECT session_id, 4, unnest(['', {tail}]) FROM graded)"""
 
 
 @query(
@@ -359,7 +426,7 @@ def lists_sql(shown: str, head: str, tail: str) -> str:
     ),
 )
 def _(t: Tables):
-    return reports.metadata_requests(scored(t), *session_rows(t)).select("session_id", F.col("part").cast("int").alias("part"), "line")
+    return reports.metadata_requests(graded(t), *session_rows(t)).select("session_id", F.col("part").cast("int").alias("part"), "line")
 
 
 @query(
@@ -370,4 +437,4 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    return reports.document_requests(scored(t), *session_rows(t), "card").select("session_id", F.col("part").cast("int").alias("part"), "line")
+    return reports.document_requests(graded(t), *session_rows(t), "card").select("session_id", F.col("part").cast("int").alias("part"), "line")
