@@ -30,7 +30,7 @@ WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 SEED = 42
 #: Samples of shingles that are fingerprinted on their own, and how many shingles each draws.
-SAMPLES, DRAWN = 24, 4
+SAMPLES, DRAWN = 16, 4
 #: Smallest shingle hashes by which the similarity of two texts is verified.
 MARKS = 256
 #: Bits are cut into this many blocks more than may differ in the join key.
@@ -158,19 +158,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Nulls, repeated ids, clashing names and empty tables are treated as in :func:`near_duplicates`.
     """
 
-    @F.pandas_udf("bits long, samples array<long>, marks array<long>")
+    @F.pandas_udf("bits long, samples array<long>, marks array<int>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             packed = _packed_hashes(text, size)
             # The digests are big-endian numbers.
             hashes = np.unique(np.frombuffer(packed, ">u8").astype(np.uint64))
-            rows.append((np.uint64(_majority(packed)).astype(np.int64), sample_fingerprints(hashes).astype(np.int64), hashes[:MARKS].astype(np.int64)))
+            # The upper half of a hash, shifted so that signed numbers keep its order.
+            marks = (hashes[:MARKS] >> np.uint64(32)).astype(np.int64) - (1 << 31)
+            rows.append((np.uint64(_majority(packed)).astype(np.int64), sample_fingerprints(hashes).astype(np.int64), marks.astype(np.int32)))
         return pd.DataFrame(rows, columns=["bits", "samples", "marks"])
 
     rows = docs.select(F.col(id_col).alias("id"), sketch(F.col(text_col)).alias("s")).select("id", "s.*")
     rows = stored(rows.withColumn("node", F.xxhash64("bits", "marks")), "sketches")
-    nodes = stored(rows.groupBy("node").agg(F.min("id").alias("low"), F.first("bits").alias("bits"), F.first("samples").alias("samples"), F.first("marks").alias("marks")), "nodes")
+    nodes = stored(rows.groupBy("node").agg(F.min("id").alias("low"), F.first("bits").alias("bits"), F.first("samples").alias("samples")), "nodes")
     shown = nodes.select("node", F.posexplode("samples").alias("n", "sample")).unionByName(nodes.select("node", F.lit(-1).alias("n"), F.col("bits").alias("sample")))
     ends = shown.groupBy("n", "sample").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
     met = shown.join(ends, ["n", "sample"]).select("node", F.explode(F.array("first", "last")).alias("other"))
@@ -178,8 +180,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     near = linked_pairs(one.select("bits"), distance)
     near = near.join(one.select(F.col("bits").alias("a"), "node"), "a").join(one.select(F.col("bits").alias("b"), F.col("node").alias("other")), "b").select("node", "other")
     pairs = met.unionByName(near).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    x, y = nodes.select(F.col("node").alias("a"), F.col("marks").alias("x")), nodes.select(F.col("node").alias("b"), F.col("marks").alias("y"))
-    # Hashes are compared as signed numbers on both sides, which is an order as good as any.
+    pairs = stored(pairs, "pairs")
+    # Only the marks of texts that stand in a pair travel, one row per node.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "low"), "node")
+    marks = rows.select("node", "id", "marks").join(wanted, ["node"]).where(F.col("id").eqNullSafe(F.col("low"))).dropDuplicates(["node"])
+    x, y = marks.select(F.col("node").alias("a"), F.col("marks").alias("x")), marks.select(F.col("node").alias("b"), F.col("marks").alias("y"))
     union = F.slice(F.array_sort(F.array_union("x", "y")), 1, MARKS)
     alike = F.size(F.array_intersect(F.array_intersect("x", "y"), union)) / F.size(union)
     links = stored(pairs.join(x, "a").join(y, "b").where(F.size(union) > 0).where(alike >= similarity).select("a", "b"), "links")
@@ -198,7 +203,8 @@ def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_c
     """
     found = stored(found.select(id_col, "component_id"), "groups")
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    # Merged whatever the size, as it must be where many documents go.
+    kept = docs.join(gone.hint("merge"), F.col(id_col) == F.col("_gone"), "left_anti")
     twice = found.groupBy(F.col(id_col).alias("_twice")).count().where("_twice is not null and count > 1").select("_twice")
     if twice.isEmpty():
         return kept
