@@ -56,6 +56,7 @@ class Encoder:
         self.tokenizer, self.pattern, self.special = tokenizer, regex.compile(pattern), special
         self.apart = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.tokens = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.table = np.array(self.tokens, object)
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.known: dict[str, bytes] = {}
         self.second: tiktoken.Encoding | None = None
@@ -128,7 +129,7 @@ class Encoder:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of all tokens, joined; an id outside the vocabulary is an error."""
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        return b"".join(self.table[ids].tolist())
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character and end of every token; a token that holds part of a character covers it whole."""
