@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from dayweave.session import ensure_checkpoint_dir, prepare
 
 
+#: Rows of an Arrow batch: whole texts of any length travel in them, so they are fewer than Spark's default.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table, read by a session that is set for whole texts in Arrow batches."""
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def free_name(df: DataFrame, stem: str) -> str:

@@ -29,7 +29,7 @@ UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 SEGMENT = 256
 #: Bytes that are counted or coded at a time; bounds the memory of a task.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 
 @dataclass
