@@ -31,8 +31,8 @@ UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 SEED = 42
 #: Samples of shingles that are fingerprinted on their own, and how many shingles each draws.
 SAMPLES, DRAWN = 24, 4
-#: Smallest shingle hashes by which the similarity of two texts is verified.
-MARKS = 256
+#: By how much a bound on a similarity is loosened, so that rounding never excludes a pair.
+SLACK = 1e-6
 #: Bits are cut into this many blocks more than may differ in the join key.
 KEPT_BLOCKS = 3
 
@@ -147,47 +147,59 @@ def sample_fingerprints(hashes: np.ndarray) -> np.ndarray:
     return (a & b & (c | d)) | (c & d & (a | b))
 
 
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingle hashes of a text as unsigned numbers in order."""
+    # The digests are big-endian numbers.
+    return np.unique(np.frombuffer(_packed_hashes(text, size), ">u8").astype(np.uint64))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
     """One row per row of ``docs``: ``(id_col, component_id)``, grouped by similarity of their shingles.
 
     Two bits of a whole fingerprint are far fewer than similar texts differ in: about ten at a similarity of
     0.8. Pairs are therefore also looked for by the SimHashes of small samples of their shingles, which are
-    equal where the samples are. All pairs found either way are verified by the Jaccard index of their
-    shingle sets, exact up to ``MARKS`` shingles and estimated from the smallest ``MARKS`` hashes above. In
+    equal where the samples are. All pairs found either way are verified by the Jaccard index of their whole
+    sets of shingle hashes; the sets are made again from the texts that stand in a pair, not kept of all. In
     a group that shares a sample, members are compared with its first and last one, not with each other.
     Nulls, repeated ids, clashing names and empty tables are treated as in :func:`near_duplicates`.
     """
 
-    @F.pandas_udf("bits long, samples array<long>, marks array<int>")
+    @F.pandas_udf("node long, bits long, samples array<long>, size int")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
-            packed = _packed_hashes(text, size)
-            # The digests are big-endian numbers.
-            hashes = np.unique(np.frombuffer(packed, ">u8").astype(np.uint64))
-            # The upper half of a hash, shifted so that signed numbers keep its order.
-            marks = (hashes[:MARKS] >> np.uint64(32)).astype(np.int64) - (1 << 31)
-            rows.append((np.uint64(_majority(packed)).astype(np.int64), sample_fingerprints(hashes).astype(np.int64), marks.astype(np.int32)))
-        return pd.DataFrame(rows, columns=["bits", "samples", "marks"])
-
-    rows = docs.select(F.col(id_col).alias("id"), sketch(F.col(text_col)).alias("s")).select("id", "s.*")
-    rows = stored(rows.withColumn("node", F.xxhash64("bits", "marks")), "sketches")
-    nodes = stored(rows.groupBy("node").agg(F.min("id").alias("low"), F.first("bits").alias("bits"), F.first("samples").alias("samples")), "nodes")
-    shown = nodes.select("node", F.posexplode("samples").alias("n", "sample")).unionByName(nodes.select("node", F.lit(-1).alias("n"), F.col("bits").alias("sample")))
-    ends = shown.groupBy("n", "sample").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    met = shown.join(ends, ["n", "sample"]).select("node", F.explode(F.array("first", "last")).alias("other"))
-    one = nodes.groupBy("bits").agg(F.min("node").alias("node"))
+            hashes = shingle_hashes(text, size)
+            node = np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64)
+            rows.append((node, np.uint64(_majority(_packed_hashes(text, size))).astype(np.int64), sample_fingerprints(hashes).astype(np.int64), len(hashes)))
+        return pd.DataFrame(rows, columns=["node", "bits", "samples", "size"])
+
+    @F.pandas_udf("array<long>")
+    def whole_set(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(text, size).astype(np.int64) for text in texts], dtype=object)
+
+    # A row is named by its id and text, so that one of each node can be read again.
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("copy", F.xxhash64("id", "text"))
+    rows = stored(texts.select("id", "copy", sketch("text").alias("s")).select("id", "copy", "s.*"), "sketches")
+    nodes = stored(rows.groupBy("node").agg(F.min("id").alias("low"), F.min("copy").alias("copy"), F.min("bits").alias("bits"), F.first("samples").alias("samples"), F.first("size").alias("size")), "nodes")
+    shown = nodes.select("node", "size", F.posexplode("samples").alias("n", "sample")).unionByName(nodes.select("node", "size", F.lit(-1).alias("n"), F.col("bits").alias("sample")))
+    ends = shown.groupBy("n", "sample").agg(F.min(F.struct("node", "size")).alias("first"), F.max(F.struct("node", "size")).alias("last")).where("first.node < last.node")
+    met = shown.join(ends, ["n", "sample"]).select(F.struct("node", "size").alias("x"), F.explode(F.array("first", "last")).alias("y"))
+    one = nodes.groupBy("bits").agg(F.min(F.struct("node", "size")).alias("x"))
     near = linked_pairs(one.select("bits"), distance)
-    near = near.join(one.select(F.col("bits").alias("a"), "node"), "a").join(one.select(F.col("bits").alias("b"), F.col("node").alias("other")), "b").select("node", "other")
-    pairs = met.unionByName(near).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    pairs = stored(pairs, "pairs")
-    # Only the marks of texts that stand in a pair travel, one row per node.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "low"), "node")
-    marks = rows.select("node", "id", "marks").join(wanted, ["node"]).where(F.col("id").eqNullSafe(F.col("low"))).dropDuplicates(["node"])
-    x, y = marks.select(F.col("node").alias("a"), F.col("marks").alias("x")), marks.select(F.col("node").alias("b"), F.col("marks").alias("y"))
-    union = F.slice(F.array_sort(F.array_union("x", "y")), 1, MARKS)
-    alike = F.size(F.array_intersect(F.array_intersect("x", "y"), union)) / F.size(union)
-    links = stored(pairs.join(x, "a").join(y, "b").where(F.size(union) > 0).where(alike >= similarity).select("a", "b"), "links")
+    near = near.join(one.select(F.col("bits").alias("a"), "x"), "a").join(one.select(F.col("bits").alias("b"), F.col("x").alias("y")), "b").select("x", "y")
+    # Sets of too different sizes cannot be alike.
+    pairs = met.unionByName(near).where("x.node <> y.node").where(F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - SLACK)
+    pairs = stored(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+    # Only the sets of texts that stand in a pair are made, one row per node.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "copy"), "node")
+    sets = stored(texts.join(wanted, "copy").select("node", "text").dropDuplicates(["node"]).select("node", whole_set("text").alias("hashes")), "sets")
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        x, y = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        return candidates.join(x, "a").join(y, "b").where(both / (F.size("x") + F.size("y") - both) >= similarity).select("a", "b")
+
+    links = stored(verified(pairs), "links")
     many = rows.where("id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
     groups = connected_components(links.unionByName(rows.join(many, "id").where("node <> a").select("a", F.col("node").alias("b"))))
     placed = nodes.select("node", "low").join(groups, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))

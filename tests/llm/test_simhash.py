@@ -92,3 +92,27 @@ def test_similar_documents_equal_brute_force(spark):
     together = [(a, b) for a in label for b in label if a < b and label[a] == label[b]]
     assert sum(found[a] == found[b] for a, b in together) >= 0.98 * len(together) > 0
     assert all(label[a] == label[b] for a in found for b in found if found[a] == found[b])
+
+
+def shared_start(shared, own, words=iter(range(10**9))):
+    """A text of ``shared`` and of as many words as ``own`` that no other text has."""
+    return " ".join([*shared, *(f"own{next(words)}" for _ in range(own))])
+
+
+def test_long_texts_are_decided_at_the_limit_itself(spark):
+    texts = []
+    for n in range(40):
+        # Of 1,000 shingles each 895 or 883 are shared: a similarity of 0.80995 or 0.7905; 889 would be 0.8002.
+        for kind, common in (("a", 895), ("b", 883)):
+            shared = [f"{kind}{n}w{k}" for k in range(common + 4)]
+            texts += [shared_start(shared, 1000 - common) for _ in range(2)]
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(spark, list(enumerate(texts)))).collect()}
+    assert found == {i: i - 1 if i % 4 == 1 else i for i in range(len(texts))}
+
+
+def test_texts_that_differ_after_their_smallest_hashes_are_not_one(spark):
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join([*words, *(f"more{k}" for k in range(750))])), (4, " ".join([*words, *(f"other{k}" for k in range(760))]))]
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(spark, rows)).collect()}
+    # 2996 of 3746 shingles are 0.7998.
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4}
