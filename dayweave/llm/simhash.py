@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayweave.llm.common import stored
@@ -31,6 +31,8 @@ UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 SEED = 42
 #: Samples of shingles that are fingerprinted on their own, and how many shingles each draws.
 SAMPLES, DRAWN = 24, 4
+#: Members of one shingle that are compared at a time.
+BLOCK = 512
 #: By how much a bound on a similarity is loosened, so that rounding never excludes a pair.
 SLACK = 1e-6
 #: Bits are cut into this many blocks more than may differ in the join key.
@@ -153,6 +155,33 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.frombuffer(_packed_hashes(text, size), ">u8").astype(np.uint64))
 
 
+def apart_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of ``sets`` (node, component, hashes) in different components that may be alike.
+
+    No pair with that similarity is lost: of two such sets, each ordered from the rarest to the most frequent
+    hash, the first ones share a hash (prefix filter), and from the first shared one on enough is left to
+    reach the similarity (position filter). A hash that many have is compared in blocks.
+    """
+    each = sets.select("node", "component", F.size("hashes").alias("size"), F.explode("hashes").alias("hash"))
+    seen = each.groupBy("hash").agg(F.count("*").alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2"))
+    ordered = Window.partitionBy("node").orderBy("n", "hash")
+    first = each.join(seen, "hash").withColumn("place", F.row_number().over(ordered))
+    first = first.where(F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - SLACK) + 1).where("c1 < c2")
+    first = stored(first.select("node", "component", "size", "hash", "place"), "first")
+    blocks = first.groupBy("hash").agg(F.count("*").alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
+    blocks = blocks.select("hash", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = first.join(blocks, "hash").withColumn("block", F.pmod(F.hash("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("hash", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "node", "component", "size", "place")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    same = (F.col("x.hash") == F.col("y.hash")) & (F.col("x.b1") == F.col("y.b1")) & (F.col("x.b2") == F.col("y.b2"))
+    left = 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    enough = left >= similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - SLACK
+    sized = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - SLACK
+    # In a pair of blocks only what lies across them belongs to this comparison.
+    met = x.join(y, same & F.expr("x.node < y.node AND x.component <> y.component AND (x.b1 = x.b2 OR x.block <> y.block)") & sized & enough)
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
     """One row per row of ``docs``: ``(id_col, component_id)``, grouped by similarity of their shingles.
 
@@ -160,7 +189,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     0.8. Pairs are therefore also looked for by the SimHashes of small samples of their shingles, which are
     equal where the samples are. All pairs found either way are verified by the Jaccard index of their whole
     sets of shingle hashes; the sets are made again from the texts that stand in a pair, not kept of all. In
-    a group that shares a sample, members are compared with its first and last one, not with each other.
+    a group that shares a sample, members are compared with its first and last one; where that leaves a
+    group in several components, its members are compared with each other by :func:`apart_pairs`.
     Nulls, repeated ids, clashing names and empty tables are treated as in :func:`near_duplicates`.
     """
 
@@ -190,8 +220,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Sets of too different sizes cannot be alike.
     pairs = met.unionByName(near).where("x.node <> y.node").where(F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - SLACK)
     pairs = stored(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
-    # Only the sets of texts that stand in a pair are made, one row per node.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "copy"), "node")
+    # Only the sets of texts that stand in a pair or a larger group are made, one row per node.
+    larger = shown.groupBy("n", "sample").agg(F.count("*").alias("members")).where("members > 3").select("n", "sample")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(shown.join(larger, ["n", "sample"]).select("node"))
+    wanted = wanted.distinct().join(nodes.select("node", "copy"), "node")
     sets = stored(texts.join(wanted, "copy").select("node", "text").dropDuplicates(["node"]).select("node", whole_set("text").alias("hashes")), "sets")
 
     def verified(candidates: DataFrame) -> DataFrame:
@@ -202,7 +234,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = stored(verified(pairs), "links")
     many = rows.where("id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
     groups = connected_components(links.unionByName(rows.join(many, "id").where("node <> a").select("a", F.col("node").alias("b"))))
-    placed = nodes.select("node", "low").join(groups, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+    placed = stored(nodes.select("node", "low").join(groups, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component")), "placed")
+    # Up to three members have all met by way of the first and the last.
+    open_groups = shown.select("node", "n", "sample").join(placed.select("node", "component"), "node").groupBy("n", "sample")
+    open_groups = open_groups.agg(F.count("*").alias("members"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("members > 3 and c1 < c2")
+    rest = shown.join(open_groups.select("n", "sample"), ["n", "sample"]).select("node").distinct().join(placed.select("node", "component"), "node")
+    late = stored(verified(apart_pairs(sets.join(rest, "node"), similarity)), "late")
+    # The components found so far are the nodes of the second round.
+    at = placed.select("node", "component")
+    across = late.join(at.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(at.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+    joined = connected_components(across.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("larger"))
+    placed = placed.join(joined, "component", "left").select("node", "low", F.coalesce("larger", "component").alias("component"))
     lows = placed.groupBy("component").agg(F.min("low").alias("component_id"))
     return rows.select("id", "node").join(placed.join(lows, "component").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "component_id")
 

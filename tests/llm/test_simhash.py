@@ -116,3 +116,15 @@ def test_texts_that_differ_after_their_smallest_hashes_are_not_one(spark):
     found = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(spark, rows)).collect()}
     # 2996 of 3746 shingles are 0.7998.
     assert found == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_pairs_in_a_group_with_other_ends_are_found(spark, monkeypatch):
+    # 150 true pairs (0.86) share a template with all the others (0.77), so most groups end in texts not alike.
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    template = [f"t{k}" for k in range(178)]
+    texts = []
+    for n in range(150):
+        common = [*template, *(f"p{n}w{k}" for k in range(11))]
+        texts += [shared_start(common, 15) for _ in range(2)]
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(documents(spark, list(enumerate(texts)))).collect()}
+    assert found == {i: i - i % 2 for i in range(len(texts))}
