@@ -8,7 +8,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayweave.llm import bpe, hard_negatives, language, main_text, near_vectors, packing, simhash, spelling, syncmers, toxicity, unigram, warc
+from dayweave.llm import bpe, hard_negatives, language, main_text, near_vectors, packing, quality, simhash, spelling, syncmers, toxicity, unigram, warc
 from dayweave.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=label)
 
 
+@query
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; learned from the labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    rest = remainder(F.col("doc_id"), 4)
+    model = quality.learn(docs.where(rest != 2), table(spark, sf_dir, "labels"))
+    found = docs.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), quality.scored(F.col("text"), model, spark).alias("found"))
+    return found.select("doc_id", "held_out", "found.score", "found.predicted")
+
+
 @query
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants of the words of all documents, some of them damaged."""
