@@ -14,25 +14,29 @@ copies share few unstable bits, which bounds how many distinct fingerprints agre
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayweave.llm.common import stored
+from dayweave.llm.common import free_name, stored
+from dayweave.llm.near_vectors import _roots, _runs
 from dayweave.plans.graphs import connected_components
+from dayweave.plans.pointers import together
 
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 SEED = 42
 #: Samples of shingles that are fingerprinted on their own, and how many shingles each draws.
 SAMPLES, DRAWN = 24, 4
-#: Members of one shingle that are compared at a time.
-BLOCK = 512
+#: Members of a group, and hashes of theirs, that one block holds; columns that are multiplied at a time.
+BLOCK, BLOCK_HASHES, COLUMNS = 512, 1 << 20, 4096
 #: By how much a bound on a similarity is loosened, so that rounding never excludes a pair.
 SLACK = 1e-6
 #: Bits are cut into this many blocks more than may differ in the join key.
@@ -155,31 +159,80 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.frombuffer(_packed_hashes(text, size), ">u8").astype(np.uint64))
 
 
-def apart_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` of ``sets`` (node, component, hashes) in different components that may be alike.
+def linked_roots(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, kinds: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which of some sets are as alike as asked to another of another kind, and the first one each is tied with.
 
-    No pair with that similarity is lost: of two such sets, each ordered from the rarest to the most frequent
-    hash, the first ones share a hash (prefix filter), and from the first shared one on enough is left to
-    reach the similarity (position filter). A hash that many have is compared in blocks.
+    Overlaps are products of 0/1 matrices over the hashes that more than one set has, some columns at a time.
+    Where there are two sides only pairs across them are looked at.
     """
-    each = sets.select("node", "component", F.size("hashes").alias("size"), F.explode("hashes").alias("hash"))
-    seen = each.groupBy("hash").agg(F.count("*").alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2"))
-    ordered = Window.partitionBy("node").orderBy("n", "hash")
-    first = each.join(seen, "hash").withColumn("place", F.row_number().over(ordered))
-    first = first.where(F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - SLACK) + 1).where("c1 < c2")
-    first = stored(first.select("node", "component", "size", "hash", "place"), "first")
-    blocks = first.groupBy("hash").agg(F.count("*").alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
-    blocks = blocks.select("hash", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = first.join(blocks, "hash").withColumn("block", F.pmod(F.hash("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("hash", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "node", "component", "size", "place")
-    x, y = dealt.alias("x"), dealt.alias("y")
-    same = (F.col("x.hash") == F.col("y.hash")) & (F.col("x.b1") == F.col("y.b1")) & (F.col("x.b2") == F.col("y.b2"))
-    left = 1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    enough = left >= similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - SLACK
-    sized = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - SLACK
-    # In a pair of blocks only what lies across them belongs to this comparison.
-    met = x.join(y, same & F.expr("x.node < y.node AND x.component <> y.component AND (x.b1 = x.b2 OR x.block <> y.block)") & sized & enough)
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    left, right = (np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())) if side.min() != side.max() else (np.arange(len(sets)),) * 2
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        part = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+        dense = np.zeros((len(sets), COLUMNS), np.float32)
+        dense[owner[part], column[part] - at] = 1
+        common += dense[left] @ dense[right].T
+    both = sizes[left][:, None] + sizes[right][None, :] - common.astype(np.float64)
+    alike = (common / np.maximum(both, 1) >= similarity) & (kinds[left][:, None] != kinds[right][None, :])
+    linked = np.zeros((len(sets), len(sets)), bool)
+    linked[np.ix_(left, right)] = alike
+    linked |= linked.T
+    return linked.any(1), _roots(linked)
+
+
+def tied_across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)`` that tie together the nodes of a group which are alike but in different components.
+
+    ``members`` is (n, sample, node, component), a group being an ``(n, sample)``. Every pair of a group in
+    different components is compared, inside tasks: a group is dealt into blocks of bounded size, a component
+    that fills blocks has its own, so a block never meets another of the same component. A task returns a row
+    per node that has a link, never the pairs.
+    """
+    sized = members.join(sets.select("node", F.size("hashes").alias("size")), "node")
+    most = lambda of: F.greatest(F.ceil(F.sum(of[0]) / BLOCK), F.ceil(F.sum(of[1]) / BLOCK_HASHES)).cast("int")
+    parts = sized.groupBy("n", "sample", "component").agg(most((F.lit(1), "size")).alias("own"), F.count("*").alias("count"), F.sum("size").alias("hashes"))
+    # Components that fill no block share some.
+    pooled = F.when(F.col("own") > 1, F.lit(0))
+    block = lambda component, part: F.struct(component.cast("long").alias("component"), part.cast("int").alias("part"))
+    numbered = lambda component, count: F.transform(F.sequence(F.lit(1), count), lambda i: block(component, i - 1))
+    mine = F.when(F.col("own") > 1, block(F.col("component"), F.pmod(F.hash("node"), "own"))).otherwise(block(F.lit(None), F.pmod(F.hash("node"), "pools")))
+    groups = parts.groupBy("n", "sample").agg(
+        most((F.coalesce(pooled, "count"), F.coalesce(pooled, "hashes"))).alias("pools"),
+        F.collect_list(F.when(F.col("own") > 1, F.struct("component", "own"))).alias("large"),
+    )
+    shared = F.when(F.col("pools") > 0, numbered(F.lit(None), F.col("pools"))).otherwise(F.array().cast("array<struct<component: long, part: int>>"))
+    groups = groups.select("n", "sample", "pools", F.concat(shared, F.flatten(F.transform("large", lambda x: numbered(x["component"], x["own"])))).alias("blocks"))
+    dealt = sized.join(parts.select("n", "sample", "component", "own"), ["n", "sample", "component"]).join(groups, ["n", "sample"]).withColumn("block", mine)
+    # A block of a large component does not meet another of that component, nor itself.
+    others = F.filter("blocks", lambda o: F.coalesce(o["component"] != F.col("block.component"), F.lit(True)))
+    run = ["cell", "b1", "b2"]
+    number = lambda c: F.xxhash64(F.coalesce(c["component"], F.lit(0)), c["component"].isNull(), c["part"])
+    dealt = dealt.withColumn("other", F.explode(others))
+    dealt = dealt.select("node", "component", F.xxhash64("n", "sample").alias("cell"), number(F.col("block")).alias("block"), number(F.col("other")).alias("other"))
+    dealt = dealt.select("node", "component", "cell", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
+    filled = together(dealt.join(sets, "node"), run)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, run):
+            rows = rows.combine_chunks()
+            if rows.num_rows < 2:
+                continue
+            column = rows.column("hashes").chunk(0)
+            flat, edges = column.flatten().to_numpy(), np.cumsum([0, *np.diff(column.offsets.to_numpy())])
+            sets_here = [flat[a:b] for a, b in zip(edges, edges[1:])]
+            linked, root = linked_roots(sets_here, np.diff(edges), rows.column("block").to_numpy(), rows.column("component").to_numpy(), similarity)
+            node = rows.column("node").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root][linked])], names=["a", "b"])
+
+    return filled.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
@@ -190,7 +243,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     equal where the samples are. All pairs found either way are verified by the Jaccard index of their whole
     sets of shingle hashes; the sets are made again from the texts that stand in a pair, not kept of all. In
     a group that shares a sample, members are compared with its first and last one; where that leaves a
-    group in several components, its members are compared with each other by :func:`apart_pairs`.
+    group in several components, those of different ones are compared with each other by :func:`tied_across`.
     Nulls, repeated ids, clashing names and empty tables are treated as in :func:`near_duplicates`.
     """
 
@@ -238,8 +291,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Up to three members have all met by way of the first and the last.
     open_groups = shown.select("node", "n", "sample").join(placed.select("node", "component"), "node").groupBy("n", "sample")
     open_groups = open_groups.agg(F.count("*").alias("members"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("members > 3 and c1 < c2")
-    rest = shown.join(open_groups.select("n", "sample"), ["n", "sample"]).select("node").distinct().join(placed.select("node", "component"), "node")
-    late = stored(verified(apart_pairs(sets.join(rest, "node"), similarity)), "late")
+    members = shown.select("n", "sample", "node").join(open_groups.select("n", "sample"), ["n", "sample"]).join(placed.select("node", "component"), "node")
+    late = stored(tied_across(members, sets, similarity), "late")
     # The components found so far are the nodes of the second round.
     at = placed.select("node", "component")
     across = late.join(at.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(at.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
@@ -255,14 +308,15 @@ def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_c
     Of rows that repeat an id the one with the smallest text (null as empty) stays. Rows without an id
     cannot be named in a group, so they all stay.
     """
-    found = stored(found.select(id_col, "component_id"), "groups")
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    found = stored(found.select(F.col(id_col).alias("id"), "component_id"), "groups")
+    name, packed = free_name(docs, "kept_id"), free_name(docs, "kept_row")
+    gone = found.where("id <> component_id").select(F.col("id").alias(name)).distinct()
     # Merged whatever the size, as it must be where many documents go.
-    kept = docs.join(gone.hint("merge"), F.col(id_col) == F.col("_gone"), "left_anti")
-    twice = found.groupBy(F.col(id_col).alias("_twice")).count().where("_twice is not null and count > 1").select("_twice")
+    kept = docs.join(gone.hint("merge"), F.col(id_col) == F.col(name), "left_anti")
+    twice = found.groupBy("id").count().where("id is not null and count > 1").select(F.col("id").alias(name))
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, F.col(id_col) == F.col("_twice"), "left_semi")
+    again = kept.join(twice, F.col(id_col) == F.col(name), "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = again.groupBy(F.col(id_col).alias("_id")).agg(F.min_by(row, F.coalesce(F.col(text_col), F.lit(""))).alias("_row")).select("_row.*")
-    return kept.join(twice, F.col(id_col) == F.col("_twice"), "left_anti").unionByName(one)
+    one = again.groupBy(F.col(id_col).alias(name)).agg(F.min_by(row, F.coalesce(F.col(text_col), F.lit(""))).alias(packed)).select(f"{packed}.*")
+    return kept.join(twice, F.col(id_col) == F.col(name), "left_anti").unionByName(one)
