@@ -164,21 +164,26 @@ def _added(rows: DataFrame, size: int, part) -> np.ndarray:
     return sum((np.frombuffer(r.sums) for r in sums.collect()), np.zeros(size))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, features: int = 256, width: float = 6.0, ridge: float = 1e-3, held: int = 4, seed: int = 12) -> QualityModel:
-    """A model from all documents that have a label.
-
-    A ``held``-th of them, by a hash of the id, is kept from the weights and calibrates the scores. Null ids,
-    texts and labels are not used; of an id with several labels the largest counts. Without a label of either
-    kind every text gets the share of good ones (a half where there is none at all).
-    """
+def read(text: Column) -> Column:
+    """The statistics of a text column as an array; a null text counts as empty."""
 
     @F.pandas_udf("array<double>")
-    def read(texts: pd.Series) -> pd.Series:
+    def all_statistics(texts: pd.Series) -> pd.Series:
         return pd.Series([statistics(t) for t in texts], dtype=object)
 
+    return all_statistics(text)
+
+
+def learn(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", row_col: str = "statistics", label_col: str = "quality", *, features: int = 256, width: float = 6.0, ridge: float = 1e-3, held: int = 4, seed: int = 12) -> QualityModel:
+    """A model from all ``rows`` of statistics (:func:`read`) that have a label; texts do not move.
+
+    A ``held``-th of them, by a hash of the id, is kept from the weights and calibrates the scores. Null ids
+    and labels are not used; of an id with several labels the largest counts. Without a label of either kind
+    every text gets the share of good ones (a half where there is none at all).
+    """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("mark")).where("id is not null and mark is not null").groupBy("id").agg((F.max("mark") > 0).cast("double").alias("mark"))
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(marks, "id")
-    known = stored(known.select((F.floor(remainder(F.col("id"), 7 * held) / 7) == 1).alias("aside"), "mark", read("text").alias("row")), "statistics")
+    known = rows.select(F.col(id_col).alias("id"), F.col(row_col).alias("row")).join(marks, "id")
+    known = stored(known.select((F.floor(remainder(F.col("id"), 7 * held) / 7) == 1).alias("aside"), "mark", "row"), "labelled")
     fitted = known.where("not aside").select("mark", "row")
 
     def moments(batch: pa.RecordBatch) -> np.ndarray:
@@ -227,25 +232,25 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def scored(text: Column, model: QualityModel, spark, limit: float = 0.7) -> Column:
-    """A struct ``(score, predicted, raw)`` per text; ``predicted`` is 1 from a score of ``limit``.
+def scored(row: Column, model: QualityModel, spark, limit: float = 0.7) -> Column:
+    """A struct ``(score, predicted, raw)`` per array of statistics; ``predicted`` is 1 from a score of ``limit``.
 
-    A null text counts as empty and has the score of one. Repeated texts have equal scores; very long ones are
-    read whole, in pieces where characters are counted.
+    Null and empty texts have the same statistics and score, repeated texts equal ones; very long texts are
+    read whole, in pieces where characters are counted. An empty table gives no rows.
     """
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, predicted int, raw double")
-    def score(texts: pd.Series) -> pd.DataFrame:
+    def score(rows: pd.Series) -> pd.DataFrame:
         fitted = shared.value
-        rows = np.stack([statistics(t) for t in texts]) if len(texts) else np.zeros((0, STATISTICS))
-        found = fitted.scores(rows)
-        return pd.DataFrame({"score": found, "predicted": (found >= limit).astype(np.int32), "raw": fitted.raw(rows)})
+        every = np.stack(rows.to_list()) if len(rows) else np.zeros((0, STATISTICS))
+        found = fitted.scores(every)
+        return pd.DataFrame({"score": found, "predicted": (found >= limit).astype(np.int32), "raw": fitted.raw(every)})
 
-    return score(text)
+    return score(row)
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", limit: float = 0.7) -> DataFrame:
     """``docs``, all columns, without those below the limit."""
     name = free_name(docs, "quality")
-    return docs.withColumn(name, scored(F.col(text_col), model, docs.sparkSession, limit)).where(F.col(name)["predicted"] == 1).drop(name)
+    return docs.withColumn(name, scored(read(F.col(text_col)), model, docs.sparkSession, limit)).where(F.col(name)["predicted"] == 1).drop(name)

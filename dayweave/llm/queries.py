@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayweave.llm import bpe, hard_negatives, language, main_text, near_vectors, packing, quality, simhash, spelling, syncmers, toxicity, unigram, warc
-from dayweave.llm.common import remainder, table
+from dayweave.llm.common import remainder, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,10 +120,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; learned from the labelled documents that are not held out."""
-    docs = table(spark, sf_dir, "documents")
+    rows = stored(table(spark, sf_dir, "documents").select("doc_id", quality.read(F.col("text")).alias("statistics")), "statistics")
     rest = remainder(F.col("doc_id"), 4)
-    model = quality.learn(docs.where(rest != 2), table(spark, sf_dir, "labels"))
-    found = docs.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), quality.scored(F.col("text"), model, spark).alias("found"))
+    model = quality.learn(rows.where(rest != 2), table(spark, sf_dir, "labels"))
+    found = rows.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), quality.scored(F.col("statistics"), model, spark).alias("found"))
     return found.select("doc_id", "held_out", "found.score", "found.predicted")
 
 
