@@ -11,7 +11,6 @@ numbers, never that many strings; words whose hashes meet by chance are told apa
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +21,8 @@ from pyspark.sql import functions as F
 from dayweave.llm.common import stored
 
 #: Symbols of the reduced alphabet, and how many words may share a reduced word.
-SYMBOLS, CROWD = 6, 256
-#: Keys of a batch; bounds the memory of a task.
+SYMBOLS, CROWD = 4, 512
+#: Keys made at a time; bounds the memory of a task.
 KEYS = 1 << 18
 RUN = "[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,14 +30,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 POINTS = np.array([*range(ord("a"), ord("z") + 1), *range(0xC0, 0x100)])
 
 
-@functools.cache
-def alphabet(symbols: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol of every code point below 256, and all symbols; without a number every code point is its own."""
-    codes = np.arange(256, dtype=np.uint64)
-    if symbols:
-        # A fixed multiplicative hash; symbols start from one.
-        codes = 1 + ((codes * np.uint64(2654435761)) >> np.uint64(16)) % np.uint64(symbols)
-    return codes, np.unique(codes[POINTS])
+#: Symbol of every code point, by a fixed multiplicative hash; symbols are written as letters.
+SYMBOL_OF = "".join(chr(ord("a") + (int(c) * 2654435761 >> 16) % SYMBOLS) for c in POINTS)
+REDUCED = np.array([ord("a") + i for i in range(SYMBOLS)])
 
 
 #: Odd multiplier of the polynomial hash.
@@ -51,31 +45,50 @@ def _powers(count: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def own_key(word: str, symbols: int | None) -> int:
-    """Hash of the reduced word."""
-    codes, _ = alphabet(symbols)
-    reduced = codes[np.frombuffer(word.encode("latin-1"), np.uint8)]
-    with np.errstate(over="ignore"):
-        return int((reduced * _powers(len(reduced))[::-1]).sum(dtype=np.uint64).astype(np.int64))
-
-
-def neighbour_keys(word: str, symbols: int | None) -> np.ndarray:
-    """Hashes of all strings at most one edit from the reduced word, each once."""
-    codes, letters = alphabet(symbols)
-    reduced = codes[np.frombuffer(word.encode("latin-1"), np.uint8)]
-    size = len(reduced)
-    with np.errstate(over="ignore"):
-        power = _powers(size + 1)
-        terms = reduced * power[:size][::-1]
-        # after[i]: the hash of the letters from place i on; before[i]: of those in front of it.
-        after = np.concatenate([np.cumsum(terms[::-1], dtype=np.uint64)[::-1], np.zeros(1, np.uint64)])
-        front = after[0] - after
-        place = power[:size][::-1]
-        # In front of a changed place all powers stay; a longer or shorter rest moves them by one.
-        replaced = (after[0] - terms)[:, None] + letters[None, :] * place[:, None]
-        inserted = (front * BASE + after)[:, None] + letters[None, :] * power[::-1][:, None]
-        shorter = _over_base(front)[:size] + after[1:]
-        return np.unique(np.concatenate([after[:1], replaced.ravel(), inserted.ravel(), shorter])).astype(np.int64)
+def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the words of one length each, and their code points as a matrix."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    for size in np.unique(sizes):
+        places = np.flatnonzero(sizes == size)
+        raw = "".join(words[i] for i in places).encode("latin-1")
+        yield places, np.frombuffer(raw, np.uint8).reshape(len(places), size).astype(np.uint64)
+
+
+def own_keys(words: list[str]) -> np.ndarray:
+    """Hashes of the words themselves."""
+    out = np.zeros(len(words), np.uint64)
+    for places, points in _by_length(words):
+        out[places] = (points * _powers(points.shape[1])[::-1]).sum(1, dtype=np.uint64)
+    return out.astype(np.int64)
+
+
+def neighbour_keys(words: list[str], letters: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of all strings of ``letters`` at most one edit from the words, each once: places and keys, in pieces."""
+    letters = letters.astype(np.uint64)
+    for places, points in _by_length(words):
+        step = max(1, KEYS // (2 * len(letters) * (points.shape[1] + 1)))
+        for at in range(0, len(places), step):
+            keys = _around(points[at : at + step], letters)
+            keys.sort(axis=1)
+            first = np.ones(keys.shape, bool)
+            first[:, 1:] = keys[:, 1:] != keys[:, :-1]
+            yield np.repeat(places[at : at + step], first.sum(1)), keys[first].astype(np.int64)
+
+
+def _around(points: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    count, size = points.shape
+    power = _powers(size + 1)
+    place = power[:size][::-1]
+    terms = points * place
+    # after[i]: the hash of the letters from place i on; front[i]: of those before it.
+    after = np.zeros((count, size + 1), np.uint64)
+    after[:, :size] = np.cumsum(terms[:, ::-1], axis=1, dtype=np.uint64)[:, ::-1]
+    front = after[:, :1] - after
+    replaced = (after[:, :1] - terms)[:, :, None] + letters * place[:, None]
+    # A rest that is longer or shorter by one moves what is in front of it by one power.
+    inserted = (front * BASE + after)[:, :, None] + letters * power[::-1][:, None]
+    shorter = _over_base(front)[:, :size] + after[:, 1:]
+    return np.concatenate([after[:, :1], replaced.reshape(count, -1), inserted.reshape(count, -1), shorter], axis=1)
 
 
 def _over_base(values: np.ndarray) -> np.ndarray:
@@ -97,57 +110,54 @@ def counted_words(docs: DataFrame, id_col: str, text_col: str, *, least_points:
     return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_n)
 
 
-def _keyed(words: DataFrame, symbols: int | None) -> tuple[DataFrame, DataFrame]:
-    """``(id, size, key)`` of every word, and of all its neighbours."""
+def _own(words: DataFrame, name: str) -> DataFrame:
+    """``(id, key)`` of every row of ``words`` (id, ``name``)."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = pa.array([own_key(w, symbols) for w in batch.column("word").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("size"), keys], names=["id", "size", "key"])
+            keys = own_keys(batch.column(name).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys)], names=["id", "key"])
 
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: list[tuple[int, int, np.ndarray]] = []
-            count = 0
-            for number, size, word in zip(*(batch.column(c).to_pylist() for c in ("id", "size", "word"))):
-                keys = neighbour_keys(word, symbols)
-                for at in range(0, len(keys), KEYS):
-                    held.append((number, size, keys[at : at + KEYS]))
-                    count += len(held[-1][2])
-                    if count >= KEYS:
-                        yield _rows(held)
-                        held, count = [], 0
-            if held:
-                yield _rows(held)
+    return words.select("id", name).mapInArrow(own, "id long, key long")
 
-    return words.mapInArrow(own, "id long, size int, key long"), words.mapInArrow(around, "id long, size int, key long")
 
+def _around_all(words: DataFrame, name: str, letters: np.ndarray) -> DataFrame:
+    """``(id, key)`` of every neighbour of every row of ``words``."""
 
-def _rows(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-    counts = [len(k) for _, _, k in held]
-    columns = [np.repeat([n for n, _, _ in held], counts), np.repeat([s for _, s, _ in held], counts), np.concatenate([k for _, _, k in held])]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()))], names=["id", "size", "key"])
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = batch.column("id").to_numpy()
+            for places, keys in neighbour_keys(batch.column(name).to_pylist(), letters):
+                yield pa.RecordBatch.from_arrays([pa.array(number[places]), pa.array(keys)], names=["id", "key"])
+
+    return words.select("id", name).mapInArrow(around, "id long, key long")
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """``(id, other)``: all ordered pairs of ``words`` (id, word, size) exactly one edit apart."""
-    own, around = _keyed(words, SYMBOLS)
-    own, around = stored(own, "reduced"), stored(around, "neighbours")
-    crowded = own.groupBy("key").count().where(F.col("count") > CROWD).select("key")
-    # All words of a crowded reduced word, and those that look there, meet by whole letters.
-    there = own.join(crowded, "key", "left_semi")
-    asking = around.join(crowded, "key", "left_semi").select("id").distinct()
-    fine, _ = _keyed(words.join(there.select("id"), "id", "left_semi"), None)
-    _, fine_around = _keyed(words.join(asking, "id", "left_semi"), None)
-
-    def met(target: DataFrame, probe: DataFrame) -> DataFrame:
-        t = target.select(F.col("id").alias("other"), F.col("size").alias("other_size"), "key")
-        return probe.join(t, "key").where("id <> other and abs(size - other_size) <= 1").select("id", "other")
-
-    pairs = met(own.join(crowded, "key", "left_anti"), around).unionByName(met(fine, fine_around))
-    spelled = words.select("id", "word")
-    pairs = pairs.join(spelled, "id").join(spelled.select(F.col("id").alias("other"), F.col("word").alias("other_word")), "other")
-    return pairs.where(one_edit(F.col("word"), F.col("other_word"))).select("id", "other")
+    """``(id, other)``: all ordered pairs of ``words`` (id, word) exactly one edit apart.
+
+    Reduced words meet first, each once however many words share it; then the words of two that met.
+    """
+    placed = words.select("id", "word", F.translate("word", "".join(map(chr, POINTS)), SYMBOL_OF).alias("reduced"))
+    reduced = placed.groupBy("reduced").agg(F.count("*").alias("words"))
+    reduced = stored(reduced.select(F.monotonically_increasing_id().alias("id"), "reduced", (F.col("words") > CROWD).alias("crowded")), "reduced")
+    placed = stored(placed.join(reduced.withColumnRenamed("id", "group"), "reduced").select("id", "word", "group", "crowded"), "placed")
+    own = _own(reduced, "reduced").join(reduced.select("id", "crowded"), "id").select(F.col("id").alias("other"), "crowded", "key")
+    met = _around_all(reduced, "reduced", REDUCED).join(own, "key").where("id <= other or crowded")
+    met = stored(met.select("id", "other", "crowded"), "met")
+    few = met.where("not crowded and id <= other").join(reduced.where("not crowded").select("id"), "id").select(F.col("id").alias("group"), "other")
+    a = placed.select("group", F.col("id").alias("a"), F.col("word").alias("a_word")).join(few, "group")
+    b = placed.select(F.col("group").alias("other"), F.col("id").alias("b"), F.col("word").alias("b_word"))
+    pairs = a.join(b, "other").where("group < other or a < b").where(one_edit(F.col("a_word"), F.col("b_word"))).select("a", "b")
+
+    # Words of a crowded reduced word, and all that look there, meet by whole letters.
+    asking = placed.join(met.where("crowded").select(F.col("id").alias("group")).distinct(), "group", "left_semi")
+    fine = _own(placed.where("crowded"), "word").select(F.col("id").alias("b"), "key")
+    fine = _around_all(asking, "word", POINTS).join(fine, "key").where("id <> b").select(F.col("id").alias("a"), "b")
+    fine = fine.join(placed.select(F.col("id").alias("a"), F.col("word").alias("a_word")), "a").join(placed.select(F.col("id").alias("b"), F.col("word").alias("b_word")), "b")
+    fine = fine.where(one_edit(F.col("a_word"), F.col("b_word"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = stored(pairs.unionByName(fine), "near")
+    return both.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(both.select(F.col("b").alias("id"), F.col("a").alias("other")))
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -168,8 +178,8 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     words = counted_words(docs, id_col, text_col, least_points=least_points, least_n=least_n, damaged=damaged)
     # Written with their numbers, so these are the same in every later pass.
-    words = stored(words.select(F.monotonically_increasing_id().alias("id"), "word", F.length("word").alias("size"), "n"), "words")
-    pairs = near_words(words.select("id", "word", "size"))
+    words = stored(words.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "words")
+    pairs = near_words(words.select("id", "word"))
     other = words.select(F.col("id").alias("other"), F.col("word").alias("form"), F.col("n").alias("form_n"))
     best = pairs.join(other, "other").groupBy("id").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("form_n")).alias("less"), "form", "other")).alias("best"))
     rows = words.join(best, "id", "left")
