@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayweave.llm.common import stored
+from dayweave.plans.pointers import together
 
 #: Anchors and rows of one block, and rows that are scored at a time.
 ANCHORS, ROWS, SLICE = 4096, 16384, 512
@@ -176,7 +177,7 @@ def _in_blocks(rows: DataFrame, anchors: DataFrame, group: list[str], wanted: in
     block = F.pmod(F.hash("id", "tag"), F.col("anchor_parts"))
     dealt_anchors = heads.join(parts, group).select(*group, F.lit(0).alias("side"), "id", "tag", F.col("label").alias("own_label"), "vector", "windows", F.explode(F.sequence(F.lit(0), F.col("row_parts") - 1)).alias("rb"), block.alias("ab"))
     run = [*group, "ab", "rb"]
-    dealt = dealt_anchors.unionByName(dealt_rows).repartition(*run).sortWithinPartitions(*run, "side")
+    dealt = together(dealt_anchors.unionByName(dealt_rows), run, "side")
     dealt = dealt.select(*run, "side", "id", "tag", F.col("own_label").alias("label_of"), "vector", "windows")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

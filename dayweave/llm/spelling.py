@@ -41,7 +41,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 def _powers(count: int) -> np.ndarray:
     out = np.full(count, BASE, np.uint64)
-    out[0] = 1
+    out[:1] = 1
     return np.multiply.accumulate(out)
 
 
