@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dayweave.functions.numbers import half_up, hamming, hash_from_hex
 from dayweave.plans import ordered
-from dayweave.plans.fold import ordered_fold
+from dayweave.plans.pointers import Different, Spaced, kept_path
 from dayweave.session import ensure_checkpoint_dir
 
 REC = ["recording_id"]
@@ -28,35 +30,21 @@ def one_per_timestamp(frames: DataFrame) -> DataFrame:
     return frames.groupBy("recording_id", "timestamp").agg(F.min("id").alias("id"))
 
 
-def _greedy_step(keys: int):
-    """Keep a row when it lies ``interval`` after the last kept one; scene rows restart the clock.
-
-    The clock starts at the first row; whether that row itself is kept is its ``first_counts`` flag.
-    """
-
-    def step(last, row: tuple):
-        *key, ts, row_id, interval, scene, first_counts = row
-        if last is None:
-            return ts, [(*key, ts, row_id)] if first_counts and not scene else []
-        if scene:
-            return ts, []
-        if ts - last >= interval:
-            return ts, [(*key, ts, row_id)]
-        return last, []
-
-    return step
-
-
 #: Intervals a chunk of a greedy scan spans at least; shorter chunks would hardly hold a kept row.
 SPANNED = 20
 
 
 def _greedy(df: DataFrame, keys: Sequence[str], interval: Column, scene: Column, first_counts: bool, width: float) -> DataFrame:
-    rows = df.select(
-        *keys, *ORDER, interval.cast("double").alias("_interval"), scene.alias("_scene"), F.lit(first_counts).alias("_first")
-    )
-    columns = [*keys, *ORDER, "_interval", "_scene", "_first"]
-    return ordered_fold(rows, keys, ORDER, columns, _greedy_step(len(keys)), None, _out(df, keys), width=width)
+    """Rows ``interval`` (one per key) after the last kept one; scene rows restart the clock and are not given out.
+
+    The clock starts at the first row; ``first_counts`` says whether that row itself is kept.
+    """
+    rows = df.select(*keys, *ORDER, interval.cast("double").alias("_interval"), F.coalesce(scene, F.lit(False)).alias("_scene"))
+
+    def emitted(kept: pa.Table, first: np.ndarray) -> np.ndarray:
+        return ~kept.column("_scene").to_numpy() & (~first | first_counts)
+
+    return kept_path(rows, keys, ORDER, ["_interval", "_scene"], Spaced("timestamp", "_interval", "_scene"), emitted, _out(df, keys), width=width)
 
 
 def sample_base(frames: DataFrame, base: float = 10.0, *, width: float = ordered.CHUNK_SECONDS) -> DataFrame:
@@ -206,35 +194,20 @@ def churn(frames: DataFrame, threshold: int = 4, window: float = 60.0, limit: in
     return rows.withColumn("throttled", F.col("changes") > limit)
 
 
-def _guard_step(threshold: int, interval: float):
-    """Drop near duplicates of the last kept frame; under churn keep at most one frame per interval."""
-
-    def step(state, row: tuple):
-        kept, held_at = state
-        *key, ts, row_id, phash, throttled = row
-        if not throttled:
-            held_at = None
-        if kept is not None and ((phash ^ kept) & 0xFFFFFFFFFFFFFFFF).bit_count() <= threshold:
-            return [kept, held_at], []
-        if throttled:
-            if held_at is not None and ts - held_at < interval:
-                return [kept, held_at], []
-            held_at = ts
-        return [phash, held_at], [(*key, ts, row_id)]
-
-    return step
-
-
 def _guard(frames: DataFrame, throttled: Column, keys: Sequence[str], threshold: int, interval: float, width: float) -> DataFrame:
-    rows = frames.select(*keys, *ORDER, "phash", throttled.alias("_throttled"))
-    columns = [*keys, *ORDER, "phash", "_throttled"]
-    return ordered_fold(rows, keys, ORDER, columns, _guard_step(threshold, interval), [None, None], _out(frames, keys), width=width)
+    """Drop near duplicates of the last kept frame; under churn keep at most one frame per interval."""
+    rows = frames.select(*keys, *ORDER, "phash", F.coalesce(throttled, F.lit(False)).alias("_throttled"))
+    rule = Different("timestamp", "phash", "_throttled", threshold, interval)
+    return kept_path(rows, keys, ORDER, ["phash", "_throttled"], rule, lambda kept, first: np.ones(len(kept), bool), _out(frames, keys), width=width)
 
 
 def drop_near_duplicates(
     frames: DataFrame, threshold: int = 4, *, keys: Sequence[str] = ("display_id",), width: float = ordered.CHUNK_SECONDS
 ) -> DataFrame:
-    """Frames that differ in more than ``threshold`` bits from the last kept one of the display."""
+    """Frames that differ in more than ``threshold`` bits from the last kept one of the display.
+
+    A frame without a hash differs from every other.
+    """
     return _guard(frames, F.lit(False), list(keys), threshold, 0.0, width)
 
 
