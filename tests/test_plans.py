@@ -12,7 +12,7 @@ from dayweave.operators import frames, segments
 from dayweave.plans import ordered
 from dayweave.plans.fold import ordered_fold
 from dayweave.plans.graphs import connected_components, first_independent
-from dayweave.plans.ranges import binned_pairs
+from dayweave.plans.ranges import binned_pairs, cover
 
 
 def rows(seed: int, n: int = 400):
@@ -92,6 +92,32 @@ def test_pairs(spark):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("width", [0.5, 7.0])
+def test_pairs_of_spans_of_all_lengths(spark, width):
+    rng = random.Random(8)
+    spans = lambda n: [(rng.choice([0, 0, 1, 2]), i, s, s + rng.choice([-1.0, 0.0, 0.25, 1.0, 40.0, 3000.0])) for i, s in enumerate(rng.uniform(-500, 2500) for _ in range(n))]
+    a, b = spans(150), spans(150)
+    want = sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] <= x[3] and y[2] <= y[3] and x[2] <= y[3] and y[2] <= x[3])
+    left = spark.createDataFrame(a, "key int, a long, s1 double, e1 double")
+    right = spark.createDataFrame(b, "key int, b long, s2 double, e2 double")
+    got = binned_pairs(left, right, ["key"], ("s1", "e1"), ("s2", "e2"), F.expr("s1 <= e2 and s2 <= e1"), width=width)
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == want
+
+
+def test_a_long_span_is_few_rows(spark):
+    """A year among seconds: no more rows than two a level, and they make up the span exactly."""
+    year = 365 * 86400
+    for low, high in [(0, year), (12345, 12345 + year), (-7, -7), (5, 4), (-year, year)]:
+        cells = spark.range(1).select(cover(F.lit(low), F.lit(high)).alias("c")).first().c
+        assert len(cells) <= 64
+        assert sum(1 << c.level for c in cells) == max(0, high - low + 1)
+        assert not cells or (min(c.node << c.level for c in cells), max((c.node + 1) << c.level for c in cells)) == (low, high + 1)
+    long = spark.createDataFrame([(1, 0, 0.0, float(year))] + [(1, i, float(i * 100), i * 100 + 1.0) for i in range(1, 400)], "key int, a long, s1 double, e1 double")
+    points = spark.createDataFrame([(1, i, i * 77.0, i * 77.0 + 1) for i in range(500)], "key int, b long, s2 double, e2 double")
+    got = binned_pairs(long, points, ["key"], ("s1", "e1"), ("s2", "e2"), F.expr("s1 < e2 and s2 < e1"), width=1.0)
+    assert got.where("a = 0").count() == 500
+
+
 @pytest.mark.parametrize("width", [5.0, 40.0, 5000.0])
 def test_fold_needs_its_predecessors(data, width):
     """A state that never forgets: the fold must pass it through every chunk."""
