@@ -43,9 +43,18 @@ def _(t: Tables):
 
 @query(
     "cluster_embeddings",
-    """WITH RECURSIVE near AS (SELECT a.id AS a, b.id AS b FROM vecs a JOIN vecs b ON a.label = b.label AND a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= 0.44),
-    reach AS (SELECT id, id AS c FROM vecs UNION SELECT n.b, r.c FROM reach r JOIN near n ON n.a = r.id)
-    SELECT label, id, min(c) AS cluster_id FROM reach JOIN vecs USING (id) GROUP BY 1, 2""",
+    """WITH RECURSIVE units AS (SELECT label, id, [x / sqrt(list_inner_product(v, v)) FOR x IN v] AS u FROM vecs),
+    rounds AS (
+      SELECT label, list({'ids': [id], 's': u} ORDER BY id) AS cs FROM units GROUP BY label
+      UNION ALL
+      SELECT label, list_append([c FOR c IN cs IF NOT list_has_any(c.ids, list_concat(p.x.ids, p.y.ids))],
+        {'ids': list_concat(p.x.ids, p.y.ids), 's': [p.x.s[i] + p.y.s[i] FOR i IN range(1, len(p.x.s) + 1)]})
+      FROM rounds JOIN (
+        SELECT a.label, arg_max({'x': x, 'y': y}, list_inner_product(x.s, y.s) / (len(x.ids) * len(y.ids))) AS p
+        FROM (SELECT label, unnest(cs) AS x FROM rounds) a JOIN (SELECT label, unnest(cs) AS y FROM rounds) b ON a.label = b.label AND x.ids[1] < y.ids[1]
+        GROUP BY a.label HAVING max(list_inner_product(x.s, y.s) / (len(x.ids) * len(y.ids))) > 0.44) USING (label))
+    SELECT label, unnest(c.ids) AS id, list_min(c.ids) AS cluster_id
+    FROM (SELECT label, unnest(arg_min(cs, len(cs))) AS c FROM rounds GROUP BY label)""",
 )
 def _(t: Tables):
     return vectors.cluster_embeddings(table(t), 0.56, ["label"])

@@ -12,9 +12,12 @@ from pyspark.sql import types as T
 
 from dayweave.functions.numbers import cosine, dot
 from dayweave.plans.graphs import connected_components
+from dayweave.session import ensure_checkpoint_dir
 
 #: Vectors per side of one comparison task.
 BLOCK_ROWS = 1000
+#: Clusters of a connected group that one task merges.
+LOCAL = 1000
 
 
 def similar_vectors(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], min_cosine: float) -> DataFrame:
@@ -67,15 +70,98 @@ def cosine_pairs(vectors: DataFrame, min_cosine: float, keys: Sequence[str] = ("
 
 
 def cluster_embeddings(vectors: DataFrame, max_distance: float = 0.15, keys: Sequence[str] = ("recording_id",)) -> DataFrame:
-    """Groups of vectors of a key connected by pairs within the cosine distance; ids are unique over all keys.
-
-    Copies of one vector are linked to their smallest id first, so only distinct vectors are compared.
-    These are connected groups: a chain of near pairs is one group, where average linkage may cut it.
+    """Average-linkage clusters of the vectors of a key, named by their smallest id; ids are unique over all keys.
+
+    Two clusters merge, nearest first, while the mean cosine distance of their members is below the limit. A
+    mean below it needs a pair below it, so clusters never cross the groups that near pairs connect; those are
+    found first. With unit vectors the mean cosine is the product of two sums, so a cluster is its sum and
+    size. Groups of up to ``LOCAL`` clusters are merged in one task each; larger ones in rounds, each merging
+    all clusters that are each other's nearest, until they are as small. Merging mutual neighbours in any
+    order gives the same clusters. Copies are one vector with a weight; null and zero vectors are alone.
     """
     keys = list(keys)
-    copies = vectors.groupBy(*keys, "vector").agg(F.min("id").alias("rep"))
-    same = vectors.join(copies, [*keys, "vector"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    distinct = copies.select(*keys, F.col("rep").alias("id"), "vector")
-    pairs = cosine_pairs(distinct, 1 - max_distance, keys)
-    found = connected_components(same.unionByName(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
-    return vectors.join(found, vectors.id == found.node, "left").select(*keys, "id", F.coalesce("component", "id").alias("cluster_id"))
+    ensure_checkpoint_dir(vectors.sparkSession)
+    copies = vectors.where("vector is not null").groupBy(*keys, "vector").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    distinct = copies.select(*keys, F.col("rep").alias("id"), "vector").checkpoint()
+    linked = connected_components(cosine_pairs(distinct, 1 - max_distance, keys).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    weights = copies.select(F.col("rep").alias("id"), "n")
+    state = _unit(distinct, keys).join(weights, "id").join(linked.select(F.col("node").alias("id"), F.col("component").alias("part")), "id")
+    state = state.select(*keys, "part", "id", F.transform("u", lambda x: x * F.col("n")).alias("s"), "n").checkpoint()
+    home = state.select("id", F.col("id").alias("cluster"))
+    settled = state.select("part").limit(0)
+    while True:
+        large = state.groupBy("part").count().where(F.col("count") > LOCAL).join(settled, "part", "left_anti").select("part").checkpoint()
+        if large.isEmpty():
+            break
+        merged = _mutual(state.join(large, "part", "left_semi"), 1 - max_distance).checkpoint()
+        settled = settled.unionByName(large.join(merged.select("part").distinct(), "part", "left_anti")).checkpoint()
+        taken = state.join(merged.select(F.col("b").alias("id"), F.col("a").alias("into")), "id")
+        grown = taken.select(F.col("into").alias("id"), F.col("s").alias("s2"), F.col("n").alias("n2"))
+        state = state.join(merged.select(F.col("b").alias("id")), "id", "left_anti").join(grown, "id", "left")
+        total = F.when(F.col("s2").isNull(), F.col("s")).otherwise(F.zip_with("s", "s2", lambda x, y: x + y))
+        state = state.select(*keys, "part", "id", total.alias("s"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")).checkpoint()
+        moved = merged.select(F.col("b").alias("cluster"), F.col("a").alias("into"))
+        home = home.join(moved, "cluster", "left").select("id", F.coalesce("into", "cluster").alias("cluster")).checkpoint()
+    schema = T.StructType([T.StructField("cluster", vectors.schema["id"].dataType), T.StructField("last", vectors.schema["id"].dataType)])
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        root = agglomerate(np.stack(group["s"].to_list()), group["n"].to_numpy(float), 1 - max_distance)
+        ids = group["id"].to_numpy()
+        return pd.DataFrame({"cluster": ids, "last": ids[root]})
+
+    final = state.join(settled, "part", "left_anti").groupBy("part").applyInPandas(merge, schema)
+    home = home.join(final, "cluster", "left").select(F.col("id").alias("rep"), F.coalesce("last", "cluster").alias("cluster"))
+    named = home.groupBy("cluster").agg(F.min("rep").alias("cluster_id")).join(home, "cluster").select("rep", "cluster_id")
+    placed = copies.join(named, "rep").select(*keys, "vector", "cluster_id")
+    return vectors.join(placed, [*keys, "vector"], "left").select(*keys, "id", F.coalesce("cluster_id", "id").alias("cluster_id"))
+
+
+def agglomerate(sums: np.ndarray, sizes: np.ndarray, min_cosine: float) -> np.ndarray:
+    """For every cluster the first one it ends up with, by average linkage above ``min_cosine``."""
+    sums, sizes, root = sums.copy(), sizes.copy(), np.arange(len(sums))
+    mean = sums @ sums.T / np.outer(sizes, sizes)
+    np.fill_diagonal(mean, -np.inf)
+    while True:
+        i, j = sorted(divmod(int(mean.argmax()), len(mean)))
+        if not mean[i, j] > min_cosine:
+            return root
+        sums[i] += sums[j]
+        sizes[i] += sizes[j]
+        root[root == j] = i
+        alive = mean[i] > -np.inf
+        alive[i] = True
+        mean[j], mean[:, j] = -np.inf, -np.inf
+        alive[[i, j]] = False
+        mean[i, alive] = mean[alive, i] = sums[alive] @ sums[i] / (sizes[alive] * sizes[i])
+
+
+def _mutual(state: DataFrame, min_cosine: float) -> DataFrame:
+    """``(part, a, b)``: clusters ``a < b`` of a part that are each other's nearest, near enough to merge."""
+    parts = state.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    placed = state.join(parts, "part").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sides = [
+        placed.select("part", "id", "s", "n", F.col("mine").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y")),
+        placed.select("part", "id", "s", "n", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.col("mine").alias("y")),
+    ]
+    kind = state.schema["id"].dataType
+    schema = T.StructType([T.StructField("part", state.schema["part"].dataType), T.StructField("id", kind), T.StructField("other", kind), T.StructField("mean", T.DoubleType())])
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=schema.names)
+        right = right.sort_values("id")
+        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+        mean = np.stack(left["s"].to_list()) @ np.stack(right["s"].to_list()).T / np.outer(left["n"], right["n"])
+        mean[ids[:, None] == others[None, :]] = -np.inf
+        # The first of equally near ones is the smallest id.
+        best = mean.argmax(1)
+        top = mean[np.arange(len(ids)), best]
+        good = top > min_cosine
+        return pd.DataFrame({"part": left["part"].iloc[0], "id": ids[good], "other": others[best[good]], "mean": top[good]})[schema.names]
+
+    tile = ["part", "x", "y"]
+    found = sides[0].groupBy(*tile).cogroup(sides[1].select(*[F.col(c).alias(c) for c in sides[1].columns]).groupBy(*tile)).applyInPandas(nearest, schema)
+    best = found.groupBy("part", "id").agg(F.min_by("other", F.struct(-F.col("mean"), "other")).alias("other")).checkpoint()
+    back = best.select("part", F.col("id").alias("other"), F.col("other").alias("id"))
+    return best.join(back, ["part", "id", "other"]).where("id < other").select("part", F.col("id").alias("a"), F.col("other").alias("b"))
