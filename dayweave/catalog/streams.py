@@ -55,11 +55,14 @@ def _(t: Tables):
     return blocks.select("recording_id", "from_ts", "b.to_ts", "b.observation_count", "b.is_open")
 
 
-@query("stream_capture_guard", guard_sql("changes > 30", 12, 9000.0))
+@query(
+    "stream_capture_guard",
+    guard_sql("changes > 30", 12, 9000.0) + f" AND id IN (SELECT id FROM obs0 WHERE timestamp <= (SELECT max(timestamp) FROM obs0) - {DELAY})",
+)
 def _(t: Tables):
     live.use_keyed_state(t.spark)
     rows = events(t).select(
-        "id", (F.col("recording_id") % 20).alias("display_id"), "timestamp", (F.col("k") * F.lit(2654435761) + F.round(F.col("value") * 100).cast("long") * 40503).alias("phash")
+        "id", "at", (F.col("recording_id") % 20).alias("display_id"), "timestamp", (F.col("k") * F.lit(2654435761) + F.round(F.col("value") * 100).cast("long") * 40503).alias("phash")
     )
     return live.flush(live.capture_guard(rows, 12, 200000.0, 30, 9000.0)).select("id")
 
@@ -101,6 +104,20 @@ def _(t: Tables):
     return rows.select((F.unix_micros("window_start") / F.lit(1e6)).alias("window_start"), "activity", "observations")
 
 
+@query(
+    "stream_apps",
+    f"""SELECT CAST(epoch(d) AS DOUBLE) AS window_start, app, count(*) AS observations FROM (SELECT time_bucket(INTERVAL 6 HOUR, make_timestamp(CAST(timestamp * 1000000 AS BIGINT))) AS d,
+    unnest(list_distinct([CASE event_type WHEN 'click' THEN 'chrome' WHEN 'view' THEN 'Slack' ELSE event_type END, event_type])) AS app
+    FROM (SELECT epoch(ts) AS timestamp, event_type FROM events)) GROUP BY 1, 2 HAVING window_start + 21600 <= (SELECT max(epoch(ts)) FROM events) - {DELAY}""",
+)
+def _(t: Tables):
+    kind = F.col("event_type")
+    app = F.when(kind == "click", "chrome").when(kind == "view", "Slack").otherwise(kind)
+    rows = stream(t, "events", "ts").select(F.col("ts").alias("at"), F.array(app, kind).alias("apps"))
+    found = live.flush(live.app_digest(rows, "6 hours"))
+    return found.select((F.unix_micros("window_start") / F.lit(1e6)).alias("window_start"), "app", "observations")
+
+
 @query("stream_index", f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '{PATTERN}')) AS term FROM documents) GROUP BY 1, 2")
 def _(t: Tables):
     raw = t.spark.readStream.schema(t.raw("documents").schema).option("pathGlobFilter", "documents.parquet").parquet(t.sf_dir)

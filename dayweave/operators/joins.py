@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from dayweave.functions.clock import overlap_seconds
 from dayweave.functions.text import trim_blank
-from dayweave.plans.ranges import binned_pairs
+from dayweave.plans.ordered import row_index
+from dayweave.plans.ranges import ancestors, binned_pairs, cover, top_level
+from dayweave.session import ensure_checkpoint_dir
 
 
 def align_transcripts(
@@ -120,15 +122,29 @@ def orphan_blocks(inner: DataFrame, outer: DataFrame, keys: Sequence[str] = ("re
 
 
 def run_for_artifact(artifacts: DataFrame, runs: DataFrame) -> DataFrame:
-    """Latest completed run that was active when the artifact was written; null without one."""
-    done = runs.where(F.col("status") == "completed").select(
-        "recording_id", F.col("id").alias("run_id"), "started_at", "completed_at"
-    )
-    active = artifacts.join(done, "recording_id").where(
-        (F.col("started_at") <= F.col("created_at"))
-        & (F.col("completed_at").isNull() | (F.col("completed_at") >= F.col("created_at")))
-    )
-    latest = active.groupBy("id").agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("run_id"))
+    """Latest completed run that was active when the artifact was written; null without one.
+
+    Starts, artifacts and ends of a recording are numbered on one line; a run is then a range of numbers, cut
+    into nodes of a binary tree. A node keeps only its latest run, and an artifact asks the nodes above its
+    number, so artifacts never meet all runs of a recording. A run without an end is active to the end.
+    """
+    done = runs.where((F.col("status") == "completed") & F.col("started_at").isNotNull())
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    run, art = F.col("id").alias("run_id"), none(artifacts, "id").alias("art_id")
+    begun = done.select("recording_id", F.col("started_at").cast("double").alias("ts"), F.lit(0).alias("kind"), run, art, "started_at")
+    ended = done.where("completed_at is not null").select("recording_id", F.col("completed_at").cast("double").alias("ts"), F.lit(2).alias("kind"), run, art, "started_at")
+    written = artifacts.where("created_at is not null").select("recording_id", F.col("created_at").cast("double").alias("ts"), F.lit(1).alias("kind"), none(runs, "id").alias("run_id"), F.col("id").alias("art_id"), none(runs, "started_at").alias("started_at"))
+    # Rows of one time and kind may be numbered either way: what lies between two kinds stays between them.
+    ensure_checkpoint_dir(artifacts.sparkSession)
+    line = row_index(begun.unionByName(ended).unionByName(written), ["recording_id"], ["ts", "kind"], "pos").checkpoint()
+    spans = line.where("kind <> 1").groupBy("recording_id", "run_id", "started_at").agg(F.min(F.when(F.col("kind") == 0, F.col("pos"))).alias("low"), F.max(F.when(F.col("kind") == 2, F.col("pos"))).alias("high"))
+    sizes = line.groupBy("recording_id").agg(F.count("*").alias("_size"))
+    spans = spans.join(sizes, "recording_id").withColumn("_at", F.explode(cover(F.col("low"), F.coalesce("high", "_size"))))
+    node = ["recording_id", "_level", "_node"]
+    nodes = spans.groupBy("recording_id", F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node")).agg(F.max(F.struct("started_at", "run_id")).alias("_latest"))
+    asked = line.where("kind = 1").join(sizes, "recording_id").select("recording_id", "art_id", F.explode(ancestors(F.col("pos"), top_level(F.col("_size") + 1))).alias("_at"))
+    asked = asked.select("recording_id", "art_id", F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node"))
+    latest = asked.join(nodes, node).groupBy(F.col("art_id").alias("id")).agg(F.max("_latest").alias("_latest")).select("id", F.col("_latest.run_id").alias("run_id"))
     return artifacts.join(latest, "id", "left")
 
 

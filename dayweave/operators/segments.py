@@ -209,13 +209,27 @@ def top_entries(counts: DataFrame, keys: Sequence[str], name: str, n: int = 3) -
 
 
 def gap_sweep(obs: DataFrame, gaps: Sequence[float] = (60.0, 120.0, 300.0), keys: Sequence[str] = ()) -> DataFrame:
-    """Block statistics for several gaps; ``best`` marks the highest length-times-size per block."""
-    spread = obs.select(*keys, "id", "timestamp").withColumn("gap", F.explode(F.array(*[F.lit(float(g)) for g in gaps])))
-    blocks = ordered.islands(
-        spread, ["gap", *keys], ["timestamp", "id"], lambda a, b: b["timestamp"] - a["timestamp"] > b["gap"], ["timestamp", "gap"], alias="block"
-    ).groupBy("gap", *keys, "block_ts", "block_id").agg(
-        (F.max("timestamp") - F.min("timestamp")).alias("duration"), F.count("*").alias("observation_count")
-    )
+    """Block statistics for several gaps; ``best`` marks the highest length-times-size per block.
+
+    Rows are read once: blocks of the smallest gap are what larger gaps merge. Every block knows the pause
+    before and after it, and one scan over them gives for each gap where the block it then belongs to began;
+    a block ends where the pause after it is longer. Nothing is copied per gap but the blocks found.
+    """
+    ensure_checkpoint_dir(obs.sparkSession)
+    keys, gaps = list(keys), sorted({float(g) for g in gaps})
+    order = ["from_ts", "block_id"]
+    small = gap_blocks(obs, gaps[0], keys).select(*keys, *order, "to_ts", "observation_count").checkpoint()
+    line = ordered.carry(small, keys, order, {"_prev": F.col("to_ts")})
+    line = ordered.running_total(line, keys, order, F.col("observation_count"), "upto").checkpoint()
+    pause = F.col("from_ts") - F.col("_prev")
+    begin = F.struct(F.col("from_ts").alias("ts"), (F.col("upto") - F.col("observation_count")).alias("base"))
+    starts = {f"_s{n}": F.when(pause.isNull() | (pause > g), begin) for n, g in enumerate(gaps)}
+    line = ordered.carry(line, keys, order, starts, strict=False)
+    line = ordered.carry(line, keys, order, {"_next": F.col("from_ts")}, forward=True)
+    after = F.col("_next") - F.col("to_ts")
+    ends = F.array(*[F.when(after.isNull() | (after > g), F.struct(F.lit(g).alias("gap"), F.col(f"_s{n}").alias("s"))) for n, g in enumerate(gaps)])
+    ended = line.select("to_ts", "upto", F.explode(F.filter(ends, lambda e: e.isNotNull())).alias("e"))
+    blocks = ended.select("e.gap", (F.col("to_ts") - F.col("e.s.ts")).alias("duration"), (F.col("upto") - F.col("e.s.base")).alias("observation_count"))
     stats = block_stats(blocks, ["gap"])
     score = F.col("avg_duration") * F.col("avg_observations") / F.greatest("blocks", F.lit(1))
     # One row per gap is left: the ranking window is as small as the list of gaps.

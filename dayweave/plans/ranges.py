@@ -23,7 +23,7 @@ def _bin(col: Column, width: float) -> Column:
     return F.floor(col / F.lit(float(width))).cast("long")
 
 
-def _top(count: Column) -> Column:
+def top_level(count: Column) -> Column:
     """The highest level a span of so many bins can have a node on."""
     return F.floor(F.log2(F.greatest(count, F.lit(1)).cast("double"))).cast("int")
 
@@ -43,7 +43,7 @@ def cover(low: Column, high: Column, side: int = 0) -> Column:
         right = F.when(inside & (F.pmod(end, F.lit(2)) == 1), _cell(side, k, end - 1))
         return F.array(left, right)
 
-    nodes = F.flatten(F.transform(F.sequence(F.lit(0), _top(high - low + 1)), at_level))
+    nodes = F.flatten(F.transform(F.sequence(F.lit(0), top_level(high - low + 1)), at_level))
     return F.when(low <= high, F.filter(nodes, lambda x: x.isNotNull())).otherwise(F.array().cast(f"array<{CELL}>"))
 
 
@@ -76,8 +76,8 @@ def binned_pairs(
 
     a, b = binned(left, left_span, "_a"), binned(right, right_span, "_b")
     # A pair in which b does not start later than a, or in which it does: each pair is one of them.
-    a_top = a.groupBy(*keys).agg(_top(F.max(F.col("_a1") - F.col("_a0")) + 1).alias("_top_a"))
-    b_top = b.groupBy(*keys).agg(_top(F.max(F.col("_b1") - F.col("_b0"))).alias("_top_b"), F.max(F.col("_b1") - F.col("_b0")).alias("_long_b"))
+    a_top = a.groupBy(*keys).agg(top_level(F.max(F.col("_a1") - F.col("_a0")) + 1).alias("_top_a"))
+    b_top = b.groupBy(*keys).agg(top_level(F.max(F.col("_b1") - F.col("_b0"))).alias("_top_b"), F.max(F.col("_b1") - F.col("_b0")).alias("_long_b"))
     b_top = b_top.select(*keys, F.when(F.col("_long_b") > 0, F.col("_top_b")).alias("_top_b"))
     own, other = F.col("_a0"), F.col("_b0")
     placed_a = a.join(b_top, keys).withColumn("_at", F.explode(F.concat(cover(own, F.col("_a1"), 0), ancestors(own, F.col("_top_b"), 1)))).drop("_top_b")

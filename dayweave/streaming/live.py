@@ -159,22 +159,54 @@ def open_blocks(obs: DataFrame, gap: float = 60.0, *, event_time: str = "at", id
 
 
 class _CaptureGuard(StatefulProcessor):
-    """Near-duplicate drop and churn throttle of one display, row by row in time order."""
+    """Near-duplicate drop and churn throttle of one display, in time order.
 
-    def __init__(self, threshold: int, window: float, limit: int, interval: float):
+    Rows wait until the watermark has passed them, when nothing earlier can come any more.
+    """
+
+    COLUMNS = ["display_id", "id", "timestamp", "phash"]
+
+    def __init__(self, kind: str, threshold: int, window: float, limit: int, interval: float, idle: float):
+        self.kind, self.idle = kind, idle
         self.rule = threshold, window, limit, interval
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seen bigint, kept bigint, held_at double, changes array<double>")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"timestamp double, id {self.kind}, phash bigint")
+        self.last = handle.getValueState("last", "seen bigint, kept bigint, held_at double, changes array<double>, at double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived = [r for pdf in rows for r in zip(pdf["timestamp"].tolist(), pdf["id"].tolist(), pdf["phash"].tolist())]
+        self.waiting.appendList(arrived)
+        # Once the watermark passes the first of them; that call sets the next timer.
+        self.handle.registerTimer(_milliseconds(min(arrived)[0]))
+        yield pd.DataFrame([], columns=self.COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        ready = [r for r in rows if _milliseconds(r[0]) <= passed]
+        left = rows[len(ready) :]
+        out = self._released(ready, key) if ready else []
+        if ready:
+            self.waiting.put(left) if left else self.waiting.clear()
+        if left:
+            self.handle.registerTimer(_milliseconds(left[0][0]))
+        elif self.last.exists():
+            end = _milliseconds(self.last.get()[4] + self.idle)
+            if end <= passed:
+                self.last.clear()
+            elif ready:
+                self.handle.registerTimer(end)
+        yield pd.DataFrame(out, columns=self.COLUMNS)
+
+    def _released(self, rows: list[tuple], key) -> list[tuple]:
         threshold, window, limit, interval = self.rule
-        state = self.last.get() if self.last.exists() else (None, None, None, [])
+        state = self.last.get() if self.last.exists() else (None, None, None, [], None)
         seen, kept, held_at, changes = state[0], state[1], state[2], list(state[3])
         apart = lambda a, b: ((int(a) ^ int(b)) & 0xFFFFFFFFFFFFFFFF).bit_count()
-        every = sorted(r for pdf in rows for r in zip(pdf["timestamp"].tolist(), pdf["id"].tolist(), pdf["phash"].tolist()))
         out = []
-        for ts, frame, phash in every:
+        for ts, frame, phash in rows:
             if seen is not None and apart(phash, seen) > threshold:
                 changes.append(ts)
             seen = phash
@@ -190,19 +222,32 @@ class _CaptureGuard(StatefulProcessor):
                 held_at = ts
             kept = phash
             out.append((key[0], frame, ts, phash))
-        self.last.update((seen, kept, held_at, changes))
-        yield pd.DataFrame(out, columns=["display_id", "id", "timestamp", "phash"])
+        self.last.update((seen, kept, held_at, changes, rows[-1][0]))
+        return out
 
     def close(self) -> None:
         pass
 
 
-def capture_guard(frames: DataFrame, threshold: int = 4, window: float = 60.0, limit: int = 40, interval: float = 30.0) -> DataFrame:
-    """Kept frames per display; the batch form is ``operators.frames.throttle``."""
+def _milliseconds(seconds: float) -> int:
+    """The first whole millisecond not before a time."""
+    return -int(-seconds * 1000 // 1)
+
+
+def capture_guard(
+    frames: DataFrame, threshold: int = 4, window: float = 60.0, limit: int = 40, interval: float = 30.0, *, event_time: str = "at", idle: float = 30 * 86400.0
+) -> DataFrame:
+    """Kept frames per display; the batch form is ``operators.frames.throttle``.
+
+    Frames may come out of order inside the watermark of ``event_time``: each waits until the watermark has
+    passed it, then all that are ready go through in time order. Older ones are dropped and counted
+    (:class:`LateRows`). A display without frames for ``idle`` seconds of event time leaves the state; its
+    next frame is a first one. Needs the RocksDB state store (see :func:`use_keyed_state`).
+    """
     kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
     schema = f"display_id {kinds['display_id']}, id {kinds['id']}, timestamp double, phash bigint"
-    return frames.select("display_id", "id", "timestamp", "phash").groupBy("display_id").transformWithStateInPandas(
-        _CaptureGuard(threshold, window, limit, interval), schema, outputMode="Append", timeMode="None"
+    return frames.select("display_id", "id", "timestamp", "phash", event_time).groupBy("display_id").transformWithStateInPandas(
+        _CaptureGuard(kinds["id"], threshold, window, limit, interval, idle), schema, outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -233,6 +278,14 @@ def activity_digest(obs: DataFrame, size: str = "1 hour", slide: str | None = No
     return counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "activity", "observations")
 
 
+def app_digest(obs: DataFrame, size: str = "1 hour", slide: str | None = None, event_time: str = "at") -> DataFrame:
+    """Observations per window and application; an application counts once per observation."""
+    windowed = F.window(event_time, size, slide) if slide else F.window(event_time, size)
+    shown = obs.select(event_time, F.explode(F.array_distinct("apps")).alias("app")).where("app is not null")
+    counts = shown.groupBy(windowed.alias("w"), "app").agg(F.count("*").alias("observations"))
+    return counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "app", "observations")
+
+
 def index_batches(docs: DataFrame, path: str, *, stems: bool = True) -> None:
     """Keep a search index in step with a stream of changed documents.
 
