@@ -123,4 +123,4 @@ def _(t: Tables):
     raw = t.spark.readStream.schema(t.raw("documents").schema).option("pathGlobFilter", "documents.parquet").parquet(t.sf_dir)
     target = f"{ensure_checkpoint_dir(t.spark)}/index-{t.spark.sparkContext.applicationId}-{t.sf_dir.rsplit('/', 1)[-1]}"
     live.index_batches(raw.select("doc_id", "text", F.current_timestamp().alias("at")), target, stems=False)
-    return live.read_index(t.spark, target).postings
+    return live.read_index(t.spark, target).postings.select("term", "doc_id", "tf")

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from dayweave.functions.text import canonical_activity
+from dayweave.operators.search import StoredIndex, change_index, load_index
 from dayweave.session import ensure_checkpoint_dir
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -289,28 +290,21 @@ def app_digest(obs: DataFrame, size: str = "1 hour", slide: str | None = None, e
 def index_batches(docs: DataFrame, path: str, *, stems: bool = True) -> None:
     """Keep a search index in step with a stream of changed documents.
 
-    Every batch writes its own folder, so a repeated batch replaces itself. A document's newest batch
-    counts; a null text removes it (see :func:`read_index`).
+    Every batch adds a run to the index, which merges runs of similar size. A repeated batch changes nothing.
+    Of a document's rows in a batch the last by ``at`` counts; a null text removes it, an empty one does not.
     """
-    from dayweave.operators.search import build_index
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        # One row per document: the last one of the batch.
-        latest = batch.groupBy("doc_id").agg(F.max_by("text", "at").alias("text"))
-        index = build_index(latest, stems=stems)
-        index.postings.write.mode("overwrite").parquet(f"{path}/postings/version={batch_id}")
-        index.documents.write.mode("overwrite").parquet(f"{path}/documents/version={batch_id}")
+        latest = batch.groupBy("doc_id").agg(F.max_by(F.struct("text"), "at").alias("last")).select("doc_id", "last.text").persist()
+        try:
+            change_index(load_index(batch.sparkSession, path), latest.where("text is not null"), latest.where("text is null"), stems=stems, batch=batch_id)
+        finally:
+            latest.unpersist()
 
     writer = docs.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/state")
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def read_index(spark: SparkSession, path: str):
+def read_index(spark: SparkSession, path: str) -> StoredIndex:
     """Current content of an index written by :func:`index_batches`."""
-    from dayweave.operators.search import Index
-
-    documents = spark.read.parquet(f"{path}/documents")
-    newest = documents.groupBy("doc_id").agg(F.max("version").alias("version"))
-    postings = spark.read.parquet(f"{path}/postings").join(newest, ["doc_id", "version"]).select("term", "doc_id", "tf")
-    current = documents.join(newest, ["doc_id", "version"]).where("length > 0")
-    return Index(postings, current.select("doc_id", "length"))
+    return load_index(spark, path)
