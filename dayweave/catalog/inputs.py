@@ -51,15 +51,20 @@ def one_file_each(rows, folder: str) -> str:
     return folder
 
 
+#: Entries one document holds.
+ENTRIES = 1000
+
+
 def gathered(rows, key: str, place: str, entry):
-    """``(key, r)``: the entries of every key in the order of ``place``, as one document holds them."""
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(place, entry.alias("e")))).alias("r"))
+    """``(key, r)``: the entries of every key in the order of ``place``, in documents of a bounded number of places."""
+    rows = rows.withColumn("part", F.floor(F.col(place) / ENTRIES))
+    listed = rows.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct(place, entry.alias("e")))).alias("r"))
     return listed.select(key, F.transform("r", lambda x: x["e"]).alias("r"))
 
 
 @query(
     "scan_transcript_json",
-    """SELECT CAST(row_number() OVER (PARTITION BY recording_id ORDER BY turn) - 1 AS INTEGER) AS n, CAST(s AS DOUBLE) AS start, e AS "end", trim(body) AS text FROM spoken""",
+    """SELECT CAST(row_number() OVER (PARTITION BY recording_id, turn // 1000 ORDER BY turn) - 1 AS INTEGER) AS n, CAST(s AS DOUBLE) AS start, e AS "end", trim(body) AS text FROM spoken""",
 )
 def _(t: Tables):
     entry = F.struct(F.struct((F.col("s") * 1000).alias("from"), (F.col("s") * 1000 + 7000).alias("to")).alias("offsets"), F.concat(F.lit(" "), "body").alias("text"))
@@ -68,6 +73,43 @@ def _(t: Tables):
     return segs.select("n", "start", "end", "text")
 
 
+def named_files(rows, folder: str, name: str) -> str:
+    """Write every text of ``rows(value)`` to a file of its own in a folder ``<name>=<value of name>``."""
+    rows.write.partitionBy(name).option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
+@query(
+    "scan_capture_meta",
+    """SELECT 'cap=' || s_suppkey AS id, s_name AS pretty_name, 'display-' || s_suppkey || '.mp4' AS video_path, CASE WHEN s_suppkey % 3 = 1 THEN 'mic.ogg' END AS audio_mic_path,
+    CASE WHEN s_suppkey % 3 = 2 THEN 'system.ogg' END AS audio_system_path, CAST(NULL AS VARCHAR) AS reason FROM supplier WHERE s_suppkey % 3 > 0 AND s_suppkey % 5 > 0
+    UNION ALL SELECT 'cap=' || s_suppkey, NULL, NULL, NULL, NULL, CASE WHEN s_suppkey % 5 = 0 THEN 'no segments' ELSE 'no audio' END FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 5 = 0""",
+)
+def _(t: Tables):
+    n, track = F.col("s_suppkey"), lambda c: F.struct(c.alias("path"))
+    segment = F.struct(
+        track(F.concat(F.lit("display-"), n, F.lit(".mp4"))).alias("display"), track(F.when(n % 3 == 1, "mic.ogg")).alias("mic"), track(F.when(n % 3 == 2, "system.ogg")).alias("system_audio")
+    )
+    meta = F.to_json(F.struct(F.col("s_name").alias("pretty_name"), F.when(n % 5 > 0, F.array(segment)).otherwise(F.array()).alias("segments")))
+    folder = named_files(t.raw("supplier").select(n.alias("cap"), meta.alias("value")), fresh_folder(t, "captures"), "cap")
+    good, bad = files.scan_capture_meta(t.spark, folder, name="part-*")
+    return good.drop("file", "captured_at").unionByName(bad.drop("file"), allowMissingColumns=True)
+
+
+@query("scan_frame_dir", """SELECT 'recording=' || s_nationkey AS recording_id, row_number() OVER (PARTITION BY s_nationkey) - 1 AS frame_index, CAST(2 * (row_number() OVER (PARTITION BY s_nationkey) - 1) AS DOUBLE) AS timestamp FROM supplier""")
+def _(t: Tables):
+    shots = t.raw("supplier").select(F.col("s_nationkey").alias("recording"), F.col("s_name").alias("value"))
+    return files.scan_frame_dir(t.spark, named_files(shots, fresh_folder(t, "frames"), "recording"), suffix=".txt").drop("image_path")
+
+
+@query("scan_frame_listing", """SELECT (1700000000000 + s_suppkey) / 1000 AS timestamp, CAST(s_nationkey AS VARCHAR) AS display_id FROM supplier WHERE s_suppkey % 4 > 0""")
+def _(t: Tables):
+    n = F.col("s_suppkey")
+    name = F.concat(F.lit(1700000000000) + n, F.lit("_"), "s_nationkey", F.when(n % 4 > 0, ".jpg").otherwise(".tmp"))
+    folder = named_files(t.raw("supplier").select(name.alias("shot"), F.col("s_name").alias("value")), fresh_folder(t, "shots"), "shot")
+    return files.scan_frame_listing(t.spark, folder, form=r"/shot=(\d+)_(\d+)\.(jpg|png)/[^/]+$").drop("image_path")
+
+
 @query("scan_vad_manifest", """SELECT CAST(id AS DOUBLE) AS start, CAST(id + 2 AS DOUBLE) AS "end", recording_id || '.wav' AS audio_path FROM obs0""")
 def _(t: Tables):
     span = F.struct(F.col("id").cast("double").alias("start"), (F.col("id") + 2).cast("double").alias("end"), F.concat(F.col("recording_id").cast("string"), F.lit(".wav")).alias("audioPath"))
@@ -87,7 +129,8 @@ def visual_folder(t: Tables) -> str:
         F.col("a").cast("int").alias("representativeIdx"), F.lit(1.5).alias("avgOcrCharacters"), F.array(F.lit("play")).alias("mediaIndicators"),
     )
     groups = gathered(sums, "recording_id", "c", group).withColumnRenamed("r", "clusters")
-    docs = shots.join(groups, "recording_id").select(F.to_json(F.struct("frames", "clusters")).alias("value"))
+    # A recording's clusters have a document of their own, as its frames may fill several.
+    docs = shots.select(F.to_json(F.struct("frames")).alias("value")).unionByName(groups.select(F.to_json(F.struct("clusters")).alias("value")))
     return one_file_each(docs, fresh_folder(t, "visual"))
 
 

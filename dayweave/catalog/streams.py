@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dayweave.catalog.base import Tables, prop_k, query
@@ -93,6 +95,17 @@ def _(t: Tables):
     return seen.select("recording_id", F.floor(F.unix_micros("day_at") / 86400e6).cast("double").alias("day"), "part")
 
 
+@query("stream_resumed", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END AS part FROM orders")
+def _(t: Tables):
+    folder = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/arriving-{uuid.uuid4().hex}"
+    orders = t.raw("orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 2).cast("int").alias("part"))
+    for part in (0, 1):
+        # What arrives between two runs of a stream is consumed by the second one, and nothing twice.
+        orders.where(F.col("part") == part).write.mode("append").parquet(f"{folder}/in")
+        rows = live.flush(t.spark.readStream.schema(orders.schema).parquet(f"{folder}/in"), path=f"{folder}/out")
+    return rows
+
+
 @query(
     "stream_activity",
     f"""SELECT CAST(epoch(d) AS DOUBLE) AS window_start, activity, count(*) AS observations FROM (SELECT time_bucket(INTERVAL 6 HOUR, make_timestamp(CAST(timestamp * 1000000 AS BIGINT))) AS d,

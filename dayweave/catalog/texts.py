@@ -283,12 +283,20 @@ def _(t: Tables):
 
 @query(
     "description_stats",
-    f"""SELECT recording_id, activity, count(*) AS frames, {JOINED('list_sort(list_distinct(flatten(list(apps))))')} AS apps,
-    {JOINED('list_sort(list_distinct(flatten(list(topics))))')} AS topics FROM (SELECT *, {canonical_sql('activity_type')} AS activity FROM described) GROUP BY 1, 2""",
+    f"""SELECT recording_id, activity, count(*) AS frames, len(list_distinct(flatten(list(apps)))) AS apps, len(list_distinct(flatten(list(topics)))) AS topics
+    FROM (SELECT *, {canonical_sql('activity_type')} AS activity FROM described) GROUP BY 1, 2""",
 )
 def _(t: Tables):
-    stats = responses.description_stats(described(t), ["recording_id"])
-    return stats.select("recording_id", "activity", "frames", joined("apps"), joined("topics"))
+    return responses.description_stats(described(t), ["recording_id"])
+
+
+@query(
+    "description_names",
+    f"""WITH named AS (SELECT *, {canonical_sql('activity_type')} AS activity FROM described)
+    SELECT DISTINCT recording_id, activity, 'app' AS kind, unnest(apps) AS name FROM named UNION ALL SELECT DISTINCT recording_id, activity, 'topic', unnest(topics) FROM named""",
+)
+def _(t: Tables):
+    return responses.description_names(described(t), ["recording_id"])
 
 
 @query(

@@ -23,10 +23,17 @@ def dedup_observations(obs: DataFrame) -> DataFrame:
 
 
 def enforce_audio_unique(obs: DataFrame) -> DataFrame:
-    """Unique recording, time and source for audio rows; other rows are untouched."""
-    audio = obs.where("type = 'audio'")
-    keep = audio.groupBy("recording_id", "timestamp", "audio_source").agg(F.min("id").alias("id"))
-    return audio.join(keep.select("id"), "id", "left_semi").unionByName(obs.where("type <> 'audio'"))
+    """Unique recording, time and source for audio rows; other rows are untouched.
+
+    As in a unique index over audio rows of a recording, rows with a null in the key are all different.
+    """
+    key = ["recording_id", "timestamp", "audio_source"]
+    bound = F.coalesce(F.col("type") == "audio", F.lit(False))
+    for name in key:
+        bound = bound & F.col(name).isNotNull()
+    audio = obs.where(bound)
+    keep = audio.groupBy(*key).agg(F.min("id").alias("id"))
+    return audio.join(keep.select("id"), "id", "left_semi").unionByName(obs.where(~bound))
 
 
 def _one_of_each(new: DataFrame, key: Sequence[str], order: Sequence[str], last: bool) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,14 +158,21 @@ def clean_transcripts(segments: DataFrame) -> DataFrame:
     return segments.withColumn("text", tx.without_hallucinations(F.col("text"))).where("text <> ''")
 
 
+def description_names(obs: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct applications and topics seen per canonical activity, one row each: ``kind``, ``name``."""
+    named = obs.withColumn("activity", tx.canonical_activity(F.col("activity_type")))
+    entry = lambda kind, c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+    return named.select(*keys, "activity", F.explode(F.concat(entry("app", "apps"), entry("topic", "topics"))).alias("e")).select(*keys, "activity", "e.*").distinct()
+
+
 def description_stats(obs: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows per canonical activity with the distinct names seen."""
+    """Rows per canonical activity and how many distinct names were seen; :func:`description_names` lists them."""
     named = obs.withColumn("activity", tx.canonical_activity(F.col("activity_type")))
-    return named.groupBy(*keys, "activity").agg(
-        F.count("*").alias("frames"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("apps")))).alias("apps"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("topics")))).alias("topics"),
-    )
+    frames = named.groupBy(*keys, "activity").agg(F.count("*").alias("frames"))
+    seen = description_names(obs, keys).groupBy(*keys, "activity").agg(F.count_if(F.col("kind") == "app").alias("apps"), F.count_if(F.col("kind") == "topic").alias("topics"))
+    match = [F.col(f"f.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "activity"]]
+    both = frames.alias("f").join(seen.alias("s"), reduce(lambda a, b: a & b, match), "left")
+    return both.select(*[f"f.{k}" for k in keys], "f.activity", "frames", F.coalesce("apps", F.lit(0)).alias("apps"), F.coalesce("topics", F.lit(0)).alias("topics"))
 
 
 def web_addresses(rows: DataFrame, keys: list[str], *columns: str) -> DataFrame:

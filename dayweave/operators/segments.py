@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -201,11 +201,13 @@ def block_app_counts(marked: DataFrame, keys: Sequence[str] = ("recording_id",))
 def top_entries(counts: DataFrame, keys: Sequence[str], name: str, n: int = 3) -> DataFrame:
     """The ``n`` most frequent names per key as ``name(count)``, smallest name first on a tie.
 
-    Input has one row per key and name, so what is collected per key is its set of names.
+    Input has one row per key and name. Every task keeps ``n`` rows a key before they meet, so a key may have
+    any number of names; keys without a name have no row, as before.
     """
-    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(name).alias("name")))), 1, n)
-    shown = F.transform(ranked, lambda r: F.concat(r["name"], F.lit("("), -r["n"], F.lit(")")))
-    return counts.groupBy(*keys).agg(F.array_join(shown, ", ").alias("top"))
+    ranked = counts.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), name))).where(F.col("_rank") <= n)
+    listed = F.array_sort(F.collect_list(F.struct("_rank", F.col(name).alias("name"), "n")))
+    shown = F.transform(listed, lambda r: F.concat(r["name"], F.lit("("), r["n"], F.lit(")")))
+    return ranked.groupBy(*keys).agg(F.array_join(shown, ", ").alias("top"))
 
 
 def gap_sweep(obs: DataFrame, gaps: Sequence[float] = (60.0, 120.0, 300.0), keys: Sequence[str] = ()) -> DataFrame:

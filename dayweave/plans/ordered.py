@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 CHUNK_SECONDS = 3600.0
 #: Rows of a scan without keys that one chunk should hold.
 CHUNK_ROWS = 100_000
+#: Edges of one group of edges, and groups of edges, at most.
+EDGES = 64
 CHUNK = "_chunk"
 #: The chunk of rows without a time; it comes before all others.
 NO_TIME = -(1 << 62)
@@ -45,6 +47,30 @@ def fitting_width(df: DataFrame, keys: Sequence[str], ts: str, width: float) ->
     return min(width, float(span.high - span.low) * CHUNK_ROWS / span.n)
 
 
+def chunked(df: DataFrame, keys: Sequence[str], ts: str, width: float) -> DataFrame:
+    """``df`` with the chunk of every row: by ``width`` with keys, else about ``CHUNK_ROWS`` rows each.
+
+    Without keys the edges of the chunks are quantiles of the times, from a sketch that partitions build and
+    merge, so a burst of rows is cut as finely as it is dense. One aggregate runs when the plan is built.
+    """
+    if keys:
+        return with_chunk(df, ts, width)
+    at = F.col(ts).cast("double")
+    count = df.agg(F.count(at).alias("n")).first().n
+    parts = min(EDGES * EDGES, -(-count // CHUNK_ROWS))
+    if parts < 2:
+        return with_chunk(df, ts, width)
+    shares = [i / parts for i in range(1, parts)]
+    edges = sorted(set(df.agg(F.percentile_approx(at, shares, 10 * parts).alias("q")).first().q))
+    # Two steps: the group of edges, then the edge in it.
+    groups = [edges[i : i + EDGES] for i in range(0, len(edges), EDGES)]
+    matrix = F.array(*[F.array(*[F.lit(float(e)) for e in group]) for group in groups])
+    passed = lambda array, c: F.size(F.filter(array, lambda e: e <= c))
+    group = F.greatest(passed(F.array(*[F.lit(float(g[0])) for g in groups]), at) - 1, F.lit(0))
+    place = (group * EDGES + passed(F.element_at(matrix, group + 1), at)).cast("long")
+    return df.withColumn(CHUNK, F.when(at.isNull(), F.lit(NO_TIME)).otherwise(place))
+
+
 def _by(*keys: str) -> Window:
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 
@@ -74,10 +100,9 @@ def carry(
     nearest-neighbour lookup.
     """
     keys, names = list(keys), list(values)
-    width = fitting_width(df, keys, order[0], width)
     direction = (lambda c: F.col(c).desc()) if forward else (lambda c: F.col(c).asc())
     pick = F.min_by if forward else F.max_by
-    rows = with_chunk(df, order[0], width).withColumns({f"_v_{n}": v for n, v in values.items()})
+    rows = chunked(df, keys, order[0], width).withColumns({f"_v_{n}": v for n, v in values.items()})
     inside = _by(*keys, CHUNK).orderBy(*[direction(c) for c in order]).rowsBetween(
         Window.unboundedPreceding, -1 if strict else 0
     )
@@ -106,9 +131,8 @@ def running_total(
 ) -> DataFrame:
     """Inclusive running sum of ``value`` in ``order``; ``value=lit(1)`` numbers the rows from one."""
     keys = list(keys)
-    width = fitting_width(df, keys, order[0], width)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    rows = with_chunk(df, order[0], width)
+    rows = chunked(df, keys, order[0], width)
     inside = _by(*keys, CHUNK).orderBy(*[direction(c) for c in order]).rowsBetween(
         Window.unboundedPreceding, 0
     )
@@ -153,9 +177,8 @@ def islands(
     of its first row, so no per-key counter is needed.
     """
     keys = list(keys)
-    width = fitting_width(df, keys, order[0], width)
     start = F.struct(F.col(order[0]).alias("ts"), F.col(order[1]).alias("id"))
-    rows = with_chunk(df, order[0], width).withColumn("_cur", _pack(compare))
+    rows = chunked(df, keys, order[0], width).withColumn("_cur", _pack(compare))
     scan = _by(*keys, CHUNK).orderBy(*order)
     rows = rows.withColumn("_prev", F.lag("_cur").over(scan)).withColumn(
         "_open", F.when(F.col("_prev").isNotNull() & breaks(F.col("_prev"), F.col("_cur")), start)

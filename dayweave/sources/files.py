@@ -35,15 +35,15 @@ def _name(path_column: str = "_metadata.file_path") -> Column:
     return F.regexp_extract(path_column, _STEM, 1)
 
 
-def scan_capture_meta(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def scan_capture_meta(spark: SparkSession, path: str, *, name: str = "recording-meta.json") -> tuple[DataFrame, DataFrame]:
     """Captures below ``path`` and the rejected metadata files with a reason.
 
-    A capture needs a segment and a microphone or system track. Newest first is
+    Every capture is a folder with a file ``name``, which may be a pattern of names. A capture needs a segment and a microphone or system track. Newest first is
     ``orderBy(captured_at.desc())``.
     """
-    reader = spark.read.schema(CAPTURE).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "recording-meta.json")
+    reader = spark.read.schema(CAPTURE).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name)
     rows = reader.json(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("captured_at"))
-    folder = F.regexp_extract("file", r"([^/]+)/recording-meta\.json$", 1)
+    folder = F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)
     first = F.get("segments", 0)
     reason = F.when(F.col("segments").isNull() | (F.size("segments") == 0), F.lit("no segments")).when(
         first["mic"]["path"].isNull() & first["system_audio"]["path"].isNull(), F.lit("no audio")
@@ -60,21 +60,20 @@ def _listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
 
 
-def scan_frame_listing(spark: SparkSession, path: str) -> DataFrame:
-    """Frames named ``<epochMs>_<displayId>.jpg|png``; other files are ignored."""
-    form = r"/(\d+)_(\d+)\.(jpg|png)$"
+def scan_frame_listing(spark: SparkSession, path: str, *, form: str = r"/(\d+)_(\d+)\.(jpg|png)$") -> DataFrame:
+    """Frames named ``<epochMs>_<displayId>.jpg|png``, as ``form`` reads it; other files are ignored."""
     return _listing(spark, path).where(F.col("path").rlike(form)).select(
         F.col("path").alias("image_path"), (F.regexp_extract("path", form, 1).cast("double") / 1000).alias("timestamp"), F.regexp_extract("path", form, 2).alias("display_id")
     )
 
 
-def scan_frame_dir(spark: SparkSession, path: str, interval: float = 2.0) -> DataFrame:
+def scan_frame_dir(spark: SparkSession, path: str, interval: float = 2.0, *, suffix: str = ".jpg") -> DataFrame:
     """Frames of one folder per recording, timed by their place in name order.
 
     Names are dealt into ranges of nearby names first and counted there, so a folder of any size is
     numbered in parallel, however its files are named.
     """
-    shots = _listing(spark, path).where(F.col("path").endswith(".jpg")).select(
+    shots = _listing(spark, path).where(F.col("path").endswith(suffix)).select(
         F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("recording_id"), F.col("path").alias("image_path")
     )
     # The range a row falls in is stored with it: the counts and the rows must see the same ranges.

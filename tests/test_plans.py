@@ -73,6 +73,22 @@ def test_without_key(data):
     assert {r["id"]: r["n"] for r in got.collect()} == want
 
 
+def test_a_burst_without_keys_is_spread(spark, monkeypatch):
+    """Nine tenths of the rows in one second of a day: chunks follow the rows, not the time."""
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 100)
+    rng = random.Random(9)
+    plain = [(rng.uniform(40_000, 40_001) if rng.random() < 0.9 else rng.uniform(0, 86_400), i) for i in range(5000)] + [(None, 9000)]
+    df = spark.createDataFrame(plain, "ts double, id long")
+    sizes = ordered.chunked(df, [], "ts", 3600.0).groupBy("_chunk").count().collect()
+    assert len(sizes) >= 40 and max(r["count"] for r in sizes) <= 300
+    order = sorted(plain, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    got = ordered.row_index(df, [], ["ts", "id"], "n")
+    assert {r["id"]: r["n"] for r in got.collect()} == {i: n for n, (_, i) in enumerate(order)}
+    blocks = segments.gap_blocks(df.where("ts is not null"), 30.0, ())
+    times = sorted(t for t, _ in plain if t is not None)
+    assert blocks.count() == 1 + sum(b - a > 30 for a, b in zip(times, times[1:]))
+
+
 @pytest.mark.parametrize("width", [10.0, 2000.0])
 def test_trailing_count(data, width):
     plain, df = data
