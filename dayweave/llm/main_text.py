@@ -196,12 +196,22 @@ def _score(nodes: list[Node]) -> None:
             above, level = above.parent, level + 1
 
 
+def _within(node: Node | None) -> bool:
+    """Whether a node lies in an article or main element."""
+    while node is not None:
+        if node.tag in ("article", "main"):
+            return True
+        node = node.parent
+    return False
+
+
 def _density(node: Node) -> float:
     return node.linked / node.size if node.size else 0.0
 
 
 def _menu(node: Node) -> bool:
-    return node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.links >= 3 and _density(node) > MENU and node.linked < 60 * node.links
+    """A list or box of links outside the article; inside one only what is marked as a menu is (and is cut)."""
+    return not _within(node) and node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.links >= 3 and _density(node) > MENU and node.linked < 60 * node.links
 
 
 def _blocks(node: Node) -> list[str]:
@@ -260,27 +270,49 @@ def main_text(page: str | None) -> str:
         best = nodes[0]
     if best.parent is None or best.tag in ("html", "body"):
         return "\n".join(_blocks(best))
-    least = SIBLING * best.points * (1 - _density(best))
-    out: list[str] = []
-    for one in best.parent.children:
-        if one is best:
-            out += _blocks(one)
-        elif isinstance(one, str) or one.cut or one.tag in INLINE:
-            continue
-        elif one.tag in ("p", "pre", "blockquote"):
-            text = _block_text(one)
-            if best.tag not in ("article", "main") and text and _density(one) < 0.25 and len(text) >= 25:
-                out += _blocks(one)
-        elif one.tag in ("h1", "h2"):
-            if best.tag not in ("article", "main"):
-                out += _blocks(one)
-        elif one.points * (1 - _density(one)) >= max(least, 1e-9) and not _menu(one):
-            out += _blocks(one)
-    return "\n".join(out)
+    first, last = _run(best)
+    whole = Node("div", best.parent)
+    whole.children = best.parent.children[first : last + 1]
+    return "\n".join(_blocks(whole))
+
+
+def _run(best: Node) -> tuple[int, int]:
+    """Places of the first and the last sibling that belong to the best container; all between them do as well."""
+    own = best.tag in ("article", "main")
+    least = max(SIBLING * best.points * (1 - _density(best)), 1e-9)
+
+    def kept(one: Node | str) -> bool:
+        if isinstance(one, str) or one.cut or one.tag in INLINE or _density(one) >= 0.25 and one is not best:
+            return one is best
+        if one is best or one.tag == "article":
+            return one is best or one.size > 0
+        if one.tag in ("p", "pre", "blockquote"):
+            return not own and len(_block_text(one)) >= 25
+        return one.points * (1 - _density(one)) >= least and not _menu(one)
+
+    siblings = best.parent.children
+    places = [n for n, one in enumerate(siblings) if kept(one)]
+    first, last = places[0], places[-1]
+    element = lambda n: not isinstance(siblings[n], str) and not siblings[n].cut
+    if not own:
+        # Headings that lead to the run, and short parts that follow it in a container of its own.
+        while any(element(n) and siblings[n].tag in ("h1", "h2") for n in range(first)):
+            first = max(n for n in range(first) if element(n) and siblings[n].tag in ("h1", "h2"))
+        ends = ("p", "pre", "blockquote", "ul", "ol", "dl", "table", "figure")
+        for n in range(last + 1, len(siblings)):
+            if element(n) and siblings[n].tag in ends and _density(siblings[n]) < 0.25 and best.parent.tag not in ("html", "body"):
+                last = n
+            elif not isinstance(siblings[n], str):
+                break
+    return first, last
 
 
 def extracted(page: Column) -> Column:
-    """Main text of a column of HTML; a null or empty page, or one without text, gives an empty string."""
+    """Main text of a column of HTML; a null or empty page, or one without text, gives an empty string.
+
+    Equal pages give equal texts, very long ones are read whole, an empty table gives no rows; no other column
+    is read.
+    """
 
     @F.pandas_udf("string")
     def extract(pages: pd.Series) -> pd.Series:

@@ -66,3 +66,30 @@ def test_given_pages(spark):
         inner = inner.split("</article>")[0]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
         assert r.text == "\n".join(b for b in blocks if b)
+
+
+LONG = "This paragraph is long enough to count, has commas, and says something of its own for a reader. " * 3
+
+
+def test_parts_between_two_sections_of_a_plain_container_stay():
+    page = f"""<body><div id=x><h2>Title</h2><section><p>{LONG}</p><p>{LONG}</p></section><h3>Between</h3><p>Short one.</p><ul><li>first</li><li>second</li></ul>
+    <section><p>{LONG}</p></section><p>The end.</p></div><div class=footer><p>Copyright of all of this is with someone else entirely.</p></div></body>"""
+    long = LONG.strip()
+    assert main_text.main_text(page).split("\n") == ["Title", long, long, "Between", "Short one.", "first", "second", long, "The end."]
+
+
+def test_a_short_second_article_stays():
+    page = f"<body><main><article><h1>One</h1><p>{LONG}</p><p>{LONG}</p></article><article><h2>Two</h2><p>Only a line.</p></article></main><aside>Side</aside></body>"
+    assert main_text.main_text(page).split("\n") == ["One", LONG.strip(), LONG.strip(), "Two", "Only a line."]
+
+
+def test_a_list_of_links_in_an_article_stays_unless_marked():
+    links = "".join(f"<li><a href=#{n}>Source number {n}</a></li>" for n in range(3))
+    page = f"<body><ul>{links}</ul><article><p>{LONG}</p><ul>{links}</ul><ul class=menu>{links}</ul><p>{LONG}</p></article></body>"
+    assert main_text.main_text(page).split("\n") == [LONG.strip(), "Source number 0", "Source number 1", "Source number 2", LONG.strip()]
+
+
+def test_a_list_of_links_outside_an_article_goes():
+    links = "".join(f"<li><a href=#{n}>Source number {n}</a></li>" for n in range(4))
+    page = f"<body><div><ul>{links}</ul><p>{LONG}</p><p>{LONG}</p></div></body>"
+    assert main_text.main_text(page).split("\n") == [LONG.strip(), LONG.strip()]
