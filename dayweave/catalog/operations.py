@@ -176,10 +176,10 @@ def _(t: Tables):
 
 @query(
     "enforce_audio_unique",
-    """WITH marked AS (SELECT id, CASE WHEN id % 11 > 0 THEN recording_id END AS rec, CASE WHEN id % 13 > 0 THEN k END AS k, CASE WHEN id % 17 > 0 THEN event_type END AS kind,
+    """WITH partly AS (SELECT id, CASE WHEN id % 11 > 0 THEN recording_id END AS rec, CASE WHEN id % 13 > 0 THEN k END AS k, CASE WHEN id % 17 > 0 THEN event_type END AS kind,
     CASE WHEN event_type = 'view' THEN 'visual' WHEN id % 7 > 0 THEN 'audio' END AS type FROM obs0)
-    SELECT min(id) AS id FROM marked WHERE type = 'audio' AND rec IS NOT NULL AND k IS NOT NULL AND kind IS NOT NULL GROUP BY rec, k, kind
-    UNION ALL SELECT id FROM marked WHERE type IS DISTINCT FROM 'audio' OR rec IS NULL OR k IS NULL OR kind IS NULL""",
+    SELECT min(id) AS id FROM partly WHERE type = 'audio' AND rec IS NOT NULL AND k IS NOT NULL AND kind IS NOT NULL GROUP BY rec, k, kind
+    UNION ALL SELECT id FROM partly WHERE type IS DISTINCT FROM 'audio' OR rec IS NULL OR k IS NULL OR kind IS NULL""",
 )
 def _(t: Tables):
     unless = lambda n, c: F.when(F.col("id") % n > 0, F.col(c))

@@ -84,7 +84,7 @@ def test_a_burst_without_keys_is_spread(spark, monkeypatch):
     order = sorted(plain, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     got = ordered.row_index(df, [], ["ts", "id"], "n")
     assert {r["id"]: r["n"] for r in got.collect()} == {i: n for n, (_, i) in enumerate(order)}
-    blocks = segments.gap_blocks(df.where("ts is not null"), 30.0, ())
+    blocks = segments.gap_blocks(df.where("ts is not null"), 30.0, (), ts="ts")
     times = sorted(t for t, _ in plain if t is not None)
     assert blocks.count() == 1 + sum(b - a > 30 for a, b in zip(times, times[1:]))
 
