@@ -6,8 +6,8 @@ byte is coded in the next shorter context, down to equal chances. (Escape probab
 distinct bytes plus count; bytes the longer context knows are excluded below it.) The language whose
 frozen tree codes a text in the fewest bits is predicted.
 
-With frozen counts the coder is a finite automaton: its states are the contexts, a table gives the next
-state and another the code length per language. Texts are cut into short segments that are coded side by
+With frozen counts the coder of a language is a finite automaton: its states are its own contexts, a table
+gives the next state and another the code length. Texts are cut into short segments that are coded side by
 side; the few bytes before a segment restore its state exactly, so nothing is lost at the cuts.
 """
 
@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayweave.llm.common import free_name, hash_share
@@ -34,12 +34,12 @@ PIECE = 1 << 20
 
 @dataclass
 class LanguageModel:
-    """Names of the languages, the automaton and the code lengths in bits."""
+    """Names of the languages, and of each its automaton and code lengths in bits."""
 
     names: list[str]
     order: int
-    step: np.ndarray  # (state * 256 + byte) -> state
-    bits: np.ndarray  # (state * 256 + byte, language) -> code length
+    step: list[np.ndarray]  # (state * 256 + byte) -> state
+    bits: list[np.ndarray]  # (state * 256 + byte) -> code length
 
 
 def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -77,63 +77,61 @@ def _counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Record
 
 
 def learn(
-    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", *, order: int = 4, docs_per_language: int = 1500, contexts: int = 4096, languages: int = 64
+    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", *, order: int = 4, docs_per_language: int = 1500, contexts: int = 1024
 ) -> LanguageModel:
-    """Context trees of the languages in ``docs``.
+    """Context trees of all languages in ``docs``.
 
     The fit reads about ``docs_per_language`` whole documents of each language (all where there are fewer),
-    chosen by a hash of ``key_col``; the ``contexts`` most frequent contexts become states and the
-    ``languages`` most frequent languages are learned. Rows without text, language or key are not used.
-    Only the chosen contexts with their counts reach the driver, at most ``contexts * 256 * languages``.
+    chosen by a hash of ``key_col``; the ``contexts`` most frequent contexts of each language become its
+    states. Rows without text, language or key are not used. Only the chosen contexts with their counts reach
+    the driver, at most ``contexts * 256`` a language.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(key_col).alias("key")).where("lang is not null and text is not null and key is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     names = sorted(sizes)
     if not names:
-        return LanguageModel([], order, np.zeros(256, np.int32), np.zeros((256, 0), np.float32))
+        return LanguageModel([], order, [], [])
     shares = F.create_map(*[F.lit(x) for name in names for x in (name, docs_per_language / sizes[name])])
-    some = rows.where(F.col("lang").isin(names)).where(hash_share(F.col("key"), shares[F.col("lang")])).select("lang", "text")
-    counts = some.mapInArrow(lambda batches: _counts(batches, order), "lang string, k int, code long, n long").groupBy("lang", "k", "code").agg(F.sum("n").alias("n")).persist()
-    context = F.shiftright("code", 8).alias("context")
-    longest = counts.where("k > 0").groupBy("k", context).agg(F.sum("n").alias("total")).where("total > 1")
-    states = longest.orderBy(F.desc("total"), "k", "context").limit(contexts).select("k", "context").toPandas()
-    frame = spark.createDataFrame(states, "k int, context long") if len(states) else spark.createDataFrame([], "k int, context long")
-    used = counts.where("k = 0").select("lang", "k", F.lit(0).cast("long").alias("context"), F.col("code").alias("byte"), "n").unionByName(
-        counts.select("lang", "k", context, F.col("code").bitwiseAND(F.lit(255)).alias("byte"), "n").where("k > 0").join(frame, ["k", "context"], "left_semi")
-    ).toPandas()
+    some = rows.where(hash_share(F.col("key"), shares[F.col("lang")])).select("lang", "text")
+    counts = some.mapInArrow(lambda batches: _counts(batches, order), "lang string, k int, code long, n long").groupBy("lang", "k", "code").agg(F.sum("n").alias("n"))
+    counts = counts.select("lang", "k", F.when(F.col("k") > 0, F.shiftright("code", 8)).otherwise(0).alias("context"), F.col("code").bitwiseAND(F.lit(255)).alias("byte"), "n").persist()
+    totals = counts.where("k > 0").groupBy("lang", "k", "context").agg(F.sum("n").alias("total")).where("total > 1")
+    ranked = totals.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("total"), "k", "context"))).where(F.col("rank") <= contexts)
+    kept = counts.join(ranked.select("lang", "k", "context"), ["lang", "k", "context"], "left_semi").unionByName(counts.where("k = 0"))
+    used = {lang: part for lang, part in kept.toPandas().groupby("lang")}
     counts.unpersist()
-    return _automaton(names, order, states, used)
+    tables = [_automaton(order, used[name]) if name in used else (np.zeros(256, np.int32), np.full(256, 8, np.float32)) for name in names]
+    return LanguageModel(names, order, [step for step, _ in tables], [bits for _, bits in tables])
 
 
-def _automaton(names: list[str], order: int, states: pd.DataFrame, used: pd.DataFrame) -> LanguageModel:
+def _automaton(order: int, used: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Next states and code lengths of one language from the counts ``(k, context, byte, n)``."""
     number = {(0, 0): 0}
-    for k, context in sorted(zip(states["k"].tolist(), states["context"].tolist())):
+    for k, context in sorted(set(zip(used["k"].tolist(), used["context"].tolist())) - {(0, 0)}):
         # Ties at the limit may leave a context without its own ends; such a context is left out.
         if (k - 1, context >> 8) in number and (k - 1, context & ((1 << 8 * (k - 1)) - 1)) in number:
             number[k, context] = len(number)
-    size, kinds = len(number), len(names)
-    seen = np.zeros((size, 256, kinds), np.float64)
-    place = {name: i for i, name in enumerate(names)}
+    size = len(number)
+    seen = np.zeros((size, 256), np.float64)
     at = np.array([number.get(x, -1) for x in zip(used["k"].tolist(), used["context"].tolist())], np.int64)
     known = at >= 0
-    seen[at[known], used["byte"].to_numpy()[known], used["lang"].map(place).to_numpy()[known]] = used["n"].to_numpy()[known]
-    chance = np.empty((size, 256, kinds))
+    seen[at[known], used["byte"].to_numpy()[known]] = used["n"].to_numpy()[known]
+    chance = np.empty((size, 256))
     step = np.zeros((size, 256), np.int32)
     for (k, context), state in number.items():  # in order of length: the shorter context is ready
         shorter = number[k - 1, context & ((1 << 8 * (k - 1)) - 1)] if k else None
-        below = chance[shorter] if k else np.full((256, kinds), 1 / 256)
+        below = chance[shorter] if k else np.full(256, 1 / 256)
         n = seen[state]
-        total, distinct = n.sum(0), (n > 0).sum(0)
+        total, distinct = n.sum(), (n > 0).sum()
         rest = np.where(n > 0, 0.0, below)
-        left = rest.sum(0)
+        left = rest.sum()
         # With nothing left to escape to, the counts share everything; with nothing seen, all escapes.
-        escape = np.where(left > 0, np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0), 0.0)
-        chance[state] = np.where(n > 0, (1 - escape) * n / np.maximum(total, 1), escape * rest / np.where(left > 0, left, 1))
+        escape = (distinct / (total + distinct) if total > 0 else 1.0) if left > 0 else 0.0
+        chance[state] = np.where(n > 0, (1 - escape) * n / max(total, 1), escape * rest / (left if left > 0 else 1))
         for byte in range(256):
             longer = number.get((k + 1, (context << 8) | byte)) if k < order else None
             step[state, byte] = longer if longer is not None else (step[shorter, byte] if k else 0)
-    return LanguageModel(names, order, step.reshape(-1), -np.log2(chance).reshape(size * 256, kinds).astype(np.float32))
+    return step.reshape(-1), -np.log2(chance).reshape(-1).astype(np.float32)
 
 
 def code_lengths(model: LanguageModel, texts: list[str]) -> np.ndarray:
@@ -166,18 +164,18 @@ def _code(model: LanguageModel, raws: list[bytes]) -> np.ndarray:
     for at in range(0, len(rank), 1 << 15):
         some = rank[at : at + (1 << 15)]
         own, begin, count = owner[some], start[some], size[some]
-        state = np.zeros(len(some), np.int32)
         later = np.flatnonzero(inner[some] > 0)
-        for back in range(model.order, 0, -1):
-            state[later] = model.step[state[later] * 256 + data[begin[later] - back]]
-        cost = np.zeros((len(some), len(model.names)))
         running = np.searchsorted(-count, -np.arange(count[0]), side="left")
-        for t, n in enumerate(running.tolist()):
-            spot = state[:n] * 256 + data[begin[:n] + t]
-            cost[:n] += model.bits.take(spot, axis=0)
-            state[:n] = model.step.take(spot)
-        for k in range(len(model.names)):
-            total[:, k] += np.bincount(own, cost[:, k], len(raws))
+        for lang, (step, bits) in enumerate(zip(model.step, model.bits)):
+            state = np.zeros(len(some), np.int32)
+            for back in range(model.order, 0, -1):
+                state[later] = step[state[later] * 256 + data[begin[later] - back]]
+            cost = np.zeros(len(some))
+            for t, n in enumerate(running.tolist()):
+                spot = state[:n] * 256 + data[begin[:n] + t]
+                cost[:n] += bits.take(spot)
+                state[:n] = step.take(spot)
+            total[:, lang] += np.bincount(own, cost, len(raws))
     return total
 
 
@@ -186,7 +184,8 @@ def predicted(text: Column, model: LanguageModel, spark) -> Column:
 
     ``lang`` is the language with the shortest code (the first by name among equals), ``score`` its share
     when code lengths are turned into chances, ``bits`` the code length. A text that is null or has no
-    letter, and every text where no language was learned, is ``und`` with score 0 and null bits.
+    letter, and every text where no language was learned, is ``und`` with score 0 and null bits. Equal texts
+    have equal answers, very long ones are coded whole, an empty table gives no rows.
     """
     shared = spark.sparkContext.broadcast(model)
 

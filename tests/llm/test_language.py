@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -49,26 +50,43 @@ def model(spark):
 
 
 def test_code_lengths_equal_the_definition(model):
-    contexts = set()
-    totals = Counter()
-    for ts in TRAIN.values():
-        for t in ts:
-            raw = t.encode()
-            for i in range(len(raw)):
-                for k in range(1, 4):
-                    if i >= k:
-                        totals[raw[i - k : i]] += 1
-    contexts = {c for c, n in totals.items() if n > 1}
     texts = ["the mat", "der matte katze", "zzz é", "x" * 700 + " the cat" * 100]
     found = language.code_lengths(model, texts)
-    for n, text in enumerate(texts):
-        for k, name in enumerate(model.names):
+    for k, name in enumerate(model.names):
+        totals = Counter()
+        for t in TRAIN[name]:
+            raw = t.encode()
+            for i in range(len(raw)):
+                totals.update(raw[i - n : i] for n in range(1, 4) if i >= n)
+        contexts = {c for c, n in totals.items() if n > 1}
+        for n, text in enumerate(texts):
             assert found[n, k] == pytest.approx(plain_bits(TRAIN[name], text, 3, contexts), rel=1e-5)
 
 
 def test_chances_sum_to_one(model):
-    total = (2.0 ** -model.bits.astype(float)).reshape(-1, 256, len(model.names)).sum(1)
-    assert abs(total - 1).max() < 1e-5
+    for bits in model.bits:
+        assert abs((2.0 ** -bits.astype(float)).reshape(-1, 256).sum(1) - 1).max() < 1e-5
+
+
+def test_every_language_is_learned_with_contexts_of_its_own(spark):
+    """More than 64 languages, one of them rare beside a large one: none is left out."""
+    rows, langs = [], {}
+    for n in range(70):
+        word = "".join(random.Random(n).choices("abcdefghijklmnopqrstuvwxyz", k=7))
+        for i in range(40 if n == 0 else 2):
+            rows.append((len(rows), f"{word} {word[::-1]} {word}{word} " * 5))
+            langs[len(langs)] = f"l{n:02}"
+    model = language.learn(documents(spark, rows, langs), contexts=50)
+    assert len(model.names) == 70 and all(len(b) > 256 for b in model.bits)
+    docs = documents(spark, rows, langs)
+    found = docs.select("lang", language.predicted(F.col("text"), model, spark)["lang"].alias("p")).collect()
+    assert all(r.lang == r.p for r in found)
+
+
+def test_equal_code_lengths_take_the_first_name(spark):
+    docs = documents(spark, [(i, "same words here") for i in range(4)], {0: "b", 1: "a", 2: "b", 3: "a"})
+    row = docs.limit(1).select(language.predicted(F.col("text"), language.learn(docs), spark).alias("p")).first().p
+    assert row.lang == "a" and row.score == pytest.approx(0.5)
 
 
 def test_awkward_texts(spark, model):
