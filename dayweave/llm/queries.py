@@ -80,14 +80,16 @@ def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = syncmers.edited(table(spark, sf_dir, "documents"))
     for text, out in (("text", "own"), ("edited", "other"), ("next_text", "next")):
         rows = syncmers.with_fingerprint(rows, text, out)
+    for other, out in (("other", "near_edited"), ("next", "near_next")):
+        rows = syncmers.with_likeness(rows, "own", other, out)
     return rows.select(
         F.col("id").alias("doc_id"),
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         syncmers.written(F.col("own")).alias("fingerprint"),
         syncmers.written(F.col("other")).alias("edited_fingerprint"),
-        syncmers.likeness(F.col("own"), F.col("other")).alias("near_edited"),
-        syncmers.likeness(F.col("own"), F.col("next")).alias("near_next"),
+        "near_edited",
+        "near_next",
     )
 
 

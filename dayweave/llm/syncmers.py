@@ -2,10 +2,10 @@
 
 Of every ``K`` neighbouring words the pairs of neighbours are hashed; the words are an anchor when the
 smallest of those hashes is the first or the last one. Whether they are does not depend on anything outside
-them, so a passage keeps its anchors wherever it stands. A fingerprint is the smallest ``size`` distinct
-anchor hashes with the word number of their first place; two fingerprints are compared by the share of
-their smallest hashes that both have (the bottom-k estimate of the Jaccard index, exact for texts with no
-more anchors than that). Where anchors are shared, their places tell how far the texts are shifted.
+them, so a passage keeps its anchors wherever it stands. A fingerprint is all anchors of the text, each a hash
+and the number of its first word. Two fingerprints are compared by position: the shifts between places of
+shared hashes are found, and anchors count as equal where hash and shifted place agree, so passages match as
+runs of anchors and single equal hashes elsewhere do not.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dayweave.llm.common import free_name
+
 #: Words in an anchor, and how many pairs of neighbours they have.
 K = 5
 PAIRS = K - 1
@@ -20,47 +22,76 @@ PAIRS = K - 1
 TOGETHER = 256
 
 LOW = 0xFFFFFFFF
+#: Bits of a place; a fingerprint holds ``hash << PLACE | place``. Places of longer texts start again from 0.
+PLACE = 24
+#: Shared anchors that are asked for their shift, and shifts that are matched over the whole texts.
+ASKED, SHIFTS = 32, 4
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str, size: int = 128) -> DataFrame:
-    """``df`` with ``out``: an array of ``(hash, place)`` of the fingerprint of column ``text``, by hash.
+def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the fingerprint of column ``text``, an array of packed anchors in order of place.
 
     A null text counts as empty; a text without words has no anchors. One that is shorter than an anchor,
-    or has none, gets a single anchor made of all its words.
+    or has none, gets a single anchor made of all its words. Very long texts are read whole. Equal texts have
+    equal fingerprints; other columns stay, a former ``out`` is replaced; an empty table gives no rows.
     """
-    words, hashes, pairs, anchors = (f"_{out}_{x}" for x in ("words", "hashes", "pairs", "anchors"))
+    names: list[str] = []
+    step = df
+    for stem in ("words", "hashes", "pairs"):
+        names.append(free_name(step, f"{out}_{stem}"))
+        step = step.withColumn(names[-1], F.lit(None))
+    words, hashes, pairs = names
     at = lambda name, i: F.get(F.col(name), i)
 
+    def packed(hashed: Column, i: Column) -> Column:
+        return F.shiftleft(hashed.bitwiseAND(F.lit(LOW)), PLACE).bitwiseOR(i.cast("long").bitwiseAND(F.lit((1 << PLACE) - 1)))
+
     def anchor(x: Column, i: Column) -> Column:
         second, third, last = (at(pairs, i + n) for n in range(1, PAIRS))
         edge = (x <= F.least(second, third, last)) | (last <= F.least(x, second, third))
-        return F.when(edge, F.xxhash64(x, third, at(hashes, i + PAIRS)).bitwiseAND(F.lit(LOW)))
+        return F.when(edge, packed(F.xxhash64(x, third, at(hashes, i + PAIRS)), i))
 
     split = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), "")
-    step = df.withColumn(words, split).withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
+    step = step.withColumn(words, split).withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
     step = step.withColumn(pairs, F.zip_with(hashes, F.slice(F.col(hashes), F.lit(2), F.greatest(F.size(hashes), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
     # The last pair has no second word; the places that start a whole anchor come before the last K - 1 words.
     starts = F.slice(F.col(pairs), F.lit(1), F.greatest(F.size(pairs) - PAIRS, F.lit(0)))
-    step = step.withColumn(anchors, F.transform(starts, anchor))
-    found = F.array_compact(anchors)
-    whole = F.when(F.size(words) > 0, F.array(F.xxhash64(hashes).bitwiseAND(F.lit(LOW)))).otherwise(F.array().cast("array<bigint>"))
-    step = step.withColumn(out, F.slice(F.array_sort(F.array_distinct(F.when(F.size(found) > 0, found).otherwise(whole))), 1, size))
-    # A place of 0 from array_position means the anchor of the whole text.
-    placed = F.transform(out, lambda h: F.struct(h.alias("hash"), F.greatest(F.array_position(F.col(anchors), h) - 1, F.lit(0)).alias("place")))
-    return step.withColumn(out, placed).drop(words, hashes, pairs, anchors)
+    whole = F.when(F.size(words) > 0, F.array(packed(F.xxhash64(hashes), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+    step = step.withColumn(out, F.array_compact(F.transform(starts, anchor)))
+    return step.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(whole)).drop(words, hashes, pairs)
 
 
-def likeness(a: Column, b: Column, size: int = 128) -> Column:
-    """Share of the smallest hashes of two fingerprints that both have; 1 for two without anchors."""
-    x, y = a["hash"], b["hash"]
-    low = F.slice(F.array_sort(F.array_union(x, y)), 1, size)
-    both = F.size(F.array_intersect(low, F.array_intersect(x, y)))
-    return F.when(F.size(low) == 0, F.lit(1.0)).otherwise(both / F.size(low))
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """``df`` with ``out``: anchors that two fingerprints share at a consistent shift, as a share of all.
+
+    Up to ``ASKED`` of the shared hashes, evenly spread over the first text, tell by how many words their first
+    places differ; the ``SHIFTS`` most frequent differences are then matched over all anchors. 1 for equal
+    fingerprints and for two without anchors, 0 where nothing matches.
+    """
+    names: list[str] = []
+    step = df
+    for stem in ("hashes_a", "hashes_b", "shared", "shifts"):
+        names.append(free_name(step, f"{out}_{stem}"))
+        step = step.withColumn(names[-1], F.lit(None))
+    x, y, shared, shifts = names
+    only = lambda c: F.transform(c, lambda v: F.shiftright(v, PLACE))
+    place = lambda c, of, h: F.element_at(F.col(c), F.array_position(F.col(of), h).cast("int")).bitwiseAND(F.lit((1 << PLACE) - 1))
+    step = step.withColumn(x, only(a)).withColumn(y, only(b)).withColumn(shared, F.array_intersect(x, y))
+    count = F.least(F.size(shared), F.lit(ASKED))
+    spread = F.transform(F.sequence(F.lit(1), count), lambda i: F.element_at(F.col(shared), (1 + F.floor((i - 1) * F.size(shared) / count)).cast("int")))
+    asked = F.transform(spread, lambda h: place(b, y, h) - place(a, x, h))
+    step = step.withColumn(shifts, F.when(F.size(shared) > 0, asked).otherwise(F.array().cast("array<bigint>")))
+    votes = F.array_sort(F.transform(F.array_distinct(shifts), lambda d: F.struct((-F.size(F.filter(shifts, lambda e: e == d))).alias("n"), d.alias("d"))))
+    best = F.transform(F.slice(votes, 1, SHIFTS), lambda v: v["d"])
+    # Anchors of b moved to where they would stand in a.
+    met = F.size(F.array_distinct(F.flatten(F.transform(best, lambda d: F.array_intersect(F.col(a), F.transform(F.col(b), lambda v: v - d))))))
+    every = F.size(a) + F.size(b) - met
+    return step.withColumn(out, F.when(every == 0, F.lit(1.0)).otherwise(met / every)).drop(*names)
 
 
 def written(fingerprint: Column) -> Column:
-    """A fingerprint as text: each hash in eight hexadecimal digits and its place."""
-    return F.concat_ws(" ", F.transform(fingerprint, lambda x: F.concat(F.lower(F.lpad(F.hex(x["hash"]), 8, "0")), F.lit("@"), x["place"].cast("string"))))
+    """A fingerprint as text: fourteen hexadecimal digits an anchor, eight of the hash and six of the place."""
+    return F.lower(F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.hex(x), 14, "0")), ""))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
