@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayweave.functions import text as tx
@@ -149,8 +149,10 @@ def topic_samples(obs: DataFrame, keys: list[str], n: int = 20) -> DataFrame:
         F.col("type") == "visual",
         F.coalesce(F.when(F.col("vlm_description") != "", F.col("vlm_description")), F.substring("ocr_text", 1, 200), F.lit("")),
     ).otherwise(F.coalesce(F.substring("text", 1, 500), F.lit("")))
-    placed = ordered.row_index(obs, keys, ["timestamp", "id"], "sample_no")
-    return placed.where(F.col("sample_no") < n).withColumn("sample", sample).where(F.length("sample") > 10)
+    # Every task keeps n rows a key before they meet.
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp", "id"))
+    placed = obs.withColumn("sample_no", place).where(F.col("sample_no") <= n).withColumn("sample_no", (F.col("sample_no") - 1).cast("long"))
+    return placed.withColumn("sample", sample).where(F.length("sample") > 10)
 
 
 def clean_transcripts(segments: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from dayweave.functions.numbers import half_up, percent
 from dayweave.operators.joins import in_latest_runs, latest_completed_runs, latest_phase_rows
+from dayweave.session import ensure_checkpoint_dir
 
 # Fixed value: the phase whose items are described frames.
 MODEL_PHASE = "vlm-batch-inference"
@@ -106,14 +107,23 @@ def memory_profile(stats: DataFrame, resource: str, n: int = 50) -> DataFrame:
 def recording_overview(
     recordings: DataFrame, runs: DataFrame, stats: DataFrame, artifacts: DataFrame, *, n: int = 50, phase: str = MODEL_PHASE
 ) -> DataFrame:
-    """One row per recording, newest activity first: last run, frames, speed, artifacts."""
+    """One row per recording, newest activity first: last run, frames, speed, artifacts.
+
+    The ``n`` recordings are chosen first and written; only their runs, phases and artifacts are aggregated.
+    """
+    ensure_checkpoint_dir(recordings.sparkSession)
     last_run = runs.groupBy("recording_id").agg(F.max("started_at").alias("last_run_at"))
     newest = (
         recordings.join(last_run, recordings.id == last_run.recording_id, "left")
         .drop("recording_id")
         .orderBy(F.coalesce("last_run_at", "captured_at").desc(), F.col("id").desc())
         .limit(n)
+        .checkpoint()
     )
+    # At most n rows, so they go to every task.
+    chosen = F.broadcast(newest.select(F.col("id").alias("recording_id")))
+    runs, artifacts = runs.join(chosen, "recording_id", "left_semi"), artifacts.join(chosen, "recording_id", "left_semi")
+    stats = stats.join(runs.select(F.col("id").alias("run_id")), "run_id", "left_semi")
     done = runs.where(F.col("status") == "completed").groupBy(F.col("recording_id").alias("id")).agg(
         F.max_by(F.struct(F.col("id").alias("run_id"), "metadata"), F.struct("started_at", "id")).alias("_run")
     )

@@ -27,6 +27,8 @@ from dayweave.session import ensure_checkpoint_dir
 
 #: Blocks that one block of the next level holds.
 FANOUT = 64
+#: Rows a chunk should hold on average, and rows that widening may not bring any chunk beyond.
+FILL, MOST = 256, 100_000
 PLACE, TO_CHUNK, TO_PLACE, ENTRY = "_place", "_to_chunk", "_to_place", "_entry"
 
 
@@ -214,7 +216,7 @@ def together(df: DataFrame, by: Sequence[str], *order) -> DataFrame:
     and adaptive execution may then read that one in pieces, as nothing asks for whole partitions.
     """
     dealt = df.repartition(F.hash(*by, F.lit("together"))) if by else df.coalesce(1)
-    return dealt.sortWithinPartitions(*by, *order)
+    return dealt.sortWithinPartitions(*by, *order) if by or order else dealt
 
 
 def runs(batches: Iterator[pa.RecordBatch], by: Sequence[str]) -> Iterator[pa.Table]:
@@ -282,7 +284,15 @@ def kept_path(
     timed = df.where(F.col(order[0]).isNotNull())
     slot = [*keys, CHUNK]
     wanted = list(dict.fromkeys([*slot, *order, *columns]))
-    rows = with_chunk(timed, order[0], fitting_width(timed, keys, order[0], width)).select(*wanted).checkpoint()
+    width = fitting_width(timed, keys, order[0], width)
+    rows = with_chunk(timed, order[0], width).select(*wanted).checkpoint()
+    # Where rows are sparse, chunks are made wider, as long as the fullest of them stays small.
+    held = rows.groupBy(*slot).agg(F.count("*").alias("n")).groupBy(*keys)
+    held = held.agg(F.sum("n").alias("n"), F.max("n").alias("most"), (F.max(CHUNK) - F.min(CHUNK) + 1).alias("span"))
+    held = held.agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.sum("span").alias("span")).first()
+    factor = min(FILL * held.span / held.n, MOST / held.most) if held.n else 1
+    if factor > 1:
+        rows = with_chunk(rows, order[0], width * factor).select(*wanted)
     # All columns decide the order, so every pass numbers the rows of a chunk alike.
     sort = [*slot, *order, *[c for c in columns if c not in slot and c not in order]]
     kinds = {f.name: f.dataType for f in rows.schema}

@@ -38,6 +38,12 @@ def plain_spaced(rows, gap, first_counts=True):
     return out
 
 
+@pytest.fixture(autouse=True)
+def narrow_chunks(monkeypatch):
+    """Chunks stay as narrow as a test asks for."""
+    monkeypatch.setattr(pointers, "FILL", 1)
+
+
 @pytest.fixture
 def rounds(monkeypatch):
     """Counts the jobs that the builder waits for."""
@@ -153,6 +159,16 @@ def test_marks_restart_the_clock(spark):
         assert sorted(r["id"] for r in found.collect()) == plain_spaced(rows, 10.0, counts)
 
 
+def test_sparse_rows_have_wider_chunks(spark, monkeypatch):
+    monkeypatch.setattr(pointers, "FILL", 50)
+    data = [(i % 3, i * 7200.0, i, flicker(1, i)[0]) for i in range(900)]
+    seen, real = [], pointers._visited
+    monkeypatch.setattr(pointers, "_visited", lambda nodes, *a: seen.append(nodes.select("display_id", "_chunk").distinct().count()) or real(nodes, *a))
+    found = frames.drop_near_duplicates(spark.createDataFrame(data, FRAMES), 4)
+    assert {r["id"] for r in found.collect()} == plain_drop(data)
+    assert seen[0] <= 3 * 8
+
+
 def test_rows_without_a_time_and_empty_tables(spark):
     df = spark.createDataFrame([(1, None, 1), (1, 2.0, 2)], "recording_id int, timestamp double, id long")
     assert [r["id"] for r in frames.sample_base(df).collect()] == [2]
