@@ -196,9 +196,10 @@ def tied_across(members: DataFrame, sets: DataFrame, similarity: float) -> DataF
     that fills blocks has its own, so a block never meets another of the same component. A task returns a row
     per node that has a link, never the pairs.
     """
-    sized = members.join(sets.select("node", F.size("hashes").alias("size")), "node")
+    # Written before it is read several times: the plans of what follows stay small.
+    sized = stored(members.join(sets.select("node", F.size("hashes").alias("size")), "node"), "members")
     most = lambda of: F.greatest(F.ceil(F.sum(of[0]) / BLOCK), F.ceil(F.sum(of[1]) / BLOCK_HASHES)).cast("int")
-    parts = sized.groupBy("n", "sample", "component").agg(most((F.lit(1), "size")).alias("own"), F.count("*").alias("count"), F.sum("size").alias("hashes"))
+    parts = stored(sized.groupBy("n", "sample", "component").agg(most((F.lit(1), "size")).alias("own"), F.count("*").alias("count"), F.sum("size").alias("hashes")), "parts")
     # Components that fill no block share some.
     pooled = F.when(F.col("own") > 1, F.lit(0))
     block = lambda component, part: F.struct(component.cast("long").alias("component"), part.cast("int").alias("part"))
