@@ -226,7 +226,8 @@ def similarity_pairs(hashes: DataFrame, max_dist: int = 4) -> DataFrame:
     Copies are counted first, so a group of identical frames is one row. The hash is cut into
     ``max_dist + 3`` bands; two hashes within the distance agree in at least three of them, and the join
     key is a triple of bands. A pair is accepted only under its first three equal bands, so nothing is
-    found twice.
+    found twice. The sides are merged: estimates do not see that a hash becomes one row per triple, so a side
+    that is far too large for it would be broadcast.
     """
     bands = max_dist + 3
     size = -(-64 // bands)
@@ -238,7 +239,7 @@ def similarity_pairs(hashes: DataFrame, max_dist: int = 4) -> DataFrame:
     keyed = keyed.withColumn("_key", F.transform("_use", lambda i: F.get("_band", i)))
     a = keyed.select(F.col("phash").alias("hash_a"), F.col("frames").alias("frames_a"), F.col("_band").alias("_band_a"), "_use", "_key")
     b = keyed.select(F.col("phash").alias("hash_b"), F.col("frames").alias("frames_b"), F.col("_band").alias("_band_b"), "_use", "_key")
-    near = a.join(b, ["_use", "_key"]).where("hash_a < hash_b").withColumn("distance", hamming(F.col("hash_a"), F.col("hash_b")))
+    near = a.join(b.hint("merge"), ["_use", "_key"]).where("hash_a < hash_b").withColumn("distance", hamming(F.col("hash_a"), F.col("hash_b")))
     equal = F.filter(
         F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.get("_band_a", i) == F.get("_band_b", i)
     )
