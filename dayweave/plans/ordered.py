@@ -226,7 +226,8 @@ def trailing_count(
     """Rows with ``flag`` in ``[ts - seconds, ts]`` of the same key.
 
     Every row also joins the following chunk as a halo row when it can still be seen from there, so
-    the range window needs no rows from other partitions. ``seconds`` is a whole number.
+    no rows of other partitions are needed. A count is the difference of two that only grow along the
+    chunk, so rows are passed once however many the range holds. ``seconds`` is a whole number.
     """
     if seconds != int(seconds):
         raise ValueError("the trailing range is a whole number of seconds")
@@ -234,9 +235,18 @@ def trailing_count(
     chunked = with_chunk(df.withColumn("_flag", flag), ts, width)
     reach = F.floor((F.col(ts) + F.lit(float(seconds))) / F.lit(float(width))).cast("long")
     spread = chunked.withColumn("_at", F.explode(F.sequence(F.col(CHUNK), F.coalesce(reach, F.col(CHUNK)))))
-    scan = _by(*keys, "_at").orderBy(ts).rangeBetween(-int(seconds), 0)
+    scan = _by(*keys, "_at").orderBy(ts)
+    spread = spread.withColumn("_equal", F.count_if("_flag").over(_by(*keys, "_at", ts).orderBy(ts)))
+    passed = scan.rangeBetween(Window.unboundedPreceding, -int(seconds))
+    spread = spread.withColumns({
+        "_upto": F.count_if("_flag").over(scan.rangeBetween(Window.unboundedPreceding, 0)),
+        "_gone": F.count_if("_flag").over(passed),
+        "_edge": F.max(F.struct(F.col(ts).alias("ts"), F.col("_equal").alias("n"))).over(passed),
+    })
+    # Rows at the very start of the range belong to it.
+    first = F.when(F.col("_edge.ts") == F.col(ts) - int(seconds), F.col("_edge.n")).otherwise(0)
     return (
-        spread.withColumn(alias, F.count_if("_flag").over(scan))
+        spread.withColumn(alias, F.when(F.col(ts).isNull(), F.col("_equal")).otherwise(F.col("_upto") - F.col("_gone") + first))
         .where(F.col("_at") == F.col(CHUNK))
-        .drop("_flag", "_at", CHUNK)
+        .drop("_flag", "_at", "_equal", "_upto", "_gone", "_edge", CHUNK)
     )

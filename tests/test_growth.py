@@ -15,3 +15,14 @@ def plan(df) -> str:
 def test_similarity_sides_are_not_broadcast(spark):
     pairs = frames.similarity_pairs(spark.range(1000).select(F.col("id").alias("phash")))
     assert "Broadcast" not in plan(pairs) and "SortMergeJoin" in plan(pairs)
+
+
+def test_trailing_count_passes_rows_once(spark):
+    times = [0.0, 0.0, 10.0, 10.0, 20.0, 45.0, 55.0, 55.0, 55.5, None, None]
+    rows = spark.createDataFrame([(1, i, t, i % 3 != 1) for i, t in enumerate(times)], "key int, id long, ts double, hit boolean")
+    for width in (45.0, 1000.0):
+        counts = ordered.trailing_count(rows, ["key"], "ts", F.col("hit"), 45, "n", width=width)
+        want = {i: sum(1 for j, u in enumerate(times) if j % 3 != 1 and (u is None if t is None else u is not None and t - 45 <= u <= t)) for i, t in enumerate(times)}
+        assert {r.id: r.n for r in counts.collect()} == want
+    # A frame with both ends moving is counted anew for every row.
+    assert "RangeFrame, -" not in plan(counts)
