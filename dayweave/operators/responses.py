@@ -168,13 +168,18 @@ def description_names(obs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def description_stats(obs: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows per canonical activity and how many distinct names were seen; :func:`description_names` lists them."""
+    """Rows per canonical activity and the distinct names seen, sorted; :func:`description_names` has them as rows.
+
+    Names are made distinct before they meet, so a list is built from its own entries only.
+    """
     named = obs.withColumn("activity", tx.canonical_activity(F.col("activity_type")))
     frames = named.groupBy(*keys, "activity").agg(F.count("*").alias("frames"))
-    seen = description_names(obs, keys).groupBy(*keys, "activity").agg(F.count_if(F.col("kind") == "app").alias("apps"), F.count_if(F.col("kind") == "topic").alias("topics"))
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("name"))))
+    seen = description_names(obs, keys).groupBy(*keys, "activity").agg(listed("app").alias("apps"), listed("topic").alias("topics"))
     match = [F.col(f"f.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "activity"]]
     both = frames.alias("f").join(seen.alias("s"), reduce(lambda a, b: a & b, match), "left")
-    return both.select(*[f"f.{k}" for k in keys], "f.activity", "frames", F.coalesce("apps", F.lit(0)).alias("apps"), F.coalesce("topics", F.lit(0)).alias("topics"))
+    names = [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("apps", "topics")]
+    return both.select(*[f"f.{k}" for k in keys], "f.activity", "frames", *names)
 
 
 def web_addresses(rows: DataFrame, keys: list[str], *columns: str) -> DataFrame:
