@@ -7,7 +7,7 @@ block; older ones are dropped by the stateful operator and counted (:class:`Late
 from __future__ import annotations
 
 import uuid
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -204,14 +204,16 @@ class _CaptureGuard(StatefulProcessor):
     def _released(self, rows: list[tuple], key) -> list[tuple]:
         threshold, window, limit, interval = self.rule
         state = self.last.get() if self.last.exists() else (None, None, None, [], None)
-        seen, kept, held_at, changes = state[0], state[1], state[2], list(state[3])
+        seen, kept, held_at, changes = state[0], state[1], state[2], deque(state[3])
         apart = lambda a, b: ((int(a) ^ int(b)) & 0xFFFFFFFFFFFFFFFF).bit_count()
         out = []
         for ts, frame, phash in rows:
             if seen is not None and apart(phash, seen) > threshold:
                 changes.append(ts)
             seen = phash
-            changes = [x for x in changes if ts - x <= window]
+            # Times rise, so those out of the window are the first ones.
+            while changes and ts - changes[0] > window:
+                changes.popleft()
             throttled = len(changes) > limit
             if not throttled:
                 held_at = None
@@ -223,7 +225,7 @@ class _CaptureGuard(StatefulProcessor):
                 held_at = ts
             kept = phash
             out.append((key[0], frame, ts, phash))
-        self.last.update((seen, kept, held_at, changes, rows[-1][0]))
+        self.last.update((seen, kept, held_at, list(changes), rows[-1][0]))
         return out
 
     def close(self) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dayweave.operators import frames
 from dayweave.plans import ordered
+from dayweave.streaming import live
 
 
 def plan(df) -> str:
@@ -26,3 +27,29 @@ def test_trailing_count_passes_rows_once(spark):
         assert {r.id: r.n for r in counts.collect()} == want
     # A frame with both ends moving is counted anew for every row.
     assert "RangeFrame, -" not in plan(counts)
+
+
+class Clock(float):
+    """A time that counts how often it is compared with another."""
+
+    asked = 0
+
+    def __sub__(self, other):
+        Clock.asked += 1
+        return Clock(float(self) - float(other))
+
+
+def test_capture_guard_looks_at_a_change_twice_at_most():
+    class Last:
+        def exists(self):
+            return False
+
+        def update(self, state):
+            self.state = state
+
+    guard = live._CaptureGuard("long", 4, 100.0, 5, 1.0, 1e9)
+    guard.last = Last()
+    rows = [(Clock(i), i, (i % 2) * 255) for i in range(400)]
+    assert len(guard._released(rows, (1,))) == 400
+    assert guard.last.state[3] == [float(i) for i in range(299, 400)]
+    assert Clock.asked < 5 * len(rows)
