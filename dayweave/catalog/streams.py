@@ -16,9 +16,14 @@ from dayweave.streaming import live
 DELAY = 600
 
 
+def one_table(name: str) -> str:
+    """A pattern of one table, as a single file or a folder of them; a plain name of a file is no stream source."""
+    return f"[{name[0]}]{name[1:]}.parquet"
+
+
 def stream(t: Tables, name: str, event_time: str, delay: str = f"{DELAY} seconds"):
     schema = t.raw(name).schema
-    return live.stream_rows(t.spark, t.sf_dir, schema, event_time, delay, glob=f"{name}.parquet")
+    return live.stream_rows(t.spark, t.sf_dir, schema, event_time, delay, glob=one_table(name))
 
 
 def events(t: Tables):
@@ -45,7 +50,7 @@ def _(t: Tables):
 @query("stream_open_blocks", "SELECT recording_id, from_ts, to_ts, observation_count, block_no = max(block_no) OVER (PARTITION BY recording_id) AS is_open FROM user_blocks")
 def _(t: Tables):
     live.use_keyed_state(t.spark)
-    target = f"{ensure_checkpoint_dir(t.spark)}/open-{t.spark.sparkContext.applicationId}-{t.sf_dir.rsplit('/', 1)[-1]}"
+    target = f"{ensure_checkpoint_dir(t.spark)}/open-{uuid.uuid4().hex}"
 
     def merge(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
@@ -77,7 +82,7 @@ def _(t: Tables):
 def _(t: Tables):
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("running")
     starts = stream(t, "orders", "o_orderdate", "1 day").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("at"))
-    raw = t.spark.readStream.schema(t.raw("orders").schema).option("pathGlobFilter", "orders.parquet").parquet(t.sf_dir).where("o_orderkey % 3 > 0")
+    raw = t.spark.readStream.schema(t.raw("orders").schema).parquet(f"{t.sf_dir.rstrip('/')}/{one_table('orders')}").where("o_orderkey % 3 > 0")
     ends = raw.select(
         F.col("o_orderkey").alias("run_id"), (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 1 HOUR")).alias("at"), status.alias("status"), F.lit(3600000).alias("duration_ms")
     ).withWatermark("at", "1 day")
@@ -133,7 +138,7 @@ def _(t: Tables):
 
 @query("stream_index", f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '{PATTERN}')) AS term FROM documents) GROUP BY 1, 2")
 def _(t: Tables):
-    raw = t.spark.readStream.schema(t.raw("documents").schema).option("pathGlobFilter", "documents.parquet").parquet(t.sf_dir)
-    target = f"{ensure_checkpoint_dir(t.spark)}/index-{t.spark.sparkContext.applicationId}-{t.sf_dir.rsplit('/', 1)[-1]}"
+    raw = t.spark.readStream.schema(t.raw("documents").schema).parquet(f"{t.sf_dir.rstrip('/')}/{one_table('documents')}")
+    target = f"{ensure_checkpoint_dir(t.spark)}/index-{uuid.uuid4().hex}"
     live.index_batches(raw.select("doc_id", "text", F.current_timestamp().alias("at")), target, stems=False)
     return live.read_index(t.spark, target).postings.select("term", "doc_id", "tf")

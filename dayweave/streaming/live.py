@@ -26,11 +26,12 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 def stream_rows(
     spark: SparkSession, path: str, schema: T.StructType, event_time: str, delay: str = "10 minutes", *, glob: str | None = None, files_per_trigger: int = 1000
 ) -> DataFrame:
-    """Parquet rows arriving in a folder, with a watermark; the intake per trigger is bounded."""
+    """Parquet rows arriving in a folder, with a watermark; the intake per trigger is bounded.
+
+    ``glob`` names files of the folder or folders in it, whose files are then read.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    rows = reader.parquet(path)
+    rows = reader.parquet(f"{path.rstrip('/')}/{glob}" if glob else path)
     return rows.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay)
 
 
