@@ -128,11 +128,11 @@ def scan_transcript_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_transcript_log(lines.select("recording_id", F.col("n").cast("long").alias("line_no"), "line"))
 
 
-def scene_times(logs: DataFrame) -> DataFrame:
-    """Scene times after zero in detector logs ``(recording_id, value)``."""
+def scene_times(logs: DataFrame, *, zero: bool = False) -> DataFrame:
+    """Scene times after zero in detector logs ``(recording_id, value)``; with ``zero`` those at zero as well."""
     found = F.regexp_extract_all("value", F.lit(r"pts_time:([\d.]+)"), F.lit(1))
     times = logs.select("recording_id", F.explode(found).alias("t"))
-    return times.select("recording_id", F.col("t").cast("double").alias("timestamp")).where("timestamp > 0")
+    return times.select("recording_id", F.col("t").cast("double").alias("timestamp")).where("timestamp >= 0" if zero else "timestamp > 0")
 
 
 def scan_scene_log(spark: SparkSession, path: str) -> DataFrame:

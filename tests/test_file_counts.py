@@ -17,3 +17,10 @@ def test_sparse_recordings_share_files(spark, tmp_path):
     assert len(list(folder.glob("part-*"))) <= 4
     for name in ("scan_visual_frames", "scan_visual_clusters"):
         assert QUERIES[name](spark, str(tmp_path)).count() == 1500
+
+
+def test_scene_log_keeps_every_row(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.0), (2, 0.004), (3, 2.5)], "user_id long, value double")
+    rows.selectExpr("user_id AS event_id", "timestamp_seconds(user_id) AS ts", "user_id", "'view' AS event_type", "value", "'{\"k\": 0}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["scan_scene_log"](spark, str(tmp_path)).collect()
+    assert sorted((r.recording_id, r.ts) for r in got) == [(1, 0.0), (2, 0.0), (3, 2.5)]
