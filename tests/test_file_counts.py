@@ -24,3 +24,10 @@ def test_scene_log_keeps_every_row(spark, tmp_path):
     rows.selectExpr("user_id AS event_id", "timestamp_seconds(user_id) AS ts", "user_id", "'view' AS event_type", "value", "'{\"k\": 0}' AS props").write.parquet(f"{tmp_path}/events.parquet")
     got = QUERIES["scan_scene_log"](spark, str(tmp_path)).collect()
     assert sorted((r.recording_id, r.ts) for r in got) == [(1, 0.0), (2, 0.0), (3, 2.5)]
+
+
+def test_many_tasks_write_the_files_of_one_partition(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id % 5 AS shelf", "concat('v', id) AS value").coalesce(1)
+    folder = inputs.one_file_each(rows, f"{tmp_path}/out", "shelf")
+    made = [p.name for p in Path(folder).glob("shelf=*/part-*")]
+    assert len(made) == 200 and len({name.split("-")[1] for name in made}) > 8
