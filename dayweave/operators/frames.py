@@ -147,7 +147,12 @@ def sample_with_scenes(
 def required_timestamps(
     recordings: DataFrame, scenes: DataFrame, base: int = 10, threshold: int = 15, fill: int = 3, *, width: float = ordered.CHUNK_SECONDS
 ) -> DataFrame:
-    """Whole seconds of a recording at which a frame is needed, without looking at frames."""
+    """Whole seconds of a recording at which a frame is needed, without looking at frames.
+
+    Times of the grid are only made, never shuffled: scene times that lie on it are left out by their remainder.
+    No two planned times are further apart than the grid's step, so only recordings with a step above the
+    threshold are looked through for gaps.
+    """
     counts = scenes.groupBy(*REC).agg(F.count("*").alias("_scenes"))
     lengths = recordings.where("duration > 0").select(F.col("id").alias("recording_id"), "duration")
     tuned = lengths.join(counts, REC, "left").na.fill(0, ["_scenes"])
@@ -159,13 +164,20 @@ def required_timestamps(
         adaptive_threshold(n, F.lit(threshold)).alias("_threshold"),
         adaptive_fill(n, F.lit(fill)).cast("long").alias("_fill"),
     )
-    grid = tuned.select(*REC, F.explode(F.sequence(F.lit(0).cast("long"), F.floor("duration").cast("long"), F.col("_base"))).alias("second"))
-    marks = scenes.join(lengths, REC).withColumn("second", half_up(F.col("timestamp"))).where("second >= 0 and second <= duration")
-    planned = grid.unionByName(marks.select(*REC, "second")).distinct().withColumn("timestamp", F.col("second").cast("double"))
-    ahead = ordered.carry(planned, REC, ["timestamp", "second"], {"_next": F.col("second")}, forward=True, width=width)
-    gaps = ahead.join(tuned, REC).where(F.col("_next") - F.col("second") > F.col("_threshold"))
+    marks = scenes.join(lengths, REC).withColumn("second", half_up(F.col("timestamp"))).where("second >= 0 and second <= duration").select(*REC, "second").distinct()
+
+    def planned(rules: DataFrame) -> DataFrame:
+        # A recording that is given twice has one grid, to its greater length.
+        steps = rules.groupBy(*REC).agg(F.max(F.floor("duration")).cast("long").alias("_last"), F.first("_base").alias("_base"))
+        grid = steps.select(*REC, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"), F.col("_base"))).alias("second"))
+        return grid.unionByName(marks.join(steps, REC).where(F.col("second") % F.col("_base") != 0).select(*REC, "second"))
+
+    wide = tuned.where(F.col("_base") > F.col("_threshold"))
+    ahead = planned(wide).withColumn("timestamp", F.col("second").cast("double"))
+    ahead = ordered.carry(ahead, REC, ["timestamp", "second"], {"_next": F.col("second")}, forward=True, width=width)
+    gaps = ahead.join(wide, REC).where(F.col("_next") - F.col("second") > F.col("_threshold"))
     extra = gaps.select(*REC, F.explode(F.sequence(F.col("second") + F.col("_fill"), F.col("_next") - 1, F.col("_fill"))).alias("second"))
-    return planned.select(*REC, "second").unionByName(extra)
+    return planned(tuned).unionByName(extra)
 
 
 def sampling_stats(frames: DataFrame, samples: DataFrame) -> DataFrame:

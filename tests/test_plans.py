@@ -268,3 +268,23 @@ def test_fold_rounds_do_not_grow_with_the_chunks(spark, step, monkeypatch):
             last = at
     assert found == plain
     assert len(rounds) <= 14
+
+
+def test_the_grid_of_required_timestamps_is_not_shuffled(spark):
+    lengths = [(1, 100.0), (1, 47.0), (2, 33.5), (3, 0.0), (4, 61.0)]
+    cuts = [(1, 20.0), (1, 12.4), (1, 12.2), (1, 80.0), (2, 30.0), (2, 34.0), (4, 7.0), (9, 1.0)]
+    recordings = spark.createDataFrame(lengths, "id long, duration double")
+    scenes = spark.createDataFrame(cuts, "recording_id long, timestamp double")
+    for base, threshold, fill in ((10, 15, 3), (30, 15, 4)):
+        found = frames.required_timestamps(recordings, scenes, base, threshold, fill)
+        wanted = []
+        for rec in {r for r, d in lengths if d > 0}:
+            grid = {s for r, d in lengths if r == rec for s in range(0, int(d) + 1, base)}
+            marks = {int(t + 0.5) for r, t in cuts if r == rec for q, d in lengths if q == rec and int(t + 0.5) <= d}
+            some = sorted(grid | marks)
+            wanted += [(rec, s) for s in some]
+            given = sum(r == rec for r, _ in lengths)
+            wanted += [(rec, s) for a, b in zip(some, some[1:]) if b - a > threshold for s in range(a + fill, b, fill)] * given
+        assert sorted((r.recording_id, r.second) for r in found.collect()) == sorted(wanted)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate explode") < plan.index("Aggregate")
