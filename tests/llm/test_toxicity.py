@@ -78,3 +78,15 @@ def test_thresholds_follow_the_language():
     labels = np.repeat([0, 1, 0, 1], 60)
     limits = toxicity.calibrate(chances, labels, ["en"] * 120 + ["fr"] * 120)
     assert 0.6 < limits["en"] < 0.7 and 0.2 < limits["fr"] < 0.3 and limits["de"] == limits[""]
+
+
+def test_every_labelled_document_is_learned_from(spark):
+    docs = spark.range(0, 9000, 1, 8).selectExpr("id AS doc_id", "concat('only', id, ' seen') AS text")
+    labels = spark.range(0, 9000, 1, 8).selectExpr("id AS doc_id", "int(id % 3 = 0) AS toxic")
+    model = toxicity.learn(docs, labels, epochs=1)
+    start = (np.random.default_rng(5).standard_normal(model.table.shape) * 0.02).astype(np.float32)
+    trained = docs.where(F.floor(remainder(F.col("doc_id"), 35) / 7) != 1).toPandas()["text"]
+    first = [toxicity._hashes(text.split()[0], model.rows)[0] for text in trained]
+    assert (model.table[first] != start[first]).any(1).mean() > 0.99
+    again = toxicity.learn(docs.repartition(3), labels, epochs=1)
+    assert np.array_equal(model.table, again.table) and model.thresholds == again.thresholds
