@@ -41,12 +41,9 @@ def build_index(docs: DataFrame, *, stems: bool = True) -> Index:
     term nor a long document meets in one task. A posting carries the length of its document.
     """
     listed = docs.select("doc_id", words.tokens(F.coalesce("text", F.lit(""))).alias("terms")).withColumn("length", F.size("terms").cast("long"))
-    counted = listed.select("doc_id", "length", F.explode("terms").alias("term")).groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
-    if stems:
-        # Stems are worked out once per distinct word and joined back.
-        vocabulary = counted.select("term").distinct().withColumn("_stem", words.stem("term"))
-        stemmed = counted.join(vocabulary, "term").select("doc_id", F.col("_stem").alias("term"), "tf", "length")
-        counted = stemmed.groupBy("doc_id", "term", "length").agg(F.sum("tf").alias("tf"))
+    # Stems are worked out where the words are, so terms are counted, and shuffled, once.
+    found = listed.withColumn("terms", words.stems("terms")) if stems else listed
+    counted = found.select("doc_id", "length", F.explode("terms").alias("term")).groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
     return Index(counted.select("term", "doc_id", "tf", "length"), listed.select("doc_id", "length"))
 
 

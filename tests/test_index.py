@@ -10,6 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from dayweave.functions import words
 from dayweave.operators import search
 from dayweave.streaming import live
 
@@ -119,3 +120,16 @@ def test_a_repeated_batch_and_an_empty_index(spark, tmp_path):
     empty = search.write_index(search.build_index(spark.createDataFrame([], DOCS), stems=False), str(tmp_path / "y"))
     assert search.search(empty, ["a"], stems=False).collect() == []
     assert found_by(one, "zzz", 5) == []
+
+
+def test_stemmed_terms_are_counted_in_one_shuffle(spark):
+    texts = [(1, "running runs run"), (2, None), (3, "  "), (4, "nations élle national nation"), (5, "running running")]
+    index = search.build_index(spark.createDataFrame(texts, DOCS))
+    wanted = {(words.stem_word(w), i): 0 for i, t in texts for w in (t or "").replace("é", "e").split()}
+    for i, t in texts:
+        for w in (t or "").replace("é", "e").split():
+            wanted[words.stem_word(w), i] += 1
+    assert {(r.term, r.doc_id): r.tf for r in index.postings.collect()} == wanted
+    assert index.postings._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    lists = spark.createDataFrame([(["runs", None, "ties"],), (None,), ([],), (["skies"],)], "w array<string>")
+    assert [r[0] for r in lists.select(words.stems("w")).collect()] == [["run", None, "ti"], None, [], ["ski"]]
