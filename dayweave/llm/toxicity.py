@@ -353,7 +353,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").where(can_be_known(place))
     some = some.select("id", F.xxhash64("text").alias("tie"), coded("text").alias("code")).repartition(shards, "id")
     apart = F.floor(remainder(F.col("id"), 7 * held) / 7) == 1
-    dealt = some.join(marks.repartition(shards, "id"), "id").select("id", "tie", (F.col("mark") > 0).cast("int").alias("mark"), apart.alias("apart"), "code").persist()
+    dealt = some.join(marks.repartition(shards, "id"), "id").select("id", "tie", (F.col("mark") > 0).cast("int").alias("mark"), apart.alias("apart"), "code")
+    # The join may deal rows out finer than asked.
+    dealt = dealt.coalesce(shards).persist()
     seen = dealt.where("not apart").agg(F.count("*").alias("n"), F.coalesce(F.sum("mark"), F.lit(0)).alias("positive")).first()
     model = fit(dealt.where("not apart"), shards, seen.n, seen.positive, **options)
     shared = spark.sparkContext.broadcast(model)
