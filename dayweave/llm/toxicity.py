@@ -295,7 +295,8 @@ def fit(dealt: DataFrame, shards: int, count: int, positive: int, *, rows: int =
         found = dealt.mapInPandas(in_round(shared, turn), "slot long, " + ", ".join(f"{c} long" for c in columns))
         # Sums of whole numbers do not depend on the order of the tasks.
         means = found.groupBy("slot").agg(*[(F.sum(c) / (F.count("*") * F.lit(float(UNIT)))).cast("float").alias(c) for c in columns])
-        _advance(state, means.toPandas())
+        # As columns: rows of Python objects would take many times the network's memory.
+        _advance(state, means.toArrow().to_pandas())
         shared.destroy()
     return state.model
 
@@ -339,19 +340,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shards = max(1, -(-known // SHARD))
     taken = spark.sparkContext.broadcast(_bitmap(marks.select(place.alias("place"))))
 
-    @F.pandas_udf("boolean")
-    def can_be_known(places: pd.Series) -> pd.Series:
-        at = places.to_numpy()
-        return pd.Series((taken.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0)
-
-    @F.pandas_udf("binary")
-    def coded(texts: pd.Series) -> pd.Series:
-        words = _known(size)
-        return texts.map(lambda t: zlib.compress(codes(t, words).tobytes(), 1))
+    def coded(places: pd.Series, texts: pd.Series) -> pd.Series:
+        at, words = places.to_numpy(), _known(size)
+        there = (taken.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+        return pd.Series([zlib.compress(codes(t, words).tobytes(), 1) if x else None for t, x in zip(texts, there)], dtype=object)
 
+    # One function, so a task has one Python worker; not deterministic for the optimiser, or the filter would run it again.
+    code = F.pandas_udf(coded, "binary").asNondeterministic()(place, "text")
     # Most texts without a label leave before texts are dealt, once, for the join that decides and for all rounds.
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").where(can_be_known(place))
-    some = some.select("id", F.xxhash64("text").alias("tie"), coded("text").alias("code")).repartition(shards, "id")
+    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    some = some.select("id", F.xxhash64("text").alias("tie"), code.alias("code")).where("code is not null").repartition(shards, "id")
     apart = F.floor(remainder(F.col("id"), 7 * held) / 7) == 1
     dealt = some.join(marks.repartition(shards, "id"), "id").select("id", "tie", (F.col("mark") > 0).cast("int").alias("mark"), apart.alias("apart"), "code")
     # The join may deal rows out finer than asked.
@@ -365,7 +363,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         texts = [_read(c) for c in code]
         return pd.DataFrame({"chance": raw_scores(shared.value, texts), "language": [language_group(c) for c in texts]})
 
-    aside = dealt.where("apart").select("mark", answered("code").alias("a")).groupBy("a.language", "mark", F.floor(F.col("a.chance") * BINS).alias("bin")).agg(F.count("*").alias("n")).toPandas()
+    aside = dealt.where("apart").select("mark", answered("code").alias("a")).groupBy("a.language", "mark", F.floor(F.col("a.chance") * BINS).alias("bin")).agg(F.count("*").alias("n")).toArrow().to_pandas()
     dealt.unpersist()
     aside = aside.sort_values(["bin", "language", "mark"])
     middles = (aside["bin"].to_numpy(np.float64) + 0.5) / BINS
@@ -376,7 +374,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _bitmap(places: DataFrame) -> np.ndarray:
     """The places as bits of words of 64; one row per word that has any reaches the driver."""
     bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
-    found = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    found = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow().to_pandas()
     bits = np.zeros(PLACES // 64, np.int64)
     bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return bits.view(np.uint64)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from helpers import AWKWARD, LONG, documents
@@ -90,3 +92,16 @@ def test_every_labelled_document_is_learned_from(spark):
     assert (model.table[first] != start[first]).any(1).mean() > 0.99
     again = toxicity.learn(docs.repartition(3), labels, epochs=1)
     assert np.array_equal(model.table, again.table) and model.thresholds == again.thresholds
+
+
+def test_means_of_changes_do_not_reach_the_driver_as_objects(spark):
+    words = "concat_ws(' ', transform(sequence(1, 40), i -> concat('x', id * 40 + i))) AS text"
+    docs = spark.range(0, 3000, 1, 8).selectExpr("id AS doc_id", words)
+    labels = spark.range(0, 3000, 1, 8).selectExpr("id AS doc_id", "int(id % 3 = 0) AS toxic")
+    tracemalloc.start()
+    try:
+        model = toxicity.learn(docs, labels, rows=1 << 14, epochs=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 16 * model.table.nbytes, peak / model.table.nbytes
