@@ -16,7 +16,6 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +47,22 @@ def _scan(batches: Iterator[pa.RecordBatch], columns: list[str], slot: list[str]
         yield here, given, state, (), True
 
 
+def _walk(batches: Iterator[pa.RecordBatch], keys: list[str], first: str) -> Iterator[tuple]:
+    """The state every chunk is entered with, as ``(slot, state)``, from maps ``(slot, _given, _left)`` sorted by slot."""
+    here, state, lefts = None, first, {}
+    for batch in batches:
+        values = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in [*keys, CHUNK, "_given", "_left"]]
+        for *slot, given, left in zip(*values):
+            if here != slot:
+                if here is not None:
+                    yield here, state
+                    state = lefts[state] if here[:-1] == slot[:-1] else first
+                here, lefts = slot, {}
+            lefts[given] = left
+    if here is not None:
+        yield here, state
+
+
 def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for row in rows:
@@ -89,7 +104,7 @@ def ordered_fold(
         [*[rows.schema[k] for k in slot], T.StructField("_given", T.StringType()), T.StructField("_left", T.StringType())]
     )
     given_schema = T.StructType(state_schema.fields[:-1])
-    state_arrow, out_arrow = to_arrow_schema(state_schema), to_arrow_schema(schema)
+    state_arrow, given_arrow, out_arrow = to_arrow_schema(state_schema), to_arrow_schema(given_schema), to_arrow_schema(schema)
 
     def final_states(batches):
         closed = ((*here, given, json.dumps(state)) for here, given, state, _, end in _scan(batches, columns, slot, step) if end)
@@ -101,12 +116,8 @@ def ordered_fold(
     def placed(given: DataFrame) -> DataFrame:
         return rows.join(given, slot).withColumn("_n", F.row_number().over(in_slot))
 
-    def walk(group: tuple, maps: pd.DataFrame) -> pd.DataFrame:
-        state, out = first, []
-        for chunk, some in maps.sort_values(CHUNK, kind="stable").groupby(CHUNK, sort=True):
-            out.append((*group[: len(keys)], chunk, state))
-            state = some.loc[some["_given"] == state, "_left"].iloc[0]
-        return pd.DataFrame(out, columns=[*slot, "_given"])
+    def walk(batches):
+        return _batches(((*here, state) for here, state in _walk(batches, keys, first)), given_arrow)
 
     across = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(CHUNK)
     after = rows.select(*slot).distinct().withColumn("_after", F.lead(CHUNK).over(across)).where("_after is not null").checkpoint()
@@ -120,6 +131,7 @@ def ordered_fold(
             break
         fresh = placed(new).mapInArrow(final_states, state_schema).checkpoint()
         maps = maps.unionByName(fresh)
-    by = [F.col(k) for k in keys] or [F.lit(0)]
-    chosen = maps.groupBy(*by).applyInPandas(walk, given_schema)
+    # The maps of a key are read in a stream of plain values: a call per key would cost more than its rows.
+    dealt = maps.repartition(*keys) if keys else maps.repartition(1)
+    chosen = dealt.sortWithinPartitions(*slot).mapInArrow(walk, given_schema)
     return placed(chosen).mapInArrow(outputs, schema)

@@ -288,3 +288,13 @@ def test_the_grid_of_required_timestamps_is_not_shuffled(spark):
         assert sorted((r.recording_id, r.second) for r in found.collect()) == sorted(wanted)
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.index("Generate explode") < plan.index("Aggregate")
+
+
+def test_fold_makes_no_call_per_key(spark, capsys):
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("t", T.DoubleType()), T.StructField("n", T.LongType())])
+    rows = spark.range(0, 400, 1, 4).selectExpr("id % 40 AS k", "CAST(id AS DOUBLE) AS t")
+    step = lambda state, row: (state + 1, [(*row, state + 1)])
+    found = ordered_fold(rows, ["k"], ["t"], ["k", "t"], step, 0, schema, width=50.0)
+    assert sorted((r.k, r.t, r.n) for r in found.collect()) == [(k, float(k + 40 * n), n + 1) for k in range(40) for n in range(10)]
+    found.explain()
+    assert "FlatMapGroupsInPandas" not in capsys.readouterr().out
