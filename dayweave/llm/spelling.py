@@ -133,6 +133,12 @@ def _around_all(words: DataFrame, name: str, letters: np.ndarray) -> DataFrame:
     return words.select("id", name).mapInArrow(around, "id long, key long")
 
 
+def _meet(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join that is merged. Tables are sized by their files or by the rows a Python function reads, not by the
+    neighbours it makes of them, so either side could be broadcast where it is far too large for the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """``(id, other)``: all ordered pairs of ``words`` (id, word) exactly one edit apart.
 
@@ -141,20 +147,21 @@ def near_words(words: DataFrame) -> DataFrame:
     placed = words.select("id", "word", F.translate("word", "".join(map(chr, POINTS)), SYMBOL_OF).alias("reduced"))
     reduced = placed.groupBy("reduced").agg(F.count("*").alias("words"))
     reduced = stored(reduced.select(F.monotonically_increasing_id().alias("id"), "reduced", (F.col("words") > CROWD).alias("crowded")), "reduced")
-    placed = stored(placed.join(reduced.withColumnRenamed("id", "group"), "reduced").select("id", "word", "group", "crowded"), "placed")
-    own = _own(reduced, "reduced").join(reduced.select("id", "crowded"), "id").select(F.col("id").alias("other"), "crowded", "key")
-    met = _around_all(reduced, "reduced", REDUCED).join(own, "key").where("id <= other or crowded")
+    placed = stored(_meet(placed, reduced.withColumnRenamed("id", "group"), "reduced").select("id", "word", "group", "crowded"), "placed")
+    own = _meet(_own(reduced, "reduced"), reduced.select("id", "crowded"), "id").select(F.col("id").alias("other"), "crowded", "key")
+    met = _meet(_around_all(reduced, "reduced", REDUCED), own, "key").where("id <= other or crowded")
     met = stored(met.select("id", "other", "crowded"), "met")
-    few = met.where("not crowded and id <= other").join(reduced.where("not crowded").select("id"), "id").select(F.col("id").alias("group"), "other")
-    a = placed.select("group", F.col("id").alias("a"), F.col("word").alias("a_word")).join(few, "group")
+    few = _meet(met.where("not crowded and id <= other"), reduced.where("not crowded").select("id"), "id").select(F.col("id").alias("group"), "other")
+    a = _meet(placed.select("group", F.col("id").alias("a"), F.col("word").alias("a_word")), few, "group")
     b = placed.select(F.col("group").alias("other"), F.col("id").alias("b"), F.col("word").alias("b_word"))
-    pairs = a.join(b, "other").where("group < other or a < b").where(one_edit(F.col("a_word"), F.col("b_word"))).select("a", "b")
+    pairs = _meet(a, b, "other").where("group < other or a < b").where(one_edit(F.col("a_word"), F.col("b_word"))).select("a", "b")
 
     # Words of a crowded reduced word, and all that look there, meet by whole letters.
-    asking = placed.join(met.where("crowded").select(F.col("id").alias("group")).distinct(), "group", "left_semi")
+    asking = _meet(placed, met.where("crowded").select(F.col("id").alias("group")).distinct(), "group", "left_semi")
     fine = _own(placed.where("crowded"), "word").select(F.col("id").alias("b"), "key")
-    fine = _around_all(asking, "word", POINTS).join(fine, "key").where("id <> b").select(F.col("id").alias("a"), "b")
-    fine = fine.join(placed.select(F.col("id").alias("a"), F.col("word").alias("a_word")), "a").join(placed.select(F.col("id").alias("b"), F.col("word").alias("b_word")), "b")
+    fine = _meet(_around_all(asking, "word", POINTS), fine, "key").where("id <> b").select(F.col("id").alias("a"), "b")
+    fine = _meet(fine, placed.select(F.col("id").alias("a"), F.col("word").alias("a_word")), "a")
+    fine = _meet(fine, placed.select(F.col("id").alias("b"), F.col("word").alias("b_word")), "b")
     fine = fine.where(one_edit(F.col("a_word"), F.col("b_word"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = stored(pairs.unionByName(fine), "near")
     return both.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(both.select(F.col("b").alias("id"), F.col("a").alias("other")))
@@ -181,14 +188,14 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     words = stored(words.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "words")
     pairs = near_words(words.select("id", "word"))
     other = words.select(F.col("id").alias("other"), F.col("word").alias("form"), F.col("n").alias("form_n"))
-    best = pairs.join(other, "other").groupBy("id").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("form_n")).alias("less"), "form", "other")).alias("best"))
-    rows = words.join(best, "id", "left")
+    best = _meet(pairs, other, "other").groupBy("id").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("form_n")).alias("less"), "form", "other")).alias("best"))
+    rows = _meet(words, best, "id", "left")
     large = F.coalesce(-F.col("best.less") >= ratio * F.col("n"), F.lit(False))
     rows = rows.select("id", "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(large, F.col("best.form")).alias("form"), F.when(large, -F.col("best.less")).alias("form_n"), F.when(large, F.col("best.other")).alias("next"))
     rows = stored(rows, "forms")
     ends = roots(rows.select("id", "next"))
     named = words.select(F.col("id").alias("last"), F.col("word").alias("root"))
-    return rows.join(ends, "id").join(named, "last").select("word", "form", "root", "n", "n_near", "form_n")
+    return _meet(_meet(rows, ends, "id"), named, "last").select("word", "form", "root", "n", "n_near", "form_n")
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -200,7 +207,7 @@ def roots(links: DataFrame) -> DataFrame:
     reach = stored(links.where("next is not null").select("id", F.col("next").alias("last")), "chains")
     while True:
         further = reach.select(F.col("id").alias("last"), F.col("last").alias("beyond"))
-        after = stored(reach.join(further, "last", "left").select("id", F.coalesce("beyond", "last").alias("last"), F.col("beyond").isNotNull().alias("moved")), "chains")
+        after = stored(_meet(reach, further, "last", "left").select("id", F.coalesce("beyond", "last").alias("last"), F.col("beyond").isNotNull().alias("moved")), "chains")
         reach = after.select("id", "last")
         if after.where("moved").isEmpty():
             return done.unionByName(reach)

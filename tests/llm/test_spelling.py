@@ -132,6 +132,20 @@ def test_neighbour_keys_are_the_keys_of_all_edits():
             assert sorted(found[n]) == sorted(set(S.own_keys(sorted(edits)).tolist()))
 
 
+def test_no_join_is_broadcast(spark, monkeypatch):
+    """Neighbours are many times what Spark takes them for: the size of the words they are made of."""
+    plans = []
+
+    def stored(df, name, write=S.stored):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(S, "stored", stored)
+    rows = S.spelling_variants(documents(spark, variants(2)))
+    plans.append(rows._jdf.queryExecution().executedPlan().toString())
+    assert not any("Broadcast" in p for p in plans) and sum(p.count("SortMergeJoin") for p in plans) > 10
+
+
 def test_symbols_are_few():
     assert len(S.SYMBOL_OF) == len(S.POINTS) and set(S.SYMBOL_OF) == {chr(c) for c in S.REDUCED}
 
