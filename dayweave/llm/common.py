@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayweave.session import ensure_checkpoint_dir, prepare
+from dayweave.session import prepare, stored  # noqa: F401
 
 
 #: Rows of an Arrow batch: whole texts of any length travel in them, so they are fewer than Spark's default.
@@ -30,17 +28,6 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` written once to the shared checkpoint folder and read back.
-
-    Cuts the lineage: a lost executor costs a read, not a recomputation, and later passes do not run
-    the plan behind the rows again.
-    """
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def remainder(key: Column, parts: int) -> Column:
     """crc32 of the key's text modulo ``parts``; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % parts
