@@ -236,28 +236,24 @@ def similarity_pairs(hashes: DataFrame, max_dist: int = 4) -> DataFrame:
     """Pairs of distinct hashes at most ``max_dist`` bits apart, with the number of frames behind each.
 
     Copies are counted first, so a group of identical frames is one row. The hash is cut into
-    ``max_dist + 3`` bands; two hashes within the distance agree in at least three of them, and the join
-    key is a triple of bands. A pair is accepted only under its first three equal bands, so nothing is
-    found twice. The sides are merged: estimates do not see that a hash becomes one row per triple, so a side
-    that is far too large for it would be broadcast.
+    ``max_dist + 2`` bands of every so many-th bit; two hashes within the distance agree in at least two of them,
+    and the join key is the bits of a pair of bands. A pair is accepted only under its first two equal bands, so
+    nothing is found twice. A hash becomes one row per pair of bands, so rows carry the hash and the number of
+    the pair, from which keys follow, and both sides read one shuffle. The sides are merged: estimates do not see
+    that rows multiply, so a side that is far too large for it would be broadcast.
     """
-    bands = max_dist + 3
-    size = -(-64 // bands)
+    bands = max_dist + 2
+    bits = [sum(1 << b for b in range(64) if b % bands in pair) for pair in combinations(range(bands), 2)]
+    masks = [F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in bits]
     copies = hashes.groupBy("phash").agg(F.count("*").alias("frames"))
-    part = [F.shiftrightunsigned("phash", i * size).bitwiseAND(F.lit((1 << size) - 1)) for i in range(bands)]
-    keyed = copies.withColumn("_band", F.array(*part))
-    triples = F.array(*[F.array(*[F.lit(i) for i in c]) for c in combinations(range(bands), 3)])
-    keyed = keyed.withColumn("_use", F.explode(triples))
-    keyed = keyed.withColumn("_key", F.transform("_use", lambda i: F.get("_band", i)))
-    a = keyed.select(F.col("phash").alias("hash_a"), F.col("frames").alias("frames_a"), F.col("_band").alias("_band_a"), "_use", "_key")
-    b = keyed.select(F.col("phash").alias("hash_b"), F.col("frames").alias("frames_b"), F.col("_band").alias("_band_b"), "_use", "_key")
-    near = a.join(b.hint("merge"), ["_use", "_key"]).where("hash_a < hash_b").withColumn("distance", hamming(F.col("hash_a"), F.col("hash_b")))
-    equal = F.filter(
-        F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.get("_band_a", i) == F.get("_band_b", i)
-    )
-    return near.where((F.col("distance") <= max_dist) & (F.slice(equal, 1, 3) == F.col("_use"))).select(
-        "hash_a", "hash_b", "frames_a", "frames_b", "distance"
-    )
+    keyed = copies.select("phash", "frames", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("use"))
+    a, b = (keyed.select(*[F.col(c).alias(f"{name}_{side}") for c, name in (("phash", "hash"), ("frames", "frames"), ("use", "_use"))]) for side in "ab")
+    key_a, key_b = (F.col(f"hash_{side}").bitwiseAND(F.get(F.array(*masks), F.col(f"_use_{side}"))) for side in "ab")
+    near = a.join(b.hint("merge"), (key_a == key_b) & (F.col("_use_a") == F.col("_use_b"))).where("hash_a < hash_b")
+    near = near.withColumn("distance", hamming(F.col("hash_a"), F.col("hash_b"))).where(F.col("distance") <= max_dist)
+    differ = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(m) == 0, F.lit(n)) for n, m in enumerate(masks)])
+    return near.where(first == F.col("_use_a")).select("hash_a", "hash_b", "frames_a", "frames_b", "distance")
 
 
 def scenario_stats(log: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from dayweave.operators import frames
@@ -18,6 +21,31 @@ def test_similarity_sides_are_not_broadcast(spark):
     assert "Broadcast" not in plan(pairs) and "SortMergeJoin" in plan(pairs)
 
 
+def test_similarity_rows_are_a_hash_and_a_number(spark):
+    """A hash becomes many rows on the disk, so these carry no bands and no keys, and both sides read the same."""
+    pairs = frames.similarity_pairs(spark.range(1000).select((F.col("id") * F.col("id") * 8191).alias("phash")))
+    node = pairs._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    for side in (node.children().apply(0), node.children().apply(1)):
+        kinds = [side.output().apply(i).dataType().simpleString() for i in range(side.output().size())]
+        assert sorted(kinds) == ["bigint", "bigint", "int"]
+    pairs.collect()
+    assert "ReusedExchange" in plan(pairs)
+
+
+@pytest.mark.parametrize("far", [0, 1, 4, 9])
+def test_similarity_of_any_distance(spark, far):
+    draw = random.Random(far)
+    base = [draw.getrandbits(64) for _ in range(5)]
+    hashes = base + [b ^ sum(1 << p for p in draw.sample(range(64), draw.randint(1, far + 2))) for b in base for _ in range(12)]
+    hashes = sorted({h - (1 << 64) if h >> 63 else h for h in hashes})
+    rows = spark.createDataFrame([(h,) for h in [*hashes, hashes[0], None]], "phash long")
+    got = [(r.hash_a, r.hash_b, r.frames_a, r.distance) for r in frames.similarity_pairs(rows, far).collect()]
+    apart = {(a, b): ((a ^ b) & (2**64 - 1)).bit_count() for a in hashes for b in hashes if a < b}
+    assert sorted(got) == sorted((a, b, 1 + (a == hashes[0]), d) for (a, b), d in apart.items() if d <= far)
+
+
 def test_trailing_count_passes_rows_once(spark):
     times = [0.0, 0.0, 10.0, 10.0, 20.0, 45.0, 55.0, 55.0, 55.5, None, None]
     rows = spark.createDataFrame([(1, i, t, i % 3 != 1) for i, t in enumerate(times)], "key int, id long, ts double, hit boolean")
